@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from factloom.llm import license_scan, url_filter
+from factloom.llm import license_scan, mixing, progressive_jpeg, url_filter
 
 QUERIES = {
+    "op2_progressive_jpeg": progressive_jpeg.op2_progressive_jpeg,
+    "op3_mixing": mixing.op3_mixing,
     "op4_license_scan": license_scan.op4_license_scan,
     "op9_url_filter": url_filter.op9_url_filter,
 }
