@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from factloom.llm import license_scan, mixing, progressive_jpeg, url_filter
+from factloom.llm import bpe_lexicon, license_scan, mixing, progressive_jpeg, token_count, url_filter
 
 QUERIES = {
     "op2_progressive_jpeg": progressive_jpeg.op2_progressive_jpeg,
     "op3_mixing": mixing.op3_mixing,
     "op4_license_scan": license_scan.op4_license_scan,
+    "op6_token_count": token_count.op6_token_count,
+    "op7_bpe_lexicon": bpe_lexicon.op7_bpe_lexicon,
     "op9_url_filter": url_filter.op9_url_filter,
 }
 ORACLE_SQL = {
