@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe_lexicon, license_scan, mixing, progressive_jpeg, token_count, url_filter
+from factloom.llm import bpe_lexicon, license_scan, mixing, near_dup, progressive_jpeg, token_count, url_filter
 
 QUERIES = {
     "op2_progressive_jpeg": progressive_jpeg.op2_progressive_jpeg,
@@ -10,8 +10,10 @@ QUERIES = {
     "op4_license_scan": license_scan.op4_license_scan,
     "op6_token_count": token_count.op6_token_count,
     "op7_bpe_lexicon": bpe_lexicon.op7_bpe_lexicon,
+    "op8_minhash_near_dup": near_dup.op8_minhash_near_dup,
     "op9_url_filter": url_filter.op9_url_filter,
 }
 ORACLE_SQL = {
+    "op8_minhash_near_dup": near_dup.ORACLE_SQL,
     "op9_url_filter": url_filter.ORACLE_SQL,
 }
