@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe_lexicon, license_scan, mixing, near_dup, progressive_jpeg, token_count, url_filter
+from factloom.llm import bpe_lexicon, license_scan, mixing, near_dup, progressive_jpeg, token_count, toxicity, url_filter
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_progressive_jpeg": progressive_jpeg.op2_progressive_jpeg,
     "op3_mixing": mixing.op3_mixing,
     "op4_license_scan": license_scan.op4_license_scan,
