@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe_lexicon, knn, license_scan, mixing, near_dup, progressive_jpeg, token_count, toxicity, url_filter
+from factloom.llm import bpe_lexicon, html_extract, knn, license_scan, mixing, near_dup, progressive_jpeg, token_count, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_bpe_lexicon": bpe_lexicon.op7_bpe_lexicon,
     "op8_minhash_near_dup": near_dup.op8_minhash_near_dup,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_html_extract": html_extract.op10_html_extract,
 }
 ORACLE_SQL = {
     "op5_kdtree_topk": knn.ORACLE_SQL,
