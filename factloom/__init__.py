@@ -1,0 +1 @@
+"""Temporal-fact analytics on Spark DataFrames."""
