@@ -276,6 +276,24 @@ def near_duplicates(docs: DataFrame, k: int = 128, shared: int = 4, small: int =
     return with_words.unionByName(without).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def one_of_each(docs: DataFrame, broadcast_ids: int = 1_000_000) -> DataFrame:
+    """The documents that stay, with all their columns: of each component the smallest id.
+
+    Ids are expected to be distinct; of rows that repeat an id and its text, one
+    stays.
+    """
+    found = cut(near_duplicates(docs))
+    gone = cut(found.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("n_shingles").alias("_n")).distinct())
+    gone_ids = F.broadcast(gone.select("_id")) if gone.count() <= broadcast_ids else gone.select("_id")
+    repeated = found.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
+    if repeated:
+        # A repeated id may be kept in one component and not in another.
+        kept = found.where("kept").select(F.col("doc_id").alias("_id")).distinct()
+        docs = docs.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+        return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    return docs.join(gone_ids, docs["doc_id"] == gone_ids["_id"], "left_anti")
+
+
 def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
