@@ -68,8 +68,8 @@ def candidate_pairs(facts: DataFrame, weights: Column | None = None, bar: float
     """Scored fact pairs of different documents of a group.
 
     facts: grp, doc_id, fact_id, pos, entity, sentence, role, date_parsed, duration_days, is_duplicate_of,
-    span_days. Duplicates take no part. The join is on the group and on the tokens' presence:
-    pairs of one role meet by role, others by the roles that go together; no pair is made twice.
+    span_days. Duplicates take no part. Facts meet inside their matter's group only, each pair once;
+    role and date gap are tested in the join, before any score.
     """
     own = facts.where(F.col("is_duplicate_of").isNull()).withColumns({"et": tokens(F.col("entity")), "st": tokens(F.col("sentence"))})
     side = lambda p: own.select("grp", *[F.col(c).alias(f"{p}_{c}") for c in ("doc_id", "fact_id", "pos", "role", "date_parsed", "duration_days", "et", "st", "span_days")])
