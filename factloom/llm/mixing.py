@@ -127,7 +127,9 @@ def _drawn_slots(plan: DataFrame, levels: int, seed: int) -> DataFrame:
                 )
             ).alias("_part"),
         ).select(*kept, "_part.*").where("count > 0")
-    return split.where("count > 0").repartition("shard", "source_no").select(*kept, "shard", F.explode(F.sequence("start", F.col("start") + F.col("count") - 1)).alias("slot"))
+    # The number is given, since rows are few before they unfold to slots and would be put together.
+    parts = max(1, min((1 << levels) // 16, 20_000))
+    return split.where("count > 0").repartition(parts, "shard", "source_no").select(*kept, "shard", F.explode(F.sequence("start", F.col("start") + F.col("count") - 1)).alias("slot"))
 
 
 def mix(docs: DataFrame, block_words: int = 512, shard_slots: int = 1024, seed: int = 20, buckets: int = 4096, broadcast_sources: int = 100_000) -> Mix:
@@ -206,6 +208,11 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     return _with_sources(found, named, mixed.n_sources, mixed.broadcast_sources, "source_no", F.col("bucket")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _identity(text_hash: Column) -> Column:
+    """doc_id (also null) and the hash of its text."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text_hash.cast("string"))
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: a row for each document and pass that takes of it.
 
@@ -219,12 +226,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         pieces(mix(docs, **options)).where("words > 0")
         .groupBy("source_no", "bucket", "row", "doc_id", "text_hash", "size", "turn")
         .agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("parts"))
-        .select("source_no", F.xxhash64("doc_id", "text_hash").alias("_pair"), F.col("doc_id").alias("_doc_id"), F.col("size").alias("_size"), "parts")
+        .select("source_no", _identity(F.col("text_hash")).alias("_pair"), F.col("size").alias("_size"), "parts")
     )
-    docs = docs.withColumn("_pair", F.xxhash64("doc_id", F.xxhash64("text")))
+    # One key column, so that the window and the join share one exchange of the texts.
+    docs = docs.withColumn("_pair", _identity(F.xxhash64("text")))
     once = Window.partitionBy("_pair").orderBy("source")
     docs = docs.withColumn("_row", F.row_number().over(once)).where("_row = 1")
-    joined = docs.join(found, (docs["_pair"] == found["_pair"]) & docs["doc_id"].eqNullSafe(found["_doc_id"]))
+    joined = docs.join(found, docs["_pair"] == found["_pair"])
     runs = F.regexp_extract_all("text", F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1))
     part = F.array_join(F.transform("parts", lambda p: F.array_join(F.slice(runs, (p["first"] + 1).cast("int"), p["words"].cast("int")), "")), "")
     is_whole = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.col("_size")
