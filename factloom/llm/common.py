@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -32,6 +33,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Lets Spark's cleaner delete the shuffle and checkpoint files that nothing refers to any more.
+
+    The cleaner acts when the driver collects its garbage, which a long run of
+    small jobs may not do for many minutes.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def map_rows(df: DataFrame, schema: str, per_batch: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """mapInArrow with a function from a record batch to columns by name.
 

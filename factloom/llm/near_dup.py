@@ -7,7 +7,7 @@ sketch holds the ``k`` smallest hashes of its set.
 Candidates. Retained values make inverted lists. Two sets of Jaccard similarity
 0.8 share at least ``m`` of their retained values: exactly ceil(0.8 n) if the
 sketch is the whole set, and six standard deviations below the mean for longer
-sets (75 of 128; a pair at the threshold is missed with a chance below 1e-8). If
+sets (120 of 192; a pair at the threshold is missed with a chance below 1e-8). If
 values are put in any one order, such sets share at least ``shared`` of the first
 len - m + ``shared`` values of both. The order is rare values first, so what many
 documents share seldom makes a list. The frequencies for it are a hint: they
@@ -16,15 +16,16 @@ change which values are listed, never whether a pair is found; they are kept for
 
 Lists of up to ``small`` nodes give all their pairs, counted over lists. A longer
 list gives the pairs of its members with its leader, the node whose sketch is
-most widely shared. First, each node is verified against one partner, and the
+most widely shared, where they share many lists. First, each node is verified against one partner, and the
 verified links are contracted to components; then all candidates between
 different components. Of a long list that still spans several components, the
 members outside its largest component are paired with those of the others, so no
-link between components is lost.
+link between components is lost; this runs in blocks of sketches, not as rows.
 
-Verification joins the full sets: the union's bottom-k sketch estimates the
-similarity first (rejecting below 0.5), then 100 * intersection >= 80 * union is
-tested on the whole sets.
+Verification takes two steps: the bottom-k sketch of a pair's union estimates the
+similarity (five standard deviations below 0.8 is rejected, a chance below 1e-6;
+sketches that hold whole sets decide exactly), then 100 * intersection >= 80 * union is tested on the whole sets of
+the pairs that remain.
 
 Defined cases: null or empty text, or one without words, has 0 shingles and is its
 own component; one word is one shingle. Repeated rows share a component. A null
@@ -42,10 +43,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, map_rows, table
+from factloom.llm.common import cut, map_rows, release, table
 
 _A, _B, _C = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-LOW = 75 / 128  # part of a sketch that a pair at the threshold shares at least
+# Of k retained values, a pair at the threshold shares 0.8 k with a standard deviation of 0.4 sqrt(k).
+SIGMAS, LIKELY_SIGMAS = 6, 5
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -70,7 +72,7 @@ def set_key(values: np.ndarray) -> bytes:
 def least_shared(n: int, k: int) -> int:
     """How many retained values a node of n shingles shares with any linked node."""
     whole = -(-4 * n // 5)
-    return whole if 5 * n <= 4 * k else min(whole, math.floor(LOW * k))
+    return whole if 5 * n <= 4 * k else min(whole, math.floor(0.8 * k - SIGMAS * 0.4 * math.sqrt(k)))
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
@@ -107,61 +109,70 @@ def frequent_values(sketched: DataFrame, most: int, least: int = 16) -> tuple[np
 
 
 def listed_values(sketched: DataFrame, k: int, shared: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """value, key, need, spread: the retained values of each node that make lists.
+    """value, key, info: the retained values of each node that make lists.
 
-    ``need`` is how many lists a linked pair shares; ``spread`` says how widely
-    the node's sketch is shared.
+    ``info`` holds how many lists a linked pair shares (the low four bits), then the
+    size of the set, and above how widely the node's sketch is shared. Copies in a
+    batch are listed once.
     """
     values, counts = frequent
 
     def post(batch: pa.RecordBatch) -> dict:
-        out_value, out_key, out_need, out_spread = [], [], [], []
-        for n, key, raw in zip(batch.column("n").to_pylist(), batch.column("key").to_pylist(), batch.column("sketch").to_pylist()):
+        out_value, out_key, out_info = [], [], []
+        rows = {key: (n, raw) for n, key, raw in zip(batch.column("n").to_pylist(), batch.column("key").to_pylist(), batch.column("sketch").to_pylist())}
+        for key, (n, raw) in rows.items():
             sketch = np.frombuffer(raw, np.uint64)
             rank = np.zeros(len(sketch), np.int64)
             if len(values):
                 at = np.minimum(np.searchsorted(values, sketch), len(values) - 1)
                 rank = np.where(values[at] == sketch, counts[at], 0)
             m = least_shared(n, k)
-            need = min(shared, m)
+            need = min(shared, m)  # below 16
             chosen = sketch[np.lexsort((sketch, rank))[: len(sketch) - m + need]]
             out_value.append(chosen)
             out_key += [key] * len(chosen)
-            out_need.append(np.full(len(chosen), need))
-            out_spread.append(np.full(len(chosen), int((rank > 0).sum())))
-        return {
-            "value": np.concatenate(out_value).view(np.int64),
-            "key": out_key,
-            "need": pa.array(np.concatenate(out_need), pa.int32()),
-            "spread": pa.array(np.concatenate(out_spread), pa.int32()),
-        }
+            out_info.append(np.full(len(chosen), int((rank > 0).sum()) << 44 | n << 4 | need))
+        return {"value": np.concatenate(out_value).view(np.int64), "key": out_key, "info": pa.array(np.concatenate(out_info), pa.int64())}
 
     nodes = sketched.where(F.col("key").isNotNull()).select("n", "key", "sketch")
-    return map_rows(nodes, "value long, key binary, need int, spread int", post)
+    return map_rows(nodes, "value long, key binary, info long", post)
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def candidates(lists: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+def candidates(lists: DataFrame, small: int, shared: int, broadcast_nodes: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """Pairs a, b, shared from the lists, and the members of the long lists.
 
     A pair of short lists stays if the lists it shares, with the long lists that
     both nodes stand in, may reach what it needs.
     """
-    sized = lists.join(lists.groupBy("value").agg(F.count("*").alias("c"), F.max(F.struct("spread", "key")).alias("leader")).where("c > 1"), "value")
-    long = sized.where(F.col("c") > small).select("value", "key", F.col("leader.key").alias("leader"))
-    in_long = long.groupBy("key").agg(F.count("*").alias("n_long"))
-    members = sized.where(F.col("c") <= small).groupBy("value").agg(F.sort_array(F.collect_list(F.struct("key", "need"))).alias("m"))
-    pair = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice(F.col("m"), i + 2, F.size("m")), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b"), F.least(x["need"], y["need"]).alias("need")))))
+    # One exchange by value serves the counts and the join with them.
+    once = lists.repartition("value").groupBy("value", "key").agg(F.max("info").alias("info"))
+    sized = cut(once.join(once.groupBy("value").agg(F.count("*").alias("c")).where("c > 1"), "value"))
+    release(lists)
+    in_lists = sized.where(F.col("c") > small)
+    leaders = in_lists.groupBy("value").agg(F.max(F.struct("info", "key")).alias("leader"))
+    long = cut(in_lists.join(leaders, "value").select("value", "key", F.col("leader.key").alias("leader")))
+    # A pair that shares no short list shares as many long lists as it needs.
+    in_long = cut(long.join(in_lists.select("value", "key", "info"), ["value", "key"]).groupBy("key").agg(F.count("*").alias("n_long"), (F.max("info") % 16).cast("int").alias("need")))
+    enough = in_long.where(F.col("n_long") >= F.col("need")).select("key")
+    long = cut(long.join(enough, "key", "left_semi"))
+    in_long = F.broadcast(in_long) if in_long.count() <= broadcast_nodes else in_long
+    node = F.struct("key", (F.col("info") % 16).cast("int").alias("need"), (F.shiftright("info", 4) % (1 << 40)).alias("n"))
+    members = sized.where(F.col("c") <= small).groupBy("value").agg(F.sort_array(F.collect_list(node)).alias("m"))
+    # Sets of similarity 0.8 are of sizes within 4 : 5; other pairs never become rows.
+    alike = lambda x, y: (5 * x["n"] >= 4 * y["n"]) & (5 * y["n"] >= 4 * x["n"])
+    pair = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice(F.col("m"), i + 2, F.size("m")), lambda y: alike(x, y)), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b"), F.least(x["need"], y["need"]).alias("need")))))
     counted = members.select(F.explode(pair).alias("p")).select("p.*").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("need").alias("need"))
     for side in ("a", "b"):
         counted = counted.join(in_long.select(F.col("key").alias(side), F.col("n_long").alias(f"{side}_long")), side, "left")
-    both = F.least(F.coalesce("a_long", F.lit(0)), F.coalesce("b_long", F.lit(0)))
+    both = F.least(F.coalesce(F.col("a_long"), F.lit(0)), F.coalesce(F.col("b_long"), F.lit(0)))
     short_pairs = counted.where(F.col("shared") + both >= F.col("need")).select("a", "b", "shared")
-    led = long.where("key <> leader").groupBy(*_ordered(F.col("key"), F.col("leader"))).agg(F.count("*").alias("shared"))
-    return cut(short_pairs.unionByName(led).groupBy("a", "b").agg(F.sum("shared").alias("shared"))), cut(long.select("value", "key"))
+    # Pairs with a leader only bring components together early; what they miss is compared in blocks later.
+    led = long.where("key <> leader").groupBy(*_ordered(F.col("key"), F.col("leader"))).agg(F.count("*").alias("shared")).where(F.col("shared") >= shared)
+    return cut(short_pairs.unionByName(led).groupBy("a", "b").agg(F.sum("shared").alias("shared"))), long.select("value", "key")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, needed_broadcast: int = 1_000_000) -> DataFrame:
@@ -184,16 +195,20 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, needed
     full = map_rows(wanted.select("text"), "key binary, values binary", sets).join(used, "key", "left_semi").groupBy("key").agg(F.first("values").alias("values"))
     full = cut(full)
 
-    def check(batch: pa.RecordBatch) -> dict:
-        kept = []
-        for x, y in zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            kept.append(estimate(x[:k], y[:k], k) >= 0.5 and linked(x, y))
-        mask = pa.array(kept)
-        return {"a": batch.column("a").filter(mask), "b": batch.column("b").filter(mask)}
+    def passing(left: DataFrame, values: Column, test) -> DataFrame:
+        """The pairs whose two columns of hashes pass a test."""
 
-    joined = pairs.join(full.select(F.col("key").alias("b"), F.col("values").alias("vb")), "b").join(full.select(F.col("key").alias("a"), F.col("values").alias("va")), "a")
-    return cut(map_rows(joined, "a binary, b binary", check))
+        def check(batch: pa.RecordBatch) -> dict:
+            rows = zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist())
+            mask = pa.array([bool(test(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))) for x, y in rows])
+            return {"a": batch.column("a").filter(mask), "b": batch.column("b").filter(mask)}
+
+        for side in ("b", "a"):
+            left = left.join(full.select(F.col("key").alias(side), values.alias(f"v{side}")), side)
+        return map_rows(left, "a binary, b binary", check)
+
+    likely = cut(passing(pairs, F.substring("values", 1, 8 * k), lambda x, y: likely_linked(x, y, k)))
+    return cut(passing(likely, F.col("values"), linked))
 
 
 def estimate(x: np.ndarray, y: np.ndarray, k: int) -> float:
@@ -203,6 +218,13 @@ def estimate(x: np.ndarray, y: np.ndarray, k: int) -> float:
     return float(np.isin(union, both, assume_unique=True).mean()) if len(union) else 0.0
 
 
+def likely_linked(x: np.ndarray, y: np.ndarray, k: int) -> bool:
+    """From two sketches; the answer is exact if both hold their whole sets."""
+    if max(len(x), len(y)) < k:
+        return linked(x, y)
+    return estimate(x, y, k) >= 0.8 - LIKELY_SIGMAS * 0.4 / math.sqrt(k)
+
+
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= 80 * (len(x) + len(y) - both) and both > 0
@@ -234,38 +256,87 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
 
 
-def _across_long_lists(long: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of long lists that still span several components.
+def _across_long_lists(long: DataFrame, labels: DataFrame, sketched: DataFrame, k: int, rows: int = 256) -> DataFrame:
+    """Likely pairs of long lists that still span several components.
 
-    Only members outside a list's largest component are paired, each with the
-    members of other components.
+    Lists with the same largest component make a bucket, so that each pair is met
+    once. In a bucket only the nodes outside that component are compared, with
+    the nodes of other components, in blocks of ``rows`` sketches on either side:
+    memory is bounded, and only pairs that may be linked become rows.
     """
     named = long.join(labels, "key", "left").select("value", "key", F.coalesce("label", "key").alias("label"))
     parts = named.groupBy("value", "label").agg(F.count("*").alias("c"))
     largest = parts.groupBy("value").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("n")).where("n > 1").select("value", F.col("top.label").alias("top"))
-    open_ = cut(named.join(largest, "value"))
-    outside = open_.where(F.col("label") != F.col("top")).select("value", F.col("key").alias("k1"), F.col("label").alias("l1"))
-    pairs = outside.join(open_.select("value", F.col("key").alias("k2"), F.col("label").alias("l2")), "value").where("l1 <> l2")
-    return pairs.select(*_ordered(F.col("k1"), F.col("k2"))).distinct()
-
-
-def near_duplicates(docs: DataFrame, k: int = 128, shared: int = 4, small: int = 16, frequent: int = 1 << 20) -> DataFrame:
+    members = cut(named.join(largest, "value").select("top", "key", "label").distinct())
+    used = sketched.select("key", "n", "sketch").join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    members = cut(members.join(used, "key"))
+
+    def pack(key: tuple, group: pa.Table) -> pa.Table:
+        top, part = (x.as_py() for x in key)
+        columns = [[group.column(c).to_pylist()] for c in ("key", "label", "n", "sketch")]
+        return pa.table([pa.array([top], pa.binary()), pa.array([part], pa.int64()), *(pa.array(c) for c in columns)], names=["top", "part", "keys", "labels", "ns", "sketches"])
+
+    def packed(side: DataFrame) -> DataFrame:
+        counts = side.groupBy("top").agg(F.ceil(F.count("*") / rows).alias("parts"))
+        dealt = side.join(counts, "top").withColumn("part", F.pmod(F.xxhash64("key"), "parts")).select("top", "part", "key", "label", "n", "sketch")
+        return dealt.groupBy("top", "part").applyInArrow(pack, "top binary, part long, keys array<binary>, labels array<binary>, ns array<bigint>, sketches array<binary>")
+
+    def compare(batches):
+        for batch in batches:
+            a, b = [], []
+            for row in batch.to_pylist():
+                left, right = ([np.frombuffer(s, np.uint64) for s in row[f"{side}_sketches"]] for side in "lr")
+                for i, j in overlaps(left, right, row["l_ns"], row["r_ns"], k):
+                    if row["l_labels"][i] != row["r_labels"][j] and likely_linked(left[i], right[j], k):
+                        x, y = sorted((row["l_keys"][i], row["r_keys"][j]))
+                        a.append(x)
+                        b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    sides = [packed(members.where(F.col("label") != F.col("top"))), packed(members)]
+    left, right = (s.select("top", *[F.col(c).alias(f"{side}_{c}") for c in ("keys", "labels", "ns", "sketches")]) for s, side in zip(sides, "lr"))
+    return left.join(right, "top").drop("top").mapInArrow(compare, "a binary, b binary").distinct()
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], left_n: list[int], right_n: list[int], k: int) -> list[tuple[int, int]]:
+    """Places of the pairs that share as many retained values as linked nodes must."""
+    values = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    if not len(values):
+        return []
+
+    def table_of(side: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(side), len(values)), np.float32)
+        for i, sketch in enumerate(side):
+            at = np.minimum(np.searchsorted(values, sketch), len(values) - 1)
+            out[i, at[values[at] == sketch]] = 1
+        return out
+
+    shared = table_of(left) @ table_of(right).T
+    needed = np.maximum.outer([least_shared(n, k) for n in left_n], [least_shared(n, k) for n in right_n])
+    return list(zip(*(x.tolist() for x in np.nonzero(shared >= needed))))
+
+
+def near_duplicates(docs: DataFrame, k: int = 192, shared: int = 12, small: int = 16, frequent: int = 1 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document."""
     docs = docs.select("doc_id", "text")
     sketched = cut(sketches(docs, k))
     nodes = sketched.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    once = listed_values(sketched, k, shared, frequent_values(sketched, frequent)).groupBy("value", "key").agg(F.first("need").alias("need"), F.first("spread").alias("spread"))
-    pairs, long = candidates(once, small)
+    pairs, long = candidates(listed_values(sketched, k, shared, frequent_values(sketched, frequent)), small, shared)
+    release(docs)
     # One partner for each node, then all that is left between components.
     first = (
         pairs.select(F.explode(F.array(F.struct(F.col("a").alias("key"), "shared", F.col("b").alias("other")), F.struct(F.col("b").alias("key"), "shared", F.col("a").alias("other")))).alias("p"))
         .select("p.*").groupBy("key").agg(F.max(F.struct("shared", "other")).alias("best")).select(*_ordered(F.col("key"), F.col("best.other"))).distinct()
     )
-    edges = verified(cut(first), docs, nodes, k)
+    first = cut(first)
+    edges = verified(first, docs, nodes, k)
     labels = components(edges)
-    rest = cut(_apart(pairs, labels).unionByName(_across_long_lists(long, labels)).distinct().join(first, ["a", "b"], "left_anti"))
+    release(docs)
+    rest = cut(_apart(pairs, labels).unionByName(_across_long_lists(long, labels, sketched, k)).distinct().join(first, ["a", "b"], "left_anti"))
+    release(docs)
     edges = edges.unionByName(verified(rest, docs, nodes, k))
     labels = components(edges)
+    release(docs)
     named = labels.join(nodes, "key")
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     found = named.join(smallest, "label").select(F.col("key"), "component_id")
