@@ -47,6 +47,8 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NO_TEXT = frozenset("button datalist head iframe noscript object option script select style svg template textarea title".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
+# What may stand in a head; any other start tag, and text, ends a head whose end tag is left out.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 # A start tag that ends an open element of these kinds, up to the given bounds.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -102,6 +104,8 @@ def leaf_blocks(html: str) -> list[Block]:
 
     def add(raw: str) -> None:
         nonlocal linked
+        if silent and stack[-1][0] == "head" and raw and not raw.isspace():
+            pop(len(stack) - 1)
         if raw and not silent:
             text = unescape(raw) if "&" in raw else raw
             pieces.append(text)
@@ -122,6 +126,8 @@ def leaf_blocks(html: str) -> list[Block]:
             if depth is not None and (name in BLOCKS or name in NO_TEXT or not any(t in BLOCKS for t, _ in stack[depth + 1 :])):
                 pop(depth)
             continue
+        if stack and stack[-1][0] == "head" and name not in IN_HEAD:
+            pop(len(stack) - 1)
         if name in BLOCKS:
             closed, bounds = CLOSES.get(name, ((), ()))
             for i in range(len(stack) - 1, -1, -1):
@@ -138,9 +144,6 @@ def leaf_blocks(html: str) -> list[Block]:
                         pop(i)
                         break
             flush()
-        if name == "body":
-            while stack and stack[-1][0] == "head":
-                pop(len(stack) - 1)
         if name in VOID:
             if name == "br" and not silent:
                 pieces.append(" ")

@@ -201,6 +201,17 @@ def test_blocks_of_broken_markup():
     assert html_extract.leaf_blocks("") == [] and html_extract.leaf_blocks("<title>t</title><style>p</style>") == []
 
 
+def test_blocks_of_a_head_without_end_tag():
+    head = "<!doctype html><html><head><meta charset=utf-8><title>t</title><link rel=x><style>p{}</style><script>1</script><template><p>no</template>\n"
+    texts = lambda html: [b.text for b in html_extract.leaf_blocks(html)]
+    for start in ("", "<body>", "</head>", "</head><body>"):
+        assert texts(f"{head}{start}<article><h1>One</h1><p>Two</article>") == ["One", "Two"]
+    assert texts(f"{head}Plain <b>text</b><p>Two") == ["Plain text", "Two"] and texts(f"{head}<img src=x><a href=y>Link</a>") == ["Link"]
+    assert texts("<head><title>t</title><head><p>Two") == ["Two"] and texts(f"{head}</html>") == []
+    article, model = "<article><h1>Title</h1><p>One two.</p><p>Short</p></article>", html_extract.trained()
+    assert html_extract.main_text(f"{head}{article}", model) == html_extract.main_text(f"{head}</head><body>{article}</body></html>", model) == "Title\n\nOne two.\n\nShort"
+
+
 def test_field_learns_held_out_pages():
     model, wrong, total = html_extract.trained(), 0, 0
     for html, truth in html_extract.labelled_pages(150, seed=4242):
