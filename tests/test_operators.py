@@ -68,6 +68,21 @@ def test_derivation_and_what_if(spark):
     assert moved == {"b": (date(2025, 11, 10), 1), "e": (date(2025, 10, 18), 1), "c": (date(2025, 11, 20), 2)}
 
 
+def chain(spark, edges):
+    """One dated fact and a chain of edges of a day each, with a side edge at its start."""
+    facts = [("d", "f0", date(2025, 1, 1), "START"), ("d", "side", None, "END")] + [("d", f"f{i + 1}", None, "END") for i in range(edges)]
+    deps = [("d", f"f{i}", f"f{i + 1}", "additive", "", 1, i) for i in range(edges)] + [("d", "f0", "side", "additive", "", 2, edges)]
+    return spark.createDataFrame(facts, "doc_id string, fact_id string, date_parsed date, role string"), spark.createDataFrame(deps, "doc_id string, from_id string, to_id string, constraint_type string, constraint_expr string, delta_days int, dep_pos int")
+
+
+def test_scenarios_follow_long_chains(spark):
+    facts, deps = chain(spark, 12)
+    found = graph.edit_scenarios(facts, deps).collect()
+    assert len(found) == 6 and {(r["fact_id"], r["breadth"], r["depth"]) for r in found} == {("f0", 13, 12)}
+    changed = spark.createDataFrame([("d", "f0", date(2025, 2, 1))], "doc_id string, fact_id string, date date")
+    assert {r["fact_id"] for r in graph.what_if(facts, deps, changed).collect()} == {"side", *(f"f{i}" for i in range(1, 11))}
+
+
 def test_one_to_one_is_greedy(spark):
     rng = random.Random(5)
     rows = [(g, a, b, rng.randrange(5)) for g in range(3) for a in range(7) for b in range(7) if rng.random() < 0.6]
