@@ -83,6 +83,16 @@ def test_scenarios_follow_long_chains(spark):
     assert {r["fact_id"] for r in graph.what_if(facts, deps, changed).collect()} == {"side", *(f"f{i}" for i in range(1, 11))}
 
 
+def test_derivation_and_staleness_reach_the_end_of_long_chains(spark):
+    facts, deps = chain(spark, 103)
+    dates = {r["fact_id"]: r["date_parsed"] for r in graph.derive_dates(facts, deps).collect()}
+    assert dates == {"side": date(2025, 1, 3), **{f"f{i}": date.fromordinal(date(2025, 1, 1).toordinal() + i) for i in range(104)}}
+    changed = spark.createDataFrame([("d", "f0")], "doc_id string, fact_id string")
+    links = spark.createDataFrame([("d", "f103", "e", "x")], "from_doc string, from_fact string, to_doc string, to_fact string")
+    found = {(r["doc_id"], r["fact_id"]): r["hop"] for r in graph.stale(changed, deps, links).collect()}
+    assert found == {("d", "side"): 1, ("e", "x"): 99, **{("d", f"f{i}"): i for i in range(1, 104)}}
+
+
 def test_one_to_one_is_greedy(spark):
     rng = random.Random(5)
     rows = [(g, a, b, rng.randrange(5)) for g in range(3) for a in range(7) for b in range(7) if rng.random() < 0.6]
