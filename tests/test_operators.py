@@ -93,6 +93,53 @@ def test_derivation_and_staleness_reach_the_end_of_long_chains(spark):
     assert found == {("d", "side"): 1, ("e", "x"): 99, **{("d", f"f{i}"): i for i in range(1, 104)}}
 
 
+def edges_by_loop(facts, tolerance=15):
+    """All edges of one entity, a pair at a time."""
+    by = lambda role: [f for f in facts if f["role"] == role]
+    out, used, lasting = [], set(), [d for d in by("DURATION") if d["duration_days"] is not None]
+    for s in by("START"):
+        for e in by("END"):
+            if not s["date_parsed"] or not e["date_parsed"] or e["date_parsed"] <= s["date_parsed"]:
+                continue
+            gap = (e["date_parsed"] - s["date_parsed"]).days
+            best = min(lasting, key=lambda d: abs(gap - d["duration_days"]), default=None)  # noqa: B023
+            if best and abs(gap - best["duration_days"]) <= tolerance + int(gap / 365 * 1.5):
+                out += [(s["fact_id"], e["fact_id"], "additive", f"end = start + {best['value'] or best['raw_text']}", gap, True), (s["fact_id"], best["fact_id"], "additive", "duration = end - start", gap, True)]
+                used.add(best["fact_id"])
+            else:
+                out.append((s["fact_id"], e["fact_id"], "ordering", f"{s['fact_id']} precedes {e['fact_id']} by {gap} days", gap, True))
+            used |= {s["fact_id"], e["fact_id"]}
+    for d in lasting:
+        if d["fact_id"] in used:
+            continue
+        if s := next((s for s in by("START") if s["fact_id"] not in used), None):
+            out.append((s["fact_id"], d["fact_id"], "additive", f"duration {d['value'] or d['raw_text']} from {s['entity']}", d["duration_days"], False))
+            used.add(s["fact_id"])
+        if e := next((e for e in by("END") if e["fact_id"] not in used), None):
+            out.append((d["fact_id"], e["fact_id"], "additive", f"{e['entity']} = start + {d['value'] or d['raw_text']}", d["duration_days"], False))
+            used.add(e["fact_id"])
+    return out + [(s["fact_id"], c["fact_id"], "interval", f"{c['fact_id']} in [{s['fact_id']}, ...]", None, False) for c in by("CONTAINS") for s in by("START")]
+
+
+def test_build_edges_against_a_loop(spark):
+    rng, rows = random.Random(3), []
+    for doc in range(40):
+        for pos in range(rng.randrange(14)):
+            role = rng.choice(("START", "START", "END", "END", "DURATION", "DURATION", "CONTAINS"))
+            days = rng.choice((None, 30, 90, 365, 1100)) if role == "DURATION" else None
+            when = date.fromordinal(date(2020, 1, 1).toordinal() + rng.choice((0, 5, 30, 95, 400, 1120))) if role != "DURATION" and rng.random() < 0.7 else None
+            rows.append((f"d{doc}", f"f{pos:02}", pos, rng.choice(("the Lease", "lease", "Job")), role, rng.choice((None, f"P{days}D")) if days else None, f"{days} days" if days else "then", when, days))
+    facts = spark.createDataFrame(rows, "doc_id string, fact_id string, fact_pos int, entity string, role string, value string, raw_text string, date_parsed date, duration_days int")
+    expected, groups = [], {}
+    for r in facts.orderBy("doc_id", "fact_pos").collect():
+        groups.setdefault((r["doc_id"], r["entity"].removeprefix("the ").lower()), []).append(r)
+    for (doc, _), own in groups.items():
+        expected += [(doc, *e) for e in edges_by_loop(own)]
+    found = [tuple(r) for r in graph.build_edges(facts).collect()]
+    assert sorted(map(repr, found)) == sorted(map(repr, expected))
+    assert {(e[3], e[6]) for e in found} == {("additive", True), ("additive", False), ("ordering", True), ("interval", False)}
+
+
 def test_one_to_one_is_greedy(spark):
     rng = random.Random(5)
     rows = [(g, a, b, rng.randrange(5)) for g in range(3) for a in range(7) for b in range(7) if rng.random() < 0.6]
