@@ -8,12 +8,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.calendar import parse_date, text_duration_days
+from factloom.functions.calendar import UNIT_DAYS, parse_date
 from factloom.functions.text import MONTHS, sentence_around
 
-_MONTH = "(?:" + "|".join(f"{m}|{m[:3]}" for m in MONTHS) + ")"
+_MONTH = "(?:" + "|".join(rf"{m}|{m[:3]}\b\.?" for m in MONTHS) + ")"
+_AND = r"(?:\s*,\s*|\s+and\s+)"
+# Both years of 'from 2019 to 2021'; just the first where a full date follows.
+_RANGE = r"(?:from|between)\s+\d{4}\s+(?:to|and|until|through|[-–—])\s+(?:(?=\d{4}-\d{2}-\d{2}\b)|\d{4})"
 # Expression kinds in order of precedence; an earlier one keeps its place.
 PATTERNS = (
+    ("DATE", _RANGE),
+    ("DATE", r"(?<=\()\d{4}(?=\))"),
+    ("DURATION", rf"\d+\s+years?{_AND}\d+\s+months?(?:{_AND}\d+\s+days?)?"),
+    ("DURATION", rf"\d+\s+months?{_AND}\d+\s+days?"),
+    ("DURATION", r"\d+\s+(?:business|calendar|working)\s+(?:day|week|month|year)s?"),
     ("DATE", rf"\d{{1,2}}(?:st|nd|rd|th)?\s+{_MONTH}\s+\d{{4}}"),
     ("DATE", rf"{_MONTH}\s+\d{{1,2}},?\s+\d{{4}}"),
     ("DATE", r"\d{4}-\d{2}-\d{2}"),
@@ -36,13 +44,29 @@ def timexes(documents: DataFrame) -> DataFrame:
     found = F.regexp_extract_all("source_text", F.lit(any_of), F.lit(1))
     rows = documents.select("doc_id", "source_text", F.transform(pieces, F.length).alias("gaps"), found.alias("found")).select("doc_id", "source_text", "gaps", F.transform("found", F.length).alias("sizes"), F.posexplode("found").alias("i", "text"))
     total = lambda a, n: F.aggregate(F.slice(F.col(a), F.lit(1), n), F.lit(0), lambda s, x: s + x)
-    start = total("gaps", F.col("i") + 1) + total("sizes", F.col("i"))
-    kind = F.when(F.col("text").rlike(r"(?i)^\d+\s+(day|week|month|year)s?$"), "DURATION").otherwise("DATE")
-    date = F.when(kind == "DATE", parse_date(F.initcap("text")))
-    month = F.when((kind == "DATE") & date.isNull(), F.try_to_timestamp(F.initcap("text"), F.lit("MMMM yyyy")).cast("date"))
-    days = F.when(kind == "DURATION", text_duration_days(F.col("text")))
-    value = F.coalesce(F.date_format(date, "yyyy-MM-dd"), F.date_format(month, "yyyy-MM"), F.concat(F.lit("P"), days.cast("string"), F.lit("D")))
-    return rows.withColumns({"start": start}).select("doc_id", "start", (F.col("start") + F.length("text")).alias("end"), "text", kind.alias("timex_type"), value.alias("value"), date.alias("date_parsed"), days.alias("duration_days"), sentence_around(F.col("source_text"), F.col("start"), F.col("start") + F.length("text")).alias("sentence"))
+    at = total("gaps", F.col("i") + 1) + total("sizes", F.col("i"))
+    prefix, year = (F.regexp_extract("text", rf"(?i)^((?:from|between)\s+)(\d{{4}})", i) for i in (1, 2))
+    years = F.array(F.struct((F.col("at") + F.length(prefix)).alias("start"), year.alias("text")), F.struct((F.col("at") + F.length("text") - 4).alias("start"), F.substring("text", -4, 4).alias("text")))
+    spans = F.when(prefix == "", F.array(F.struct(F.col("at").alias("start"), "text"))).otherwise(F.filter(years, lambda y: y["text"].rlike(r"^\d{4}$")))
+    rows = rows.withColumn("at", at).select("doc_id", "source_text", F.inline(spans))
+    flat = F.initcap(F.regexp_replace("text", r"\s+", " "))
+    kind = F.when(flat.rlike(r"(?i)^\d+ (business |calendar |working )?(day|week|month|year)"), "DURATION").otherwise("DATE")
+    named = F.regexp_replace(flat, r"([A-Z][a-z]{2})\.", "$1")
+    day = F.coalesce(parse_date(named), *[F.try_to_timestamp(named, F.lit(f)).cast("date") for f in ("MMM d, yyyy", "MMM d yyyy")])
+    date = F.when(kind == "DATE", day)
+    month = F.when((kind == "DATE") & date.isNull(), F.coalesce(*[F.try_to_timestamp(named, F.lit(f)).cast("date") for f in ("MMMM yyyy", "MMM yyyy")]))
+    days = F.when(kind == "DURATION", _days(flat))
+    value = F.coalesce(F.date_format(date, "yyyy-MM-dd"), F.date_format(month, "yyyy-MM"), F.when(flat.rlike(r"^\d{4}$"), flat), F.concat(F.lit("P"), days.cast("string"), F.lit("D")))
+    return rows.select("doc_id", "start", (F.col("start") + F.length("text")).alias("end"), "text", kind.alias("timex_type"), value.alias("value"), date.alias("date_parsed"), days.alias("duration_days"), sentence_around(F.col("source_text"), F.col("start"), F.col("start") + F.length("text")).alias("sentence"))
+
+
+def _days(text: Column) -> Column:
+    """Approximate days of all parts of '2 years and 3 months', also of '10 business days'; null if too many."""
+    out = F.lit(0).cast("decimal(38,0)")
+    for unit, days in UNIT_DAYS.items():
+        found = F.regexp_extract_all(text, F.lit(rf"(?i)(\d+) (?:business |calendar |working )?{unit}"), F.lit(1))
+        out = F.try_add(out, F.aggregate(found, F.lit(0).cast("decimal(38,0)"), lambda a, x: F.try_add(a, F.try_multiply(x.try_cast("decimal(20,0)"), F.lit(days))).try_cast("decimal(38,0)")))  # noqa: B023
+    return out.try_cast("int")
 
 
 def role_of(sentence: Column, text: Column, timex_type: Column) -> Column:

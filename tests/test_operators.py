@@ -204,6 +204,28 @@ def test_extraction_and_recall(spark):
     assert [r["value"] for r in retrieval.missed_dates(extract.timexes(docs), facts).collect()] == ["2024-03-03"]
 
 
+def test_timexes_of_every_shape(spark):
+    day, none = "DATE", None
+    shapes = [
+        ("He served from 2019 to 2021.", [("2019", day, "2019", none), ("2021", day, "2021", none)]),
+        ("Between  2019 and 2021-03-04 it ran.", [("2019", day, "2019", none), ("2021-03-04", day, "2021-03-04", none)]),
+        ("Built between 1999 – 2003, sold.", [("1999", day, "1999", none), ("2003", day, "2003", none)]),
+        ("See Roe (2019) and (Roe 2018).", [("2019", day, "2019", none)]),
+        ("It lasts 2 years and 3 months.", [("2 years and 3 months", "DURATION", "P820D", 820)]),
+        ("It lasts 1 year, 2 months and 5 days or 3 months, 1 day.", [("1 year, 2 months and 5 days", "DURATION", "P430D", 430), ("3 months, 1 day", "DURATION", "P91D", 91)]),
+        ("Pay in 10 business days, 1 working day or 5 Calendar weeks.", [("10 business days", "DURATION", "P10D", 10), ("1 working day", "DURATION", "P1D", 1), ("5 Calendar weeks", "DURATION", "P35D", 35)]),
+        ("Pay in 6\nmonths or 99999999999 days.", [("6\nmonths", "DURATION", "P180D", 180), ("99999999999 days", "DURATION", none, none)]),
+        ("On Jan. 5, 2020 and Sep 6 2020 and MAY 7, 2020.", [("Jan. 5, 2020", day, "2020-01-05", none), ("Sep 6 2020", day, "2020-09-06", none), ("MAY 7, 2020", day, "2020-05-07", none)]),
+        ("On January 5, 2020, 6 Feb. 2020 and 2020-03-04; since Apr. 2020.", [("January 5, 2020", day, "2020-01-05", none), ("6 Feb. 2020", day, "2020-02-06", none), ("2020-03-04", day, "2020-03-04", none), ("Apr. 2020", day, "2020-04", none)]),
+    ]
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(shapes)], "doc_id int, source_text string")
+    rows = extract.timexes(docs).orderBy("doc_id", "start").collect()
+    for i, (text, expected) in enumerate(shapes):
+        own = [r for r in rows if r["doc_id"] == i]
+        assert [(r["text"], r["timex_type"], r["value"], r["duration_days"]) for r in own] == expected, text
+        assert all(text[r["start"] : r["end"]] == r["text"] for r in own), text
+
+
 def test_passages(spark):
     docs = spark.createDataFrame([("a", "The cat sat. The dismissal was unfair."), ("b", "A dismissal letter. Weather.")], "doc_id string, source_text string")
     found = [r["sentence"] for r in retrieval.passages(docs, "unfair dismissal", 2).collect()]
