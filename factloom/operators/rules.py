@@ -1,18 +1,24 @@
-"""Time limits: rules of a graph against an instance's facts."""
+"""Time limits: rules of a graph against an instance's facts."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.calendar import apply_offset, offset_from_text, tolled
-from factloom.functions.text import entity_similarity, text_overlap, tokens
+from factloom.functions.text import entity_similarity, normalise_entity, text_overlap, tokens
 
 # Connectors that count the anchor day, and that don't.
 INCLUSIVE = ("beginning with", "starting with", "beginning on", "commencing on", "commencing with", "starting on")
 EXCLUSIVE = ("from", "after", "following", "of the date", "since")
+# A period, what names the event it runs from, and what ends that name.
+PERIOD = r"\b(?:\d+|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)\s+(?:year|month|week|day)s?\b"
+RUNS_FROM = r"\b(?:beginning with|starting with|from the date(?:\s+on\s+which)?|from|of|after|following)\b\s+(.+)"
+NAME_ENDS = r"[,;]|\bor\b|\bunless\b|\bwithin\b|\bto which\b|\bon which\b"
 
 
 def anchor_day_inclusive(sentence: Column) -> Column:
@@ -25,8 +31,36 @@ def anchor_day_inclusive(sentence: Column) -> Column:
     return F.array_min(F.filter(found, lambda x: x["at"].isNotNull()))["inclusive"]
 
 
-def find_rules(facts: DataFrame, deps: DataFrame, minus_one_day: bool | None = None) -> DataFrame:
-    """One row for each additive edge with an offset.
+def anchor_phrase(sentence: Column) -> Column:
+    """What the first stated period runs from, as its clause names it; null if it doesn't."""
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    rest = F.regexp_extract(sentence, rf"(?is){PERIOD}(.*)", 1)
+    tail = F.regexp_replace(strip(F.regexp_extract(rest, f"(?i){RUNS_FROM}", 1)), r"\.+$", "")
+    name = strip(F.element_at(F.split(tail, NAME_ENDS), 1))
+    return F.nullif(strip(F.regexp_replace(name, r"(?i)^(the|a|an)\s+", "")), F.lit(""))
+
+
+def reanchored(rules: DataFrame, facts: DataFrame, min_gain: float = 0.2, poor: float = 0.4) -> DataFrame:
+    """Rules whose clause names an anchor, with the fact of their document that fits the name best.
+
+    It must fit better than the present anchor by over ``min_gain``, first of equals; if no other
+    fact does and the present one fits under ``poor``, the name itself is the anchor.
+    """
+    order = [c for c in ("fact_pos", "pos") if c in facts.columns][:1] + ["_id"]
+    others = facts.select("doc_id", F.col("fact_id").alias("_id"), *[c for c in order if c != "_id"], F.col("entity").alias("_entity"), F.col("sentence").alias("_sentence"))
+    rules = rules.withColumn("_now", text_overlap(F.col("phrase"), normalise_entity(F.col("anchor_entity"))))
+    fit = F.greatest(text_overlap(F.col("phrase"), normalise_entity(F.col("_entity"))), text_overlap(F.col("phrase"), F.coalesce("_sentence", F.lit(""))))
+    better = rules.where(F.col("phrase").isNotNull()).select("doc_id", "dep_pos", "phrase", "_now").join(others, "doc_id").withColumn("_fit", fit).where(F.col("_fit") > F.col("_now") + min_gain)
+    first = Window.partitionBy("doc_id", "dep_pos").orderBy(F.desc("_fit"), *order)
+    best = better.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("doc_id", "dep_pos", "_id", "_entity", "_sentence")
+    out = rules.join(best, ["doc_id", "dep_pos"], "left")
+    other, named = F.coalesce(F.col("_id") != F.col("from_id"), F.lit(False)), F.col("phrase").isNotNull() & (F.col("_now") < poor)
+    pick = lambda found, now: F.when(other, F.col(found)).when(named, F.col("phrase")).otherwise(F.col(now))
+    return out.withColumns({"anchor_entity": pick("_entity", "anchor_entity"), "anchor_sentence": pick("_sentence", "anchor_sentence")}).drop("_now", "_id", "_entity", "_sentence")
+
+
+def find_rules(facts: DataFrame, deps: DataFrame, minus_one_day: bool | None = None, reanchor: bool = True) -> DataFrame:
+    """One row for each additive edge with an offset.
 
     The offset is the edge's text, else its ends' text, else positive delta_days; the connector
     is read from the edge's and the ends' sentences; unread connectors count the anchor day.
@@ -39,15 +73,18 @@ def find_rules(facts: DataFrame, deps: DataFrame, minus_one_day: bool | None = N
     inclusive = F.lit(minus_one_day) if minus_one_day is not None else F.coalesce(read, F.lit(True))
     source = F.lit("given") if minus_one_day is not None else F.when(read.isNull(), "assumed").otherwise("read")
     out = joined.withColumn("o", F.coalesce(*[offset_from_text(t) for t in texts], days)).where(F.col("o").isNotNull())
-    text = F.concat_ws(" ", F.col("to_entity"), F.lit("="), F.col("from_entity"), F.lit("+"), F.concat_ws("", *[F.when(F.col(f"o.{u}") > 0, F.concat(F.col(f"o.{u}").cast("string"), F.lit(u[0]))) for u in ("years", "months", "days")]), F.when(inclusive, "- 1 day"))
-    return out.select("doc_id", "dep_pos", F.col("from_entity").alias("anchor_entity"), F.col("to_entity").alias("target_entity"), F.col("from_sentence").alias("anchor_sentence"), "o.*", inclusive.alias("minus_one_day"), source.alias("inclusivity_source"), text.alias("description"))
+    out = out.withColumns({"anchor_entity": F.col("from_entity"), "anchor_sentence": F.col("from_sentence"), "phrase": F.coalesce(*[anchor_phrase(F.col(c)) for c in ("constraint_expr", "from_sentence", "from_value", "to_sentence", "to_value")])})
+    out = reanchored(out, facts) if reanchor else out
+    text = F.concat_ws(" ", F.col("to_entity"), F.lit("="), F.col("anchor_entity"), F.lit("+"), F.concat_ws("", *[F.when(F.col(f"o.{u}") > 0, F.concat(F.col(f"o.{u}").cast("string"), F.lit(u[0]))) for u in ("years", "months", "days")]), F.when(inclusive, "- 1 day"))
+    return out.select("doc_id", "dep_pos", "anchor_entity", F.col("to_entity").alias("target_entity"), "anchor_sentence", "o.*", inclusive.alias("minus_one_day"), source.alias("inclusivity_source"), text.alias("description"))
 
 
 def alias_score(phrase: Column, entity: Column, role: Column, plain: Column, end_only: Column, noise: Column) -> Column:
-    """1 for the phrase itself, 0.75 if an alias stands in the name and nothing procedural does."""
-    low = F.lower(entity)
-    inside = F.exists(plain, lambda a: F.contains(low, F.lower(a))) | ((role == "END") & F.exists(end_only, lambda a: F.contains(low, F.lower(a))))
-    return F.when(low == F.lower(phrase), 1.0).when(inside & ~F.exists(noise, lambda n: F.contains(low, F.lower(n))), 0.75).otherwise(0.0)
+    """1 for the phrase itself, 0.75 if an alias stands in the name and nothing procedural does, or is the name."""
+    low = normalise_entity(entity)
+    noisy = F.exists(noise, lambda n: F.contains(low, F.lower(n)))
+    hit = lambda listed: F.exists(listed, lambda a: F.contains(low, F.lower(a)) & (~noisy | (low == F.lower(a))))
+    return F.when(low == normalise_entity(phrase), 1.0).when(hit(plain) | ((F.upper(role) == "END") & hit(end_only)), 0.75).otherwise(0.0)
 
 
 @dataclass(frozen=True)
@@ -67,14 +104,17 @@ def check(rules: DataFrame, facts: DataFrame, vocabulary: Vocabulary = EMPTY, to
     """Rules against dated facts.
 
     Rules are few and broadcast by their size. Per rule: the best anchor (first on ties, at least
-    ``floor``); INDETERMINATE when there is none, when no fact is dated, or when alias matches of
+    ``floor``); INDETERMINATE when there is none, when the rule names a concept of the vocabulary and
+    the best anchor is neither it nor an alias, when no fact is dated, or when alias matches of
     different dates tie; the action is the earliest post-anchor fact within ``band`` of the best
     score, cue words first; else the latest. Days over 0 is LATE.
     """
     dated = facts.where(F.col("date_parsed").isNotNull() & F.col("is_duplicate_of").isNull()).select(*[F.col(c).alias(f"f_{c}") for c in ("doc_id", "fact_id", "pos", "entity", "sentence", "role", "date_parsed")])
-    table = lambda d: F.coalesce(F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])[F.lower("anchor_entity")], F.array().cast("array<string>")) if d else F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
+    holds = lambda concept: F.contains(normalise_entity(F.col("anchor_entity")), F.lit(concept.lower()))
+    table = lambda d: F.concat(none, *[F.when(holds(k), F.array(*map(F.lit, v)).cast("array<string>")).otherwise(none) for k, v in d.items()])
     listed = lambda v: F.array(*map(F.lit, v)).cast("array<string>")
-    keyed = rules.withColumns({"rule": F.concat_ws(":", "doc_id", F.col("dep_pos").cast("string")), "plain": table(vocabulary.aliases), "ends": table(vocabulary.end_only)})
+    keyed = rules.withColumns({"rule": F.concat_ws(":", "doc_id", F.col("dep_pos").cast("string")), "plain": table(vocabulary.aliases), "ends": table(vocabulary.end_only), "concept": reduce(or_, map(holds, {**vocabulary.aliases, **vocabulary.end_only}), F.lit(False))})
     # Every rule is tried on every dated fact: rules come from a rule pack of a few clauses.
     if rules.count() > max_rules:
         raise ValueError(f"more than {max_rules} rules; check them pack by pack")
@@ -84,7 +124,7 @@ def check(rules: DataFrame, facts: DataFrame, vocabulary: Vocabulary = EMPTY, to
     scored = met.withColumns({"alias": alias, "s": F.greatest(alias, likeness)})
     first = Window.partitionBy("rule").orderBy(F.desc("s"), "f_pos", "f_doc_id", "f_fact_id")
     anchors = scored.where(F.col("s") >= floor).withColumn("r", F.row_number().over(first))
-    anchor = anchors.where("r = 1").select("rule", F.col("f_fact_id").alias("anchor_fact"), F.col("f_doc_id").alias("anchor_doc"), F.col("f_date_parsed").alias("anchor_date"), F.col("s").alias("anchor_score"))
+    anchor = anchors.where((F.col("r") == 1) & (~F.col("concept") | (F.col("alias") >= 0.75))).select("rule", F.col("f_fact_id").alias("anchor_fact"), F.col("f_doc_id").alias("anchor_doc"), F.col("f_date_parsed").alias("anchor_date"), F.col("s").alias("anchor_score"))
     options = anchors.where((F.col("alias") == 0.75)).groupBy("rule").agg(F.sort_array(F.collect_set("f_date_parsed")).alias("options"), F.max("alias").alias("best_alias"))
     joined = keyed.join(anchor, "rule", "left").join(options, "rule", "left")
     deadline = apply_offset(F.col("anchor_date"), F.col("years"), F.col("months"), F.col("days"), F.col("minus_one_day"))

@@ -179,6 +179,32 @@ def test_rules(spark):
     assert not rules.find_rules(facts.replace("within 3 months beginning with the dismissal", "3 months from the dismissal"), deps).first()["minus_one_day"] is None
 
 
+def test_rules_of_named_concepts(spark):
+    rule = spark.createDataFrame([("r", 0, "effective date of termination", "claim presented", "three months from the effective date of termination", 0, 3, 0, False, "read", "x")], "doc_id string, dep_pos int, anchor_entity string, target_entity string, anchor_sentence string, years int, months int, days int, minus_one_day boolean, inclusivity_source string, description string")
+    words = rules.Vocabulary({"effective date of termination": ("dismissal", "appeal dismissal date")}, {}, noise=("appeal",))
+    case = lambda name: spark.createDataFrame([("c", "1", 0, name, "It was three months from the date", "END", date(2025, 7, 12), None), ("c", "2", 1, "claim presented", "The claim was presented", "END", date(2025, 10, 20), None)], "doc_id string, fact_id string, pos int, entity string, sentence string, role string, date_parsed date, is_duplicate_of string")
+    verdict = lambda name, vocabulary: (lambda r: (r["verdict"], r["anchor_date"] is None))(rules.check(rule, case(name), vocabulary).first())
+    assert verdict("date of termination meeting", rules.EMPTY) == ("LATE", False)
+    assert verdict("date of termination meeting", words) == verdict("dismissal appeal", words) == ("INDETERMINATE", True)
+    assert verdict("her dismissal", words) == verdict("The effective date of termination", words) == verdict("appeal dismissal date", words) == ("LATE", False)
+
+
+def test_rules_are_anchored_to_the_event_of_their_clause(spark):
+    phrases = ["within three months beginning with the effective date of termination, or later", "28 days from the date on which X.", "2 weeks of notice", "no period after the act", "3 months", None]
+    found = spark.createDataFrame(list(enumerate(phrases)), "i int, s string").orderBy("i").select(rules.anchor_phrase(F.col("s")).alias("p")).collect()
+    assert [r["p"] for r in found] == ["effective date of termination", "X", "notice", None, None, None]
+    clause = "presented within three months beginning with the effective date of termination"
+    deps = spark.createDataFrame([("r", 0, "s", "t", "additive", "3 months", None)], "doc_id string, dep_pos int, from_id string, to_id string, constraint_type string, constraint_expr string, delta_days int")
+    fact = lambda i, pos, entity, sentence: ("r", i, pos, entity, sentence, None, "START")
+    table = lambda *more: spark.createDataFrame([fact("s", 0, "complaint", "The complaint"), fact("t", 1, "claim", clause), *more], "doc_id string, fact_id string, pos int, entity string, sentence string, value string, role string")
+    anchor = lambda facts, **how: (lambda r: (r["anchor_entity"], r["anchor_sentence"], r["description"]))(rules.find_rules(facts, deps, **how).first())
+    other = fact("e", 2, "the effective date of termination", "It ends")
+    assert anchor(table(other)) == ("the effective date of termination", "It ends", "claim = the effective date of termination + 3m - 1 day")
+    assert anchor(table(other), reanchor=False)[:2] == ("complaint", "The complaint")
+    long = table().withColumn("sentence", F.when(F.col("fact_id") == "t", F.concat("sentence", F.lit(" or by any other day that the tribunal in its discretion thinks fit to allow"))).otherwise(F.col("sentence")))
+    assert anchor(long)[:2] == ("effective date of termination", "effective date of termination")
+
+
 def test_relations(spark):
     docs = spark.createDataFrame([("d", "The response is due 28 days after the service of the claim. Other 8 days apply.")], "doc_id string, source_text string")
     facts = spark.createDataFrame([("d", "a", "service"), ("d", "b", "response"), ("d", "c", "weather")], "doc_id string, fact_id string, entity string")
