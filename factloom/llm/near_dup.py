@@ -318,6 +318,11 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], left_n: list[int],
 
 def near_duplicates(docs: DataFrame, k: int = 192, shared: int = 12, small: int = 16, frequent: int = 1 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document."""
+    return grouped(docs, k, shared, small, frequent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def grouped(docs: DataFrame, k: int = 192, shared: int = 12, small: int = 16, frequent: int = 1 << 20) -> DataFrame:
+    """What near_duplicates gives, with the key of the document's set and of its component; null without words."""
     docs = docs.select("doc_id", "text")
     sketched = cut(sketches(docs, k))
     nodes = sketched.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc_id"))
@@ -339,32 +344,45 @@ def near_duplicates(docs: DataFrame, k: int = 192, shared: int = 12, small: int
     release(docs)
     named = labels.join(nodes, "key")
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    found = named.join(smallest, "label").select(F.col("key"), "component_id")
-    grouped = nodes.join(found, "key", "left").select("key", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = named.join(smallest, "label").select(F.col("key"), "component_id", "label")
+    placed = nodes.join(found, "key", "left").select("key", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("label", "key").alias("component"))
     rows = sketched.select("doc_id", F.col("n").alias("n_shingles"), "key")
-    with_words = rows.where(F.col("key").isNotNull()).join(grouped, "key").select("doc_id", "n_shingles", "component_id")
-    without = rows.where(F.col("key").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    with_words = rows.where(F.col("key").isNotNull()).join(placed, "key").select("doc_id", "n_shingles", "component_id", "key", "component")
+    without = rows.where(F.col("key").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "key", F.lit(None).cast("binary").alias("component"))
     return with_words.unionByName(without).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame, broadcast_ids: int = 1_000_000) -> DataFrame:
     """The documents that stay, with all their columns: of each component the smallest id.
 
-    Ids are expected to be distinct; of rows that repeat an id and its text, one
-    stays.
+    Where ids repeat or are null, the smallest id and set of each component stay, a
+    null id last, and of documents without words one for each id and text.
     """
+    if docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").limit(1).count():
+        return _one_of_each_by_set(docs)
     found = cut(near_duplicates(docs))
     gone = cut(found.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("n_shingles").alias("_n")).distinct())
     gone_ids = F.broadcast(gone.select("_id")) if gone.count() <= broadcast_ids else gone.select("_id")
-    repeated = found.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
-    if repeated:
-        # A repeated id may be kept in one component and not in another.
-        kept = found.where("kept").select(F.col("doc_id").alias("_id")).distinct()
-        docs = docs.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
-        return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
     return docs.join(gone_ids, docs["doc_id"] == gone_ids["_id"], "left_anti")
 
 
+def _one_of_each_by_set(docs: DataFrame) -> DataFrame:
+    @F.arrow_udf("binary")
+    def key_of(text: pa.Array) -> pa.Array:
+        values = map(shingle_set, text.to_pylist())
+        return pa.array([set_key(v) if len(v) else None for v in values], pa.binary())
+
+    member = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    best = grouped(docs).where(F.col("key").isNotNull()).groupBy("component").agg(F.min(member).alias("m"))
+    best = cut(best.select(F.col("m.doc_id").alias("_id"), F.col("m.key").alias("_best")))
+    # Copies go before the join, so that no id and set meets itself many times.
+    keyed = docs.withColumns({"_key": key_of("text"), "_text": F.xxhash64("text")})
+    with_words = keyed.where(F.col("_key").isNotNull()).dropDuplicates(["doc_id", "_key"])
+    with_words = with_words.join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_best")), "left_semi")
+    without = keyed.where(F.col("_key").isNull()).dropDuplicates(["doc_id", "_text"])
+    return with_words.unionByName(without).drop("_key", "_text")
+
+
 def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 

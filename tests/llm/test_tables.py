@@ -75,6 +75,23 @@ def test_near_duplicates_of_odd_tables(spark):
     assert sorted((r["doc_id"] or -1, r["component_id"]) for r in rows) == [(-1, 7), (7, 7), (7, 7), (9, 9)]
 
 
+def test_one_of_each_of_odd_ids(spark):
+    x, y, z = ("x one two three", "y four five six", "z seven eight nine")
+
+    def left(*rows):
+        docs = spark.createDataFrame([(*r, "t") for r in rows], "doc_id long, text string, more string")
+        kept = near_dup.one_of_each(docs)
+        assert kept.columns == docs.columns
+        return sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+
+    assert left((7, x), (7, y), (3, y)) == [(3, y), (7, x)]
+    assert left((5, x), (None, x), (6, y)) == [(5, x), (6, y)]
+    assert left((None, x), (None, x.upper()), (None, y), (2, y), (2, z), (2, z), (9, z)) in ([(2, y), (2, z), (None, t)] for t in (x, x.upper()))
+    long = " ".join(f"w{i}" for i in range(60))
+    assert [i for i, _ in left((4, f"{long} a"), (4, f"{long} b"), (8, f"{long} b"), (None, f"{long} c"))] == [4]
+    assert left((1, ""), (1, ""), (2, None), (1, x), (3, x), (3, "")) == [(1, ""), (1, x), (2, None), (3, "")]
+
+
 def test_estimate_and_overlaps():
     rng = np.random.default_rng(1)
     common, a, b = (rng.integers(0, 1 << 62, n).astype(np.uint64) for n in (4000, 500, 500))
