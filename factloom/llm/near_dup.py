@@ -1,53 +1,63 @@
 """Near-duplicate documents by bottom-k sketches, verified on full sets.
 
-A document's set holds its distinct 2-word shingles, each under one 64-bit hash.
-Documents of equal sets are one node, so copies never meet as pairs. A node's
-sketch holds the ``k`` smallest hashes of its set.
-
-Candidates. Retained values make inverted lists. Two sets of Jaccard similarity
-0.8 share at least ``m`` of their retained values: exactly ceil(0.8 n) if the
-sketch is the whole set, and six standard deviations below the mean for longer
-sets (120 of 192; a pair at the threshold is missed with a chance below 1e-8). If
-values are put in any one order, such sets share at least ``shared`` of the first
-len - m + ``shared`` values of both. The order is rare values first, so what many
-documents share seldom makes a list. The frequencies for it are a hint: they
-change which values are listed, never whether a pair is found; they are kept for
-``frequent`` values at most.
-
-Lists of up to ``small`` nodes give all their pairs, counted over lists. A longer
-list gives the pairs of its members with its leader, the node whose sketch is
-most widely shared, where they share many lists. First, each node is verified against one partner, and the
-verified links are contracted to components; then all candidates between
-different components. Of a long list that still spans several components, the
-members outside its largest component are paired with those of the others, so no
-link between components is lost; this runs in blocks of sketches, not as rows.
-
-Verification takes two steps: the bottom-k sketch of a pair's union estimates the
-similarity (five standard deviations below 0.8 is rejected, a chance below 1e-6;
-sketches that hold whole sets decide exactly), then 100 * intersection >= 80 * union is tested on the whole sets of
-the pairs that remain.
+A document's set holds its distinct shingles, each under one 64-bit hash. Documents
+of equal sets are one node, so copies never meet as pairs. A node's sketch holds
+the ``k`` smallest hashes of its set, and a number stands for the node.
+
+Lists. Retained values make inverted lists of nodes. Two sets of similarity 0.8
+share at least ``m`` of their retained values: ceil(0.8 n) if the sketches hold the
+whole sets, else what a binomial draw of ``k`` values exceeds but for a chance below
+1e-9 (30 of 64). If values are put in any one order, such nodes share at least
+``shared`` of the first len - m + ``shared`` values of both; only those are listed.
+The order is rare values first, by the number of nodes that retain a value, so what
+many documents share seldom makes a list. These counts cover all nodes; the most
+frequent ``frequent`` values are told apart (12 bytes each), which changes lists,
+never results. A ``k`` above the longest set's size makes everything exact.
+
+Short lists (``small`` nodes at most) give their pairs; a pair is a candidate if it
+shares ``shared`` of them. A linked pair that shares fewer shares a long list.
+
+Long lists. Each node is first paired with the leader of its lists, the node whose
+sketch is most widely shared. Candidates are verified and their links contracted.
+Lists whose leaders fell into one component make a bucket. In a bucket, the nodes
+outside the leaders' component are compared with those of other components, block
+by block: first the overlaps of sketches, which tell the nodes that may have a
+partner at all, then their whole sets. A pair of blocks is a task's group of
+bounded size, and gives links that span what it joined, never all its pairs.
+
+Verification of a candidate: the bottom-k sketch of the union estimates the
+similarity (five standard deviations below 0.8 is rejected, a chance below 1e-6),
+then 100 * intersection >= 80 * union is tested on the whole sets.
 
 Defined cases: null or empty text, or one without words, has 0 shingles and is its
-own component; one word is one shingle. Repeated rows share a component. A null
-doc_id never names a component unless all its members' ids are null. Extra
-columns are ignored; an empty table gives an empty result.
+own component; fewer words than a shingle has are one shingle. Repeated rows share a
+component. A null doc_id never names a component unless all its members' ids are
+null. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, map_rows, release, table
+from factloom.lineage import cut
+from factloom.llm.common import map_rows, table
+from factloom.operators.events import components
 
 _A, _B, _C = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-# Of k retained values, a pair at the threshold shares 0.8 k with a standard deviation of 0.4 sqrt(k).
-SIGMAS, LIKELY_SIGMAS = 6, 5
+#: The chance that a linked pair shares fewer retained values than expected, and the width of the estimate's filter.
+MISSED, LIKELY_SIGMAS = 1e-9, 5
+#: A posting's info: the size of its set, above it how many lists a pair needs (four bits), above it how widely its sketch is shared.
+SIZE_BITS = 44
+#: Joins take the smaller side as a broadcast up to so many rows of a few dozen bytes; a shuffle beyond.
+BROADCAST_ROWS = 500_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -56,159 +66,210 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the 2-word shingles; bytes.split() splits at 0x20 and 0x09-0x0D."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    if len(words) < 2:
-        return _mixed(hashes + _A)
-    return np.unique(_mixed(hashes[:-1] * _A + _mixed(hashes[1:])))
+def shingle_set(text: str | None, words: int = 2) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; bytes.split() splits at 0x20 and 0x09-0x0D."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+    if not len(hashes):
+        return hashes
+    size = min(words, len(hashes))
+    places = len(hashes) - size + 1
+    value = hashes[:places] if size == words else _mixed(hashes[:1] + _A)
+    for j in range(1, size):
+        value = _mixed(value * _A + _mixed(hashes[j : j + places]))
+    return np.unique(value)
 
 
 def set_key(values: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(values.tobytes())
 
 
-def least_shared(n: int, k: int) -> int:
-    """How many retained values a node of n shingles shares with any linked node."""
+def binomial_floor(k: int, share: float = 0.8, missed: float = MISSED) -> int:
+    """The largest m so that fewer than m of k draws of this share have a chance below ``missed``."""
+    below = 0.0
+    for i in range(k + 1):
+        below += math.exp(math.lgamma(k + 1) - math.lgamma(i + 1) - math.lgamma(k - i + 1) + i * math.log(share) + (k - i) * math.log(1 - share))
+        if below > missed:
+            return i
+    return k
+
+
+def least_shared(n: np.ndarray, k: int) -> np.ndarray:
+    """How many retained values nodes of n shingles share with any linked node."""
+    n = np.asarray(n, np.int64)
     whole = -(-4 * n // 5)
-    return whole if 5 * n <= 4 * k else min(whole, math.floor(0.8 * k - SIGMAS * 0.4 * math.sqrt(k)))
+    return np.where(5 * n <= 4 * k, whole, np.minimum(whole, binomial_floor(min(k, 1 << 16))))
+
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+    values = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
-def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, key, sketch; key is null without words."""
+
+def sketches(docs: DataFrame, k: int, words: int = 2) -> DataFrame:
+    """doc_id, text_hash, n, key, sketch for each document; key is null without words."""
 
     def sketch(batch: pa.RecordBatch) -> dict:
         n, keys, kept = [], [], []
-        for text in batch.column("text").to_pylist():
-            values = shingle_set(text)
+        for text in batch.column("text"):
+            values = shingle_set(text.as_py(), words)
             n.append(len(values))
             keys.append(set_key(values) if len(values) else None)
-            kept.append(values[:k].tobytes())
-        return {"doc_id": batch.column("doc_id").cast(pa.int64()), "n": n, "key": keys, "sketch": kept}
+            kept.append(values[:k])
+        return {"doc_id": batch.column("doc_id").cast(pa.int64()), "text_hash": batch.column("text_hash"), "n": n, "key": pa.array(keys, pa.binary()), "sketch": _lists(kept)}
 
-    return map_rows(docs.select("doc_id", "text"), "doc_id long, n long, key binary, sketch binary", sketch)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return map_rows(rows, "doc_id long, text_hash long, n long, key binary, sketch array<bigint>", sketch)
 
 
-def frequent_values(sketched: DataFrame, most: int, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Values that many sketches retain, sorted, and about how often; at most ``most``."""
+def nodes_of(sketched: DataFrame) -> DataFrame:
+    """node, key, doc_id (the smallest), n, sketch for each distinct set."""
+    first = [F.first(c).alias(c) for c in ("n", "sketch")]
+    return sketched.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc_id"), *first).withColumn("node", F.monotonically_increasing_id())
 
-    def count(batches):
-        parts = [np.frombuffer(s, np.uint64) for batch in batches for s in batch.column("sketch").to_pylist()]
-        values, counts = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
-        kept = counts > 1
-        yield pa.RecordBatch.from_arrays([pa.array(values[kept].view(np.int64)), pa.array(counts[kept].astype(np.int64))], names=["value", "c"])
 
-    rows = (
-        sketched.select("sketch").mapInArrow(count, "value long, c long").groupBy("value").agg(F.sum("c").alias("c"))
-        .where(F.col("c") >= least).orderBy(F.desc("c"), "value").limit(most).toArrow()
-    )
-    values, counts = rows.column("value").to_numpy().view(np.uint64), rows.column("c").to_numpy()
+def frequent_values(nodes: DataFrame, most: int, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """The values that most nodes retain, sorted, and how many do; ``most`` rows at most."""
+    counted = nodes.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count("*").alias("c")).where(F.col("c") >= least)
+    rows = counted.orderBy(F.desc("c"), "value").limit(most).toArrow()
+    values, counts = rows.column("value").to_numpy(), rows.column("c").to_numpy()
     order = np.argsort(values)
-    return values[order], counts[order]
+    return values[order], np.minimum(counts[order], np.iinfo(np.int32).max).astype(np.int32)
 
 
-def listed_values(sketched: DataFrame, k: int, shared: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """value, key, info: the retained values of each node that make lists.
+def postings(nodes: DataFrame, k: int, shared: int, frequent: tuple[np.ndarray, np.ndarray], part_rows: int) -> DataFrame:
+    """value, part, node, info: what is listed of each node.
 
-    ``info`` holds how many lists a linked pair shares (the low four bits), then the
-    size of the set, and above how widely the node's sketch is shared. Copies in a
-    batch are listed once.
+    ``part`` is 0, or for a value of over ``part_rows`` nodes one of its parts from 1 on.
     """
+    if not 0 < shared < 16:
+        raise ValueError("shared is kept in four bits: 1 to 15")
     values, counts = frequent
 
     def post(batch: pa.RecordBatch) -> dict:
-        out_value, out_key, out_info = [], [], []
-        rows = {key: (n, raw) for n, key, raw in zip(batch.column("n").to_pylist(), batch.column("key").to_pylist(), batch.column("sketch").to_pylist())}
-        for key, (n, raw) in rows.items():
-            sketch = np.frombuffer(raw, np.uint64)
-            rank = np.zeros(len(sketch), np.int64)
-            if len(values):
-                at = np.minimum(np.searchsorted(values, sketch), len(values) - 1)
-                rank = np.where(values[at] == sketch, counts[at], 0)
-            m = least_shared(n, k)
-            need = min(shared, m)  # below 16
-            chosen = sketch[np.lexsort((sketch, rank))[: len(sketch) - m + need]]
-            out_value.append(chosen)
-            out_key += [key] * len(chosen)
-            out_info.append(np.full(len(chosen), int((rank > 0).sum()) << 44 | n << 4 | need))
-        return {"value": np.concatenate(out_value).view(np.int64), "key": out_key, "info": pa.array(np.concatenate(out_info), pa.int64())}
-
-    nodes = sketched.where(F.col("key").isNotNull()).select("n", "key", "sketch")
-    return map_rows(nodes, "value long, key binary, info long", post)
-
-
-def _ordered(a: Column, b: Column) -> list[Column]:
+        lists, n, node = batch.column("sketch"), batch.column("n").to_numpy(), batch.column("node").to_numpy()
+        value, lens = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(lens)), lens)
+        count = np.zeros(len(value), np.int64)
+        if len(values):
+            at = np.minimum(np.searchsorted(values, value), len(values) - 1)
+            count = np.where(values[at] == value, counts[at], 0)
+        order = np.lexsort((value, count, row))
+        place = np.arange(len(value)) - np.repeat(np.cumsum(lens) - lens, lens)
+        m = least_shared(n, k)
+        need = np.minimum(shared, m)
+        order = order[place < np.repeat(lens - m + need, lens)]
+        widely = np.minimum(np.bincount(row, np.log2(1.0 + count), len(lens)), 32000).astype(np.int64)
+        info = widely << (SIZE_BITS + 4) | need << SIZE_BITS | n
+        row, count = row[order], count[order]
+        parts = np.where(count > part_rows, -(-count // part_rows), 0)
+        dealt = (_mixed(node[row].view(np.uint64) + _A) % np.maximum(parts, 1).astype(np.uint64)).astype(np.int32)
+        return {"value": value[order], "part": np.where(parts > 0, dealt + 1, 0).astype(np.int32), "node": node[row], "info": info[row]}
+
+    return map_rows(nodes.select("node", "n", "sketch"), "value long, part int, node long, info long", post)
+
+
+def list_rows(posted: DataFrame, small: int, held: int = 1 << 16) -> DataFrame:
+    """Pairs of short lists (pair true: a, b, need) and postings of long ones (value, a: node, b: info).
+
+    One sort by value serves both. At most a batch and ``held`` postings of a list are in memory;
+    a list that is dealt in parts counts as long.
+    """
+    schema = pa.schema([("pair", pa.bool_()), ("value", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("need", pa.int32())])
+
+    def rows(pair: bool, value: np.ndarray, a: np.ndarray, b: np.ndarray, need: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), pair)), pa.array(value), pa.array(a), pa.array(b), pa.array(need.astype(np.int32))], schema=schema)
+
+    def whole(value: np.ndarray, part: np.ndarray, node: np.ndarray, info: np.ndarray, open_: int | None) -> Iterator[pa.RecordBatch]:
+        """The rows of complete lists; that of the value ``open_`` is known to be long."""
+        _, run, c = np.unique(value, return_inverse=True, return_counts=True)
+        is_long = (c[run] > small) | (part > 0) | (np.zeros(len(value), bool) if open_ is None else value == open_)
+        if is_long.any():
+            yield rows(False, value[is_long], node[is_long], info[is_long], np.zeros(is_long.sum()))
+        short = ~is_long & (c[run] > 1)
+        value, node, info = value[short], node[short], info[short]
+        n, need = info & ((1 << SIZE_BITS) - 1), info >> SIZE_BITS & 15
+        for j in range(1, min(small, len(value))):
+            x = np.flatnonzero(value[:-j] == value[j:])
+            if not len(x):
+                return
+            y = x + j
+            # Sets of similarity 0.8 are of sizes within 4 : 5; other pairs never become rows.
+            alike = (5 * n[x] >= 4 * n[y]) & (5 * n[y] >= 4 * n[x])
+            x, y = x[alike], y[alike]
+            yield rows(True, value[x], np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), np.minimum(need[x], need[y]))
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, open_ = None, None
+        for batch in batches:
+            now = [batch.column(c).to_numpy() for c in ("value", "part", "node", "info")]
+            now = now if rest is None else [np.concatenate(x) for x in zip(rest, now)]
+            if not len(now[0]):
+                continue
+            cut_at = int(np.searchsorted(now[0], now[0][-1]))
+            if cut_at:
+                yield from whole(*(x[:cut_at] for x in now), open_)
+                open_ = open_ if open_ == now[0][-1] else None
+            rest = [x[cut_at:] for x in now]
+            if len(rest[0]) > held or open_ is not None:
+                open_ = int(rest[0][-1])
+                yield from whole(*rest, open_)
+                rest = None
+        if rest is not None:
+            yield from whole(*rest, open_)
+
+    dealt = posted.repartition("value", "part").sortWithinPartitions("value")
+    return dealt.mapInArrow(lists, "pair boolean, value long, a long, b long, need int")
+
+
+def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def candidates(lists: DataFrame, small: int, shared: int, broadcast_nodes: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
-    """Pairs a, b, shared from the lists, and the members of the long lists.
+def small_side(df: DataFrame) -> DataFrame:
+    """As a broadcast if its rows, counted first, are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-    A pair of short lists stays if the lists it shares, with the long lists that
-    both nodes stand in, may reach what it needs.
-    """
-    # One exchange by value serves the counts and the join with them.
-    once = lists.repartition("value").groupBy("value", "key").agg(F.max("info").alias("info"))
-    sized = cut(once.join(once.groupBy("value").agg(F.count("*").alias("c")).where("c > 1"), "value"))
-    release(lists)
-    in_lists = sized.where(F.col("c") > small)
-    leaders = in_lists.groupBy("value").agg(F.max(F.struct("info", "key")).alias("leader"))
-    long = cut(in_lists.join(leaders, "value").select("value", "key", F.col("leader.key").alias("leader")))
-    # A pair that shares no short list shares as many long lists as it needs.
-    in_long = cut(long.join(in_lists.select("value", "key", "info"), ["value", "key"]).groupBy("key").agg(F.count("*").alias("n_long"), (F.max("info") % 16).cast("int").alias("need")))
-    enough = in_long.where(F.col("n_long") >= F.col("need")).select("key")
-    long = cut(long.join(enough, "key", "left_semi"))
-    in_long = F.broadcast(in_long) if in_long.count() <= broadcast_nodes else in_long
-    node = F.struct("key", (F.col("info") % 16).cast("int").alias("need"), (F.shiftright("info", 4) % (1 << 40)).alias("n"))
-    members = sized.where(F.col("c") <= small).groupBy("value").agg(F.sort_array(F.collect_list(node)).alias("m"))
-    # Sets of similarity 0.8 are of sizes within 4 : 5; other pairs never become rows.
-    alike = lambda x, y: (5 * x["n"] >= 4 * y["n"]) & (5 * y["n"] >= 4 * x["n"])
-    pair = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice(F.col("m"), i + 2, F.size("m")), lambda y: alike(x, y)), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b"), F.least(x["need"], y["need"]).alias("need")))))
-    counted = members.select(F.explode(pair).alias("p")).select("p.*").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("need").alias("need"))
-    for side in ("a", "b"):
-        counted = counted.join(in_long.select(F.col("key").alias(side), F.col("n_long").alias(f"{side}_long")), side, "left")
-    both = F.least(F.coalesce(F.col("a_long"), F.lit(0)), F.coalesce(F.col("b_long"), F.lit(0)))
-    short_pairs = counted.where(F.col("shared") + both >= F.col("need")).select("a", "b", "shared")
-    # Pairs with a leader only bring components together early; what they miss is compared in blocks later.
-    led = long.where("key <> leader").groupBy(*_ordered(F.col("key"), F.col("leader"))).agg(F.count("*").alias("shared")).where(F.col("shared") >= shared)
-    return cut(short_pairs.unionByName(led).groupBy("a", "b").agg(F.sum("shared").alias("shared"))), long.select("value", "key")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, needed_broadcast: int = 1_000_000) -> DataFrame:
-    """The pairs a, b that are linked. nodes: key and one doc_id of each.
-
-    The sets are made again from the texts of just the documents that the pairs
-    need; their ids are broadcast up to ``needed_broadcast`` rows.
-    """
-    pairs = pairs.select("a", "b")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    ids = cut(nodes.join(used, "key", "left_semi").select(F.col("doc_id").alias("_id")))
-    ids = F.broadcast(ids) if ids.count() <= needed_broadcast else ids
-    wanted = docs.select("doc_id", "text").join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+
+def whole_sets(used: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """node, values: the sets of the nodes, made again from the texts of just their documents. used: node, doc_id, key."""
+    used = cut(used.select("node", F.col("doc_id").alias("_id"), F.col("key").alias("_key")))
+    wanted = docs.select("doc_id", "text").join(small_side(used), docs["doc_id"].eqNullSafe(used["_id"])).select("node", "_key", "text")
 
     def sets(batch: pa.RecordBatch) -> dict:
-        values = [shingle_set(t) for t in batch.column("text").to_pylist()]
-        return {"key": [set_key(v) for v in values], "values": [v.tobytes() for v in values]}
+        node, values = [], []
+        for x, key, text in zip(batch.column("node"), batch.column("_key"), batch.column("text")):
+            # An id may stand for several texts; only that of the node counts.
+            found = shingle_set(text.as_py(), words)
+            if len(found) and set_key(found) == key.as_py():
+                node.append(x.as_py())
+                values.append(found)
+        return {"node": pa.array(node, pa.int64()), "values": _lists(values)}
+
+    return map_rows(wanted, "node long, values array<bigint>", sets).groupBy("node").agg(F.first("values").alias("values"))
 
-    # An id may stand for several texts, so only the sets of used keys stay, once each.
-    full = map_rows(wanted.select("text"), "key binary, values binary", sets).join(used, "key", "left_semi").groupBy("key").agg(F.first("values").alias("values"))
-    full = cut(full)
 
-    def passing(left: DataFrame, values: Column, test) -> DataFrame:
-        """The pairs whose two columns of hashes pass a test."""
+def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, words: int) -> DataFrame:
+    """The pairs a, b that are linked: estimated on sketches, then tested on whole sets."""
 
+    def passing(pairs: DataFrame, have: DataFrame, test: Callable) -> DataFrame:
         def check(batch: pa.RecordBatch) -> dict:
-            rows = zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist())
-            mask = pa.array([bool(test(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))) for x, y in rows])
+            rows = zip(batch.column("va"), batch.column("vb"))
+            mask = pa.array([bool(test(*(v.values.to_numpy().view(np.uint64) for v in row))) for row in rows], pa.bool_())
             return {"a": batch.column("a").filter(mask), "b": batch.column("b").filter(mask)}
 
-        for side in ("b", "a"):
-            left = left.join(full.select(F.col("key").alias(side), values.alias(f"v{side}")), side)
-        return map_rows(left, "a binary, b binary", check)
+        for side in ("a", "b"):
+            pairs = pairs.join(have.select(F.col("node").alias(side), F.col("values").alias(f"v{side}")), side)
+        return map_rows(pairs.select("a", "b", "va", "vb"), "a long, b long", check)
 
-    likely = cut(passing(pairs, F.substring("values", 1, 8 * k), lambda x, y: likely_linked(x, y, k)))
-    return cut(passing(likely, F.col("values"), linked))
+    def used(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        return nodes.join(ends, "node", "left_semi")
+
+    retained = used(pairs).select("node", F.col("sketch").alias("values"))
+    likely = cut(passing(pairs, retained, lambda x, y: likely_linked(x, y, k)))
+    return cut(passing(likely, whole_sets(used(likely), docs, words), linked))
 
 
 def estimate(x: np.ndarray, y: np.ndarray, k: int) -> float:
@@ -230,157 +291,164 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= 80 * (len(x) + len(y) - both) and both > 0
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """key, label for each node of the edges a, b: the smallest key it reaches.
-
-    Each round every node takes the smallest label among its neighbours' and its
-    own, and then its label's label, until no label changes.
-    """
-    both = cut(edges.select(F.col("a").alias("key"), F.col("b").alias("other")).union(edges.select("b", "a")).distinct())
-    labels = cut(both.groupBy("key").agg(F.min("other").alias("o")).select("key", F.least("key", "o").alias("label")))
-    while True:
-        near = both.join(labels.withColumnRenamed("key", "other"), "other").groupBy("key").agg(F.min("label").alias("near"))
-        moved = labels.join(near, "key").select("key", F.least("label", "near").alias("next"), "label")
-        jump = labels.select(F.col("key").alias("next"), F.col("label").alias("far"))
-        after = cut(moved.join(jump, "next", "left").select("key", F.least("next", F.coalesce("far", "next")).alias("new"), "label"))
-        changed = after.where("new <> label").limit(1).count()
-        labels = after.select("key", F.col("new").alias("label"))
-        if not changed:
-            return labels
-
-
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends have different labels."""
-    for side in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("key").alias(side), F.col("label").alias(f"{side}_label")), side, "left")
-    return pairs.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
-
-
-def _across_long_lists(long: DataFrame, labels: DataFrame, sketched: DataFrame, k: int, rows: int = 256) -> DataFrame:
-    """Likely pairs of long lists that still span several components.
-
-    Lists with the same largest component make a bucket, so that each pair is met
-    once. In a bucket only the nodes outside that component are compared, with
-    the nodes of other components, in blocks of ``rows`` sketches on either side:
-    memory is bounded, and only pairs that may be linked become rows.
-    """
-    named = long.join(labels, "key", "left").select("value", "key", F.coalesce("label", "key").alias("label"))
-    parts = named.groupBy("value", "label").agg(F.count("*").alias("c"))
-    largest = parts.groupBy("value").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("n")).where("n > 1").select("value", F.col("top.label").alias("top"))
-    members = cut(named.join(largest, "value").select("top", "key", "label").distinct())
-    used = sketched.select("key", "n", "sketch").join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    members = cut(members.join(used, "key"))
-
-    def pack(key: tuple, group: pa.Table) -> pa.Table:
-        top, part = (x.as_py() for x in key)
-        columns = [[group.column(c).to_pylist()] for c in ("key", "label", "n", "sketch")]
-        return pa.table([pa.array([top], pa.binary()), pa.array([part], pa.int64()), *(pa.array(c) for c in columns)], names=["top", "part", "keys", "labels", "ns", "sketches"])
-
-    def packed(side: DataFrame) -> DataFrame:
-        counts = side.groupBy("top").agg(F.ceil(F.count("*") / rows).alias("parts"))
-        dealt = side.join(counts, "top").withColumn("part", F.pmod(F.xxhash64("key"), "parts")).select("top", "part", "key", "label", "n", "sketch")
-        return dealt.groupBy("top", "part").applyInArrow(pack, "top binary, part long, keys array<binary>, labels array<binary>, ns array<bigint>, sketches array<binary>")
-
-    def compare(batches):
-        for batch in batches:
-            a, b = [], []
-            for row in batch.to_pylist():
-                left, right = ([np.frombuffer(s, np.uint64) for s in row[f"{side}_sketches"]] for side in "lr")
-                for i, j in overlaps(left, right, row["l_ns"], row["r_ns"], k):
-                    if row["l_labels"][i] != row["r_labels"][j] and likely_linked(left[i], right[j], k):
-                        x, y = sorted((row["l_keys"][i], row["r_keys"][j]))
-                        a.append(x)
-                        b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    sides = [packed(members.where(F.col("label") != F.col("top"))), packed(members)]
-    left, right = (s.select("top", *[F.col(c).alias(f"{side}_{c}") for c in ("keys", "labels", "ns", "sketches")]) for s, side in zip(sides, "lr"))
-    return left.join(right, "top").drop("top").mapInArrow(compare, "a binary, b binary").distinct()
-
-
-def overlaps(left: list[np.ndarray], right: list[np.ndarray], left_n: list[int], right_n: list[int], k: int) -> list[tuple[int, int]]:
-    """Places of the pairs that share as many retained values as linked nodes must."""
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many values each left array shares with each right one; arrays hold no value twice."""
+    shared = np.zeros((len(left), len(right)), np.float32)
+    if not left or not right:
+        return shared
     values = np.intersect1d(np.concatenate(left), np.concatenate(right))
-    if not len(values):
-        return []
-
-    def table_of(side: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(side), len(values)), np.float32)
-        for i, sketch in enumerate(side):
-            at = np.minimum(np.searchsorted(values, sketch), len(values) - 1)
-            out[i, at[values[at] == sketch]] = 1
+
+    def table_of(side: list[np.ndarray], part: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(side), len(part)), np.float32)
+        for i, own in enumerate(side):
+            at = np.minimum(np.searchsorted(part, own), len(part) - 1)
+            out[i, at[part[at] == own]] = 1
         return out
 
-    shared = table_of(left) @ table_of(right).T
-    needed = np.maximum.outer([least_shared(n, k) for n in left_n], [least_shared(n, k) for n in right_n])
-    return list(zip(*(x.tolist() for x in np.nonzero(shared >= needed))))
+    for start in range(0, len(values), columns):
+        part = values[start : start + columns]
+        shared += table_of(left, part) @ table_of(right, part).T
+    return shared
+
+
+def _block_pairs(members: DataFrame, compare: Callable, schema: str, rows: int, size: int) -> DataFrame:
+    """What ``compare`` gives for each block of outliers of a bucket with each block of its members.
+
+    members: bucket, node, label, n, values. Outliers are those whose label isn't the bucket.
+    A block has about ``rows`` members at most, and about ``size`` values.
+    """
+    outlier = F.col("label") != F.col("bucket")
+
+    def blocks(which: Column, name: str) -> Column:
+        count, total = F.count_if(which), F.sum(F.when(which, F.size("values")).otherwise(0))
+        return F.greatest(F.ceil(count / rows), F.ceil(total / size)).cast("int").alias(name)
+
+    counts = members.groupBy("bucket").agg(blocks(outlier, "left_blocks"), blocks(F.lit(True), "right_blocks")).where("left_blocks > 0")
+    members = members.join(small_side(cut(counts)), "bucket")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["bucket", "node", "label", "n", "values"]
+    left = members.where(outlier).select(*columns, own("left_blocks").alias("i"), every("right_blocks").alias("j"), F.lit(True).alias("is_left"))
+    right = members.select(*columns, own("right_blocks").alias("j"), every("left_blocks").alias("i"), F.lit(False).alias("is_left"))
+
+    def both(group: pa.Table) -> pa.Table:
+        is_left = group.column("is_left")
+        return compare(group.filter(is_left), group.filter(pa.compute.invert(is_left)))
+
+    return left.unionByName(right).groupBy("bucket", "i", "j").applyInArrow(both, schema)
+
+
+def _arrays(side: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    values = [x.values.to_numpy() for x in side.column("values").combine_chunks()] if side.num_rows else []
+    return values, *(side.column(c).to_numpy() for c in ("n", "label", "node"))
+
+
+def _may_have_partners(members: DataFrame, k: int) -> DataFrame:
+    """bucket, node: those whose sketch overlaps enough with one of another label in their bucket."""
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        (x, n, label, node), (y, other_n, other_label, other) = _arrays(left), _arrays(right)
+        enough = overlaps(x, y) >= np.maximum.outer(least_shared(n, k), least_shared(other_n, k))
+        enough &= (5 * n[:, None] >= 4 * other_n) & (5 * other_n >= 4 * n[:, None]) & (label[:, None] != other_label)
+        found = np.unique(np.concatenate((node[enough.any(axis=1)], other[enough.any(axis=0)])))
+        bucket = left.column("bucket")[0].as_py() if left.num_rows else 0
+        return pa.table({"bucket": pa.array(np.full(len(found), bucket, np.int64)), "node": pa.array(found.astype(np.int64))})
+
+    return _block_pairs(members, compare, "bucket long, node long", 512, 1 << 17).distinct()
+
+
+def _spanning_links(members: DataFrame) -> DataFrame:
+    """a, b: labels joined by a link of whole sets; of each two blocks, links that span what they join."""
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        (x, _, label, _), (y, _, other_label, _) = _arrays(left), _arrays(right)
+        both = overlaps(x, y)
+        union = np.add.outer([len(v) for v in x], [len(v) for v in y]) - both
+        rows, columns = np.nonzero((100 * both >= 80 * union) & (label[:, None] != other_label))
+        joined = np.unique(np.stack((label[rows], other_label[columns])), axis=1).T.tolist()
+        root: dict[int, int] = {}
+
+        def top(z: int) -> int:
+            while root.setdefault(z, z) != z:
+                root[z] = z = root[root[z]]
+            return z
+
+        found = []
+        for a, b in joined:
+            if (p := top(a)) != (q := top(b)):
+                root[p] = q
+                found.append((a, b))
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return _block_pairs(members, compare, "a long, b long", 512, 1 << 19)
+
+
+def links_in_long_lists(members: DataFrame, labels: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, words: int) -> DataFrame:
+    """a, b: links between components that share a long list, by their labels. members: value, node, leader."""
+    placed = members.select("node", "leader").distinct().join(labels.select(F.col("key").alias("node"), "label"), "node", "left")
+    placed = placed.join(labels.select(F.col("key").alias("leader"), F.col("label").alias("lead_label")), "leader", "left")
+    placed = cut(placed.select(F.coalesce("lead_label", "leader").alias("bucket"), "node", F.coalesce("label", "node").alias("label")).distinct())
+    mixed = placed.where("label <> bucket").select("bucket").distinct()
+    placed = placed.join(mixed, "bucket", "left_semi")
+    near = cut(_may_have_partners(placed.join(nodes.select("node", "n", F.col("sketch").alias("values")), "node"), k))
+    sets = whole_sets(nodes.join(near.select("node").distinct(), "node", "left_semi"), docs, words)
+    return cut(_spanning_links(placed.join(near, ["bucket", "node"]).join(sets, "node").withColumn("n", F.size("values"))).distinct())
 
 
-def near_duplicates(docs: DataFrame, k: int = 192, shared: int = 12, small: int = 16, frequent: int = 1 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 64, shared: int = 4, small: int = 16, frequent: int = 1 << 18, words: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document."""
-    return grouped(docs, k, shared, small, frequent).select("doc_id", "n_shingles", "component_id", "kept")
+    return grouped(docs, k, shared, small, frequent, words).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def grouped(docs: DataFrame, k: int = 192, shared: int = 12, small: int = 16, frequent: int = 1 << 20) -> DataFrame:
-    """What near_duplicates gives, with the key of the document's set and of its component; null without words."""
+def grouped(docs: DataFrame, k: int = 64, shared: int = 4, small: int = 16, frequent: int = 1 << 18, words: int = 2, part_rows: int = 1024) -> DataFrame:
+    """What near_duplicates gives, with text_hash, the key of the document's set and the component; null without words."""
     docs = docs.select("doc_id", "text")
-    sketched = cut(sketches(docs, k))
-    nodes = sketched.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    pairs, long = candidates(listed_values(sketched, k, shared, frequent_values(sketched, frequent)), small, shared)
-    release(docs)
-    # One partner for each node, then all that is left between components.
-    first = (
-        pairs.select(F.explode(F.array(F.struct(F.col("a").alias("key"), "shared", F.col("b").alias("other")), F.struct(F.col("b").alias("key"), "shared", F.col("a").alias("other")))).alias("p"))
-        .select("p.*").groupBy("key").agg(F.max(F.struct("shared", "other")).alias("best")).select(*_ordered(F.col("key"), F.col("best.other"))).distinct()
-    )
-    first = cut(first)
-    edges = verified(first, docs, nodes, k)
-    labels = components(edges)
-    release(docs)
-    rest = cut(_apart(pairs, labels).unionByName(_across_long_lists(long, labels, sketched, k)).distinct().join(first, ["a", "b"], "left_anti"))
-    release(docs)
-    edges = edges.unionByName(verified(rest, docs, nodes, k))
-    labels = components(edges)
-    release(docs)
-    named = labels.join(nodes, "key")
-    smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    found = named.join(smallest, "label").select(F.col("key"), "component_id", "label")
-    placed = nodes.join(found, "key", "left").select("key", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("label", "key").alias("component"))
-    rows = sketched.select("doc_id", F.col("n").alias("n_shingles"), "key")
-    with_words = rows.where(F.col("key").isNotNull()).join(placed, "key").select("doc_id", "n_shingles", "component_id", "key", "component")
-    without = rows.where(F.col("key").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "key", F.lit(None).cast("binary").alias("component"))
+    sketched = cut(sketches(docs, k, words))
+    nodes = cut(nodes_of(sketched))
+    found = cut(list_rows(postings(nodes, k, shared, frequent_values(nodes, frequent), part_rows), small))
+    pairs = found.where("pair").groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("need")).where("c >= need").select("a", "b")
+    in_long = found.where(~F.col("pair")).select("value", F.col("a").alias("node"), F.col("b").alias("info"))
+    widely = F.struct(F.shiftright("info", SIZE_BITS + 4).alias("widely"), "node")
+    heads = in_long.groupBy("value").agg(F.count("*").alias("c"), F.max(widely).alias("head")).where("c > 1").select("value", F.col("head.node").alias("leader"))
+    members = cut(in_long.join(heads, "value").groupBy("node", "leader").agg(F.count("*").alias("c")))
+    led = members.where(F.col("node") != F.col("leader")).where(F.col("c") >= shared).select(*_ordered("node", "leader"))
+    links = confirmed(cut(pairs.union(led).distinct()), docs, nodes, k, words)
+    labels = components(links)
+    between = links_in_long_lists(members, labels, docs, nodes, k, words)
+    # Labels of the first round meet by the links between them.
+    wider = components(between).select(F.col("key").alias("label"), F.col("label").alias("wider"))
+    ends = labels.select("key", "label").union(between.select(F.col("a").alias("key"), "a")).union(between.select("b", "b")).distinct()
+    named = ends.join(wider, "label", "left").select(F.col("key").alias("node"), F.coalesce("wider", "label").alias("component"))
+    named = cut(nodes.select("node", "key", "doc_id").join(named, "node"))
+    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    placed = nodes.select("node", "key", "doc_id").join(named.join(smallest, "component").select("node", "component", "component_id"), "node", "left")
+    placed = placed.select("key", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows = sketched.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "key")
+    with_words = rows.where(F.col("key").isNotNull()).join(placed, "key").select(*rows.columns, "component", "component_id")
+    without = rows.where(F.col("key").isNull()).select("*", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
     return with_words.unionByName(without).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def one_of_each(docs: DataFrame, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """The documents that stay, with all their columns: of each component the smallest id.
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents that stay, with all their columns: one of each component.
 
-    Where ids repeat or are null, the smallest id and set of each component stay, a
-    null id last, and of documents without words one for each id and text.
+    It is the one of the smallest id (a null id last), then of the smallest set key and
+    text hash; where that row repeats, one of the rows. Documents without words stay,
+    one for each id and text.
     """
-    if docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").limit(1).count():
-        return _one_of_each_by_set(docs)
-    found = cut(near_duplicates(docs))
-    gone = cut(found.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("n_shingles").alias("_n")).distinct())
-    gone_ids = F.broadcast(gone.select("_id")) if gone.count() <= broadcast_ids else gone.select("_id")
-    return docs.join(gone_ids, docs["doc_id"] == gone_ids["_id"], "left_anti")
-
-
-def _one_of_each_by_set(docs: DataFrame) -> DataFrame:
-    @F.arrow_udf("binary")
-    def key_of(text: pa.Array) -> pa.Array:
-        values = map(shingle_set, text.to_pylist())
-        return pa.array([set_key(v) if len(v) else None for v in values], pa.binary())
-
-    member = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
-    best = grouped(docs).where(F.col("key").isNotNull()).groupBy("component").agg(F.min(member).alias("m"))
-    best = cut(best.select(F.col("m.doc_id").alias("_id"), F.col("m.key").alias("_best")))
-    # Copies go before the join, so that no id and set meets itself many times.
-    keyed = docs.withColumns({"_key": key_of("text"), "_text": F.xxhash64("text")})
-    with_words = keyed.where(F.col("_key").isNotNull()).dropDuplicates(["doc_id", "_key"])
-    with_words = with_words.join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_best")), "left_semi")
-    without = keyed.where(F.col("_key").isNull()).dropDuplicates(["doc_id", "_text"])
-    return with_words.unionByName(without).drop("_key", "_text")
+    place = ["doc_id", "text_hash"]
+    rows = cut(grouped(docs).groupBy(*place, "key", "component").agg(F.count("*").alias("c")))
+    best = rows.where(F.col("key").isNotNull()).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "text_hash")).alias("m"))
+    best = best.select("component", F.col("m.doc_id").alias("best_id"), F.col("m.text_hash").alias("best_hash"))
+    is_best = F.col("key").isNull() | (F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("text_hash") == F.col("best_hash")))
+    # Only what goes or repeats is joined with the documents.
+    judged = cut(rows.join(best, "component", "left").withColumn("stays", is_best).where(~F.col("stays") | (F.col("c") > 1)).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays"))
+    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    same = hashed["doc_id"].eqNullSafe(judged["_id"]) & (hashed["_text_hash"] == judged["_hash"])
+    once = hashed.join(small_side(judged), same, "left_anti")
+    repeated = hashed.join(small_side(judged.where("stays")), same, "left_semi").dropDuplicates(["doc_id", "_text_hash"])
+    return once.unionByName(repeated).drop("_text_hash")
 
 
 def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from math import comb
 
 import numpy as np
 import pytest
@@ -97,7 +98,74 @@ def test_estimate_and_overlaps():
     common, a, b = (rng.integers(0, 1 << 62, n).astype(np.uint64) for n in (4000, 500, 500))
     x, y = np.unique(np.concatenate((common, a))), np.unique(np.concatenate((common, b)))
     assert abs(near_dup.estimate(x[:192], y[:192], 192) - 0.8) < 0.12 and near_dup.linked(x, x)
-    assert near_dup.overlaps([x[:192]], [y[:192], np.array([1], np.uint64)], [len(x)], [len(y), 1], 192) == [(0, 0)]
+    shared = near_dup.overlaps([x[:192]], [y[:192], np.array([1], np.uint64)], columns=50)
+    assert shared.tolist() == [[len(set(x[:192].tolist()) & set(y[:192].tolist())), 0]]
+    assert (shared >= np.maximum.outer(near_dup.least_shared([len(x)], 192), near_dup.least_shared([len(y), 1], 192))).tolist() == [[True, False]]
+
+
+def test_least_shared_bounds():
+    # By definition: P(Binomial(k, 0.8) < m) stays below the chance, and m + 1 would not.
+    for k in (12, 64, 192):
+        m = near_dup.binomial_floor(k)
+        below = lambda m: sum(comb(k, i) * 0.8**i * 0.2 ** (k - i) for i in range(m))  # noqa: E731, B023
+        assert below(m) <= near_dup.MISSED < below(m + 1)
+    assert near_dup.least_shared([1, 4, 5, 51, 52, 5000], 64).tolist() == [1, 4, 4, 41, near_dup.binomial_floor(64), near_dup.binomial_floor(64)]
+
+
+def large_families(seed):
+    """Long texts about the threshold, a hot group of near copies around one text, a passage that fills most of many."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+
+    def edited(base, edits):
+        copy = list(base)
+        for at in rng.sample(range(len(base)), edits):
+            copy[at] = word()
+        return copy
+
+    rows = []
+    for edits in (1, 9, 40, 50, 55, 60, 70):  # 1,000 words: similarity 0.8 between 55 and 56 edits apart
+        base = [word() for _ in range(1000)]
+        rows += [base, edited(base, edits), edited(base, edits // 2)]
+    centre = [word() for _ in range(150)]
+    rows += [centre] + [edited(centre, rng.randint(1, 9)) for _ in range(140)]
+    passage = [word() for _ in range(100)]
+    rows += [passage + [word() for _ in range(rng.randint(20, 60))] for _ in range(90)]
+    return [(i, " ".join(r)) for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("options", [{}, {"part_rows": 20}, {"k": 1 << 20, "shared": 1}, {"frequent": 0}])
+def test_long_texts_and_hot_lists_against_brute_force(spark, options):
+    rows = large_families(3)
+    found = near_dup.grouped(spark.createDataFrame(rows, "doc_id long, text string"), **({"k": 64, "shared": 4, "small": 16, "frequent": 1 << 18} | options)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == sorted(brute_components(rows))
+
+
+def test_lists_that_span_batches(spark):
+    """A list is whole however its rows fall into batches; lists above ``held`` rows are long at once."""
+    rows = [(v, 0, 100 * v + i, 4 << near_dup.SIZE_BITS | 50) for v, c in enumerate((1, 2, 3, 40, 1, 5, 17, 16)) for i in range(c)]
+    posted = spark.createDataFrame(rows, "value long, part int, node long, info long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch, held in ((1, 1 << 16), (7, 3), (10_000, 1 << 16)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+            found = near_dup.list_rows(posted, 16, held).collect()
+            assert sum(r["pair"] for r in found) == 1 + 3 + 10 + 120 or held == 3
+            long = {(r["value"], r["a"]) for r in found if not r["pair"]}
+            assert {v for v, _ in long} >= {3, 6} and all((v, 100 * v + i) in long for v, c in ((3, 40), (6, 17)) for i in range(c))
+            seen = {(r["a"], r["b"]) for r in found if r["pair"]}
+            for v, c in ((1, 2), (2, 3), (5, 5), (7, 16)):
+                # The pairs of a short list come as pairs, or all its postings as a long list's.
+                assert (v, 100 * v) in long and len([x for x in long if x[0] == v]) == c or len([p for p in seen if p[0] // 100 == v]) == c * (c - 1) // 2
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_shingles_of_five_words():
+    text = "a b c d e f"
+    assert len(near_dup.shingle_set(text, 5)) == 2 and len(near_dup.shingle_set(text)) == 5
+    assert len(near_dup.shingle_set("a b", 5)) == len(near_dup.shingle_set("a", 5)) == 1 and not len(near_dup.shingle_set(" \n", 5))
+    assert near_dup.shingle_set("a b", 5) != near_dup.shingle_set("b a", 5)
 
 
 # ---------------------------------------------------------------- 5
