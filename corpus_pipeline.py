@@ -12,7 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import bpe_lexicon, mixing, near_dup, toxicity
-from factloom.llm.common import cut, table
+from factloom.lineage import cut
+from factloom.llm.common import table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,7 +37,9 @@ class Merges:
 
     def merge(self, word: str) -> list[int]:
         """Ids of one pretoken, which isn't empty."""
-        data = word.encode("utf-8", "surrogatepass")
+        return self.merge_bytes(word.encode("utf-8", "surrogatepass"))
+
+    def merge_bytes(self, data: bytes) -> list[int]:
         ids = [self._inner[b] for b in data]
         ids[-1] = self._last[data[-1]]
         if len(ids) > 64:

@@ -1,15 +1,16 @@
 """BPE encoding and decoding with a minimal acyclic transducer lexicon.
 
-The lexicon holds the frequent words: those that the vocabulary itself keeps
-whole (its entries that end a word), since its merges were learned by frequency.
-This needs no pass over the corpus and is the same at every size. The words are
-compiled into a minimal acyclic automaton, built from sorted words with shared
+The lexicon holds the frequent words: the ``most_words`` runs of letters that occur
+most often in all texts, counted before (at least twice; ties by the word). It
+decides how fast a word is found, never its ids. The words are compiled with their
+id sequences into a minimal acyclic automaton, built from sorted words with shared
 suffixes. A transition carries the number of words that sort before it below its
 state; the sum along a path is the word's number, and that number finds its ids.
-All parts lie in one memory-mapped file without a name, one for each Python
-worker, which goes away with the worker. Words of a batch walk the automaton in
-step, all at once. A word outside the lexicon is merged exactly, and kept up to
-``keep`` words.
+The driver compiles it once (some 3 MB at 65,536 words, a bound that doesn't hang on
+the input). On executors all parts lie in one memory-mapped file without a name,
+one for each Python worker, which goes away with the worker. Words of a batch walk
+the automaton in step, all at once. A word outside the lexicon is merged exactly,
+and kept up to ``keep`` words.
 
 Defined cases: null text is the empty text, of no ids. Special strings inside a
 text become their ids, as in the library. Texts are read whole; repeated rows
@@ -30,6 +31,7 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factloom.llm.bpe import LETTERS, WHITE, Merges, pieces_of
 from factloom.llm.common import map_rows, table, texts
@@ -39,15 +41,30 @@ BATCH_CHARACTERS = 2_000_000
 
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 _SPACE = re.escape(WHITE)
-_WORD = regex.compile(rf"{_CONTRACTIONS}|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+
+
+# What the regex module takes for letters and numbers and Unicode 16, which the library follows, doesn't.
+YOUNGER = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB "
+    "11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 "
+    "191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 "
+    "1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+# Lower case of capitals that Unicode 16 and 17 added, which str.lower() may not know.
+LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
+LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_younger = "".join("-".join(chr(int(x, 16)) for x in span.split("-")) for span in YOUNGER.split())
+_WORD = regex.compile(
+    rf"(?V1){_CONTRACTIONS}|[\p{{L}}--[{_younger}]]+|[\p{{N}}--[{_younger}]]|(?:[^{_SPACE}\p{{L}}\p{{N}}]|[{_younger}])+"
+)
 
 
 def words_of(text: str) -> list[str]:
     """Pretokens of a text without special strings: NFC, lower case, white space dropped."""
-    if not text.isascii():
-        # Letters are lowered one by one, so there is no final sigma.
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-    return _WORD.findall(text.lower())
+    if text.isascii():
+        return _WORD.findall(text.lower())
+    # Letters are lowered one by one, so there is no final sigma.
+    return _WORD.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").translate(LOWER).lower())
 
 
 def minimal_automaton(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -96,26 +113,36 @@ def minimal_automaton(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.array(keys, np.int64), np.array(targets, np.int32), np.array(numbers, np.int32), finals
 
 
+def compiled(merges: Merges, words: list[str]) -> dict[str, np.ndarray]:
+    """The automaton of the words, and the ids of each by its number."""
+    known = sorted({w.encode() for w in words if w})
+    ids = [merges.merge_bytes(w) for w in known]
+    parts = dict(zip(("keys", "targets", "numbers", "finals"), minimal_automaton(known)))
+    return parts | {"offsets": np.cumsum([0, *map(len, ids)], dtype=np.int64), "ids": np.array([x for i in ids for x in i], np.uint32)}
+
+
+def whole_words(merges: Merges) -> list[str]:
+    """The words that the vocabulary itself keeps whole; half a character is no word of any text."""
+    byte_of, suffix = {c: b for b, c in enumerate(LETTERS)}, merges.suffix
+    known = (bytes(byte_of[c] for c in t.removesuffix(suffix)) for t in merges.vocab if t.endswith(suffix))
+    return [w for b in known if (w := b.decode(errors="ignore")).encode() == b]
+
+
+def frequent_words(docs: DataFrame, most_words: int) -> list[str]:
+    """The runs of letters that occur most often in all texts, lower-cased; at most ``most_words``."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("(\\p{L}+)"), F.lit(1))).alias("word"))
+    counted = words.groupBy("word").agg(F.count("*").alias("c")).where("c > 1 and length(word) <= 64")
+    return [r["word"] for r in counted.orderBy(F.desc("c"), "word").limit(most_words).select("word").collect()]
+
+
 class Lexicon:
     """Word to ids: a memory-mapped automaton first, exact merging for the rest."""
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, parts: dict[str, np.ndarray] | None = None, keep: int = 500_000):
         self.merges, self.keep = Merges(path), keep
         self.unseen: dict[str, list[int]] = {}
-        suffix, byte_of = self.merges.suffix, {c: b for b, c in enumerate(LETTERS)}
-        known = sorted({bytes(byte_of[c] for c in t.removesuffix(suffix)) for t in self.merges.vocab if t.endswith(suffix) and t != suffix})
-        ids = []
-        for word in known:
-            try:
-                ids.append(self.merges.merge(word.decode()))
-            except UnicodeDecodeError:
-                ids.append(None)  # half a character is no word of any text
-        known = [w for w, i in zip(known, ids) if i is not None]
-        ids = [i for i in ids if i is not None]
-        parts = dict(zip(("keys", "targets", "numbers", "finals"), minimal_automaton(known)))
-        parts["offsets"] = np.cumsum([0, *map(len, ids)], dtype=np.int64)
-        parts["ids"] = np.array([x for i in ids for x in i], np.uint32)
-        self.n_words, self.n_states = len(known), len(parts["finals"])
+        parts = compiled(self.merges, whole_words(self.merges)) if parts is None else parts
+        self.n_words, self.n_states = len(parts["offsets"]) - 1, len(parts["finals"])
         with tempfile.TemporaryFile() as file:
             places = {}
             for name, array in parts.items():
@@ -142,6 +169,8 @@ class Lexicon:
             out[done] = np.where(self.finals[state[done]], number[done], -1)
             active = active[~ended]
             key = state[active] << 8 | letters[begins[active] + step]
+            if not len(self.keys):
+                break
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             there = self.keys[at] == key
             active, at = active[there], at[there]
@@ -195,17 +224,31 @@ class Lexicon:
 
 @lru_cache(maxsize=2)
 def lexicon(path: str) -> Lexicon:
+    """Of the words that the vocabulary keeps whole, where no corpus is at hand."""
     return Lexicon(path)
 
 
-def encode_decode(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
+_LEXICONS: dict[tuple[str, str], Lexicon] = {}
+
+
+def _lexicon_of(path: str, digest: str, parts: dict[str, np.ndarray]) -> Lexicon:
+    """The worker's lexicon of these parts, made when first asked for."""
+    if (path, digest) not in _LEXICONS:
+        _LEXICONS.clear()
+        _LEXICONS[path, digest] = Lexicon(path, parts)
+    return _LEXICONS[path, digest]
+
+
+def encode_decode(docs: DataFrame, path: str, keep_ids: bool = False, most_words: int = 1 << 16) -> DataFrame:
     """doc_id, number of ids and the hashes of ids and decoded text.
 
     With ``keep_ids`` the ids (little-endian) and the decoded text are returned too.
     """
+    words = frequent_words(docs, most_words)
+    parts, digest = compiled(Merges(path), words), hashlib.sha256("\n".join(words).encode()).hexdigest()
 
     def encode(batch: pa.RecordBatch) -> dict:
-        lex, all_texts = lexicon(path), texts(batch)
+        lex, all_texts = _lexicon_of(path, digest, parts), texts(batch)
         rows = []
         for s in pieces_of(all_texts, BATCH_CHARACTERS):
             for ids, decoded in lex.encode(all_texts[s]):

@@ -1,9 +1,7 @@
-"""What the operators of this subpackage share: reading tables and cutting lineage."""
+"""What the operators of this subpackage share: reading tables and mapping record batches."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,34 +13,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a reliable checkpoint.
-
-    The folder is ``spark.checkpoint.dir`` of the session, which executors share.
-    Only where it is unset and the master is local is a folder of our own used.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="factloom-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
-def release(df: DataFrame) -> None:
-    """Lets Spark's cleaner delete the shuffle and checkpoint files that nothing refers to any more.
-
-    The cleaner acts when the driver collects its garbage, which a long run of
-    small jobs may not do for many minutes.
-    """
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def map_rows(df: DataFrame, schema: str, per_batch: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """mapInArrow with a function from a record batch to columns by name.
 

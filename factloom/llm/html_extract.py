@@ -28,8 +28,9 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from html import unescape
 
 import numpy as np
@@ -49,6 +50,8 @@ NO_TEXT = frozenset("button datalist head iframe noscript object option script s
 RAW = frozenset("script style textarea title iframe noscript".split())
 # What may stand in a head; any other start tag, and text, ends a head whose end tag is left out.
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+# Open elements beyond which a start tag ends no paragraph.
+HOLD = ("td", "th", "div", "section", "article", "body")
 # A start tag that ends an open element of these kinds, up to the given bounds.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -70,37 +73,56 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 @dataclass
 class Block:
     tag: str
-    tags: tuple[str, ...]
+    tags: frozenset[str]
     names: frozenset[str]
     text: str = ""
     linked: int = 0
 
 
-def leaf_blocks(html: str) -> list[Block]:
-    """The blocks of a page that hold text, in order."""
+def leaf_blocks(html: str, known: frozenset[str] | None = None) -> list[Block]:
+    """The blocks of a page that hold text, in order; of names and tags only the known ones, if given.
+
+    The time is linear in the page: each element is opened and closed once, and an end
+    tag finds its element by the tag's open places.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    known_tags = known or frozenset()
+    # Open elements: tag, its names, place of the innermost block at or around it (-1: none).
+    stack: list[tuple[str, frozenset[str], int]] = []
+    places: dict[str, list[int]] = {}  # of each open tag, outermost first
+    open_names: dict[str, int] = {}  # how many open elements have each name
     pieces: list[str] = []
     linked = silent = in_link = 0
 
+    def last(tags: Iterable[str]) -> int:
+        """Place of the innermost open element of these tags, or -1."""
+        return max((places[t][-1] for t in tags if t in places), default=-1)
+
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(pieces).split())
         if text:
-            tags = tuple(t for t, _ in stack)
-            tag = next((t for t in reversed(tags) if t in BLOCKS), "")
-            out.append(Block(tag, tags, frozenset().union(*(n for _, n in stack)), text, linked))
+            tag = stack[stack[-1][2]][0] if stack and stack[-1][2] >= 0 else ""
+            tags = frozenset(places) if known is None else known_tags & places.keys()
+            out.append(Block(tag, tags, frozenset(open_names), text, linked))
         pieces.clear()
         linked = 0
 
     def pop(to: int) -> None:
         nonlocal silent, in_link
-        if any(t in BLOCKS for t, _ in stack[to:]):
+        if stack and stack[-1][2] >= to:
             flush()
-        for t, _ in stack[to:]:
+        while len(stack) > to:
+            t, names, _ = stack.pop()
+            places[t].pop()
+            if not places[t]:
+                del places[t]
+            for x in names:
+                open_names[x] -= 1
+                if not open_names[x]:
+                    del open_names[x]
             silent -= t in NO_TEXT
             in_link -= t == "a"
-        del stack[to:]
 
     def add(raw: str) -> None:
         nonlocal linked
@@ -121,28 +143,22 @@ def leaf_blocks(html: str) -> list[Block]:
             continue
         name = name.lower()
         if m.group(1):
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            depth = last((name,))
             # An inline end tag does not reach through a block.
-            if depth is not None and (name in BLOCKS or name in NO_TEXT or not any(t in BLOCKS for t, _ in stack[depth + 1 :])):
+            if depth >= 0 and (name in BLOCKS or name in NO_TEXT or stack[-1][2] <= depth):
                 pop(depth)
             continue
         if stack and stack[-1][0] == "head" and name not in IN_HEAD:
             pop(len(stack) - 1)
         if name in BLOCKS:
             closed, bounds = CLOSES.get(name, ((), ()))
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in closed or stack[i][0] == "p":
-                    pop(i)
-                    break
-                if stack[i][0] in bounds or stack[i][0] in ("td", "th", "div", "section", "article", "body"):
-                    break
-            if closed:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in bounds:
-                        break
-                    if stack[i][0] in closed:
-                        pop(i)
-                        break
+            inner = last((*closed, "p"))
+            # An element both closed and a bound is closed.
+            if inner >= 0 and inner >= last((*bounds, *HOLD)):
+                pop(inner)
+            inner = last(closed)
+            if inner >= 0 and inner > last(bounds):
+                pop(inner)
             flush()
         if name in VOID:
             if name == "br" and not silent:
@@ -152,7 +168,11 @@ def leaf_blocks(html: str) -> list[Block]:
         if attributes.endswith("/") and name not in BLOCKS:
             continue
         names = frozenset(p.lower() for a in _NAMES.findall(attributes) for p in _PARTS.findall(a)) if attributes else frozenset()
-        stack.append((name, names))
+        names = names if known is None else names & known
+        for x in names:
+            open_names[x] = open_names.get(x, 0) + 1
+        places.setdefault(name, []).append(len(stack))
+        stack.append((name, names, len(stack) if name in BLOCKS else stack[-1][2] if stack else -1))
         silent += name in NO_TEXT
         in_link += name == "a"
         if name in RAW:
@@ -197,6 +217,11 @@ class ChainField:
     weights: dict[str, tuple[float, float]] = field(default_factory=dict)
     moves: tuple[tuple[float, float], tuple[float, float]] = ((0.0, 0.0), (0.0, 0.0))
 
+    @cached_property
+    def known(self) -> frozenset[str]:
+        """The names and tags that have a weight, and the tags that features ask for."""
+        return frozenset(n.partition("=")[2] for n in self.weights if n.startswith(("name=", "in="))) | {"article", "main"}
+
     def decode(self, sequence: list[list[str]]) -> list[int]:
         """Viterbi: the labels of highest total weight."""
         zero, best, back = (0.0, 0.0), None, []
@@ -377,7 +402,7 @@ def trained(pages: int = 600, seed: int = 7) -> ChainField:
 
 
 def main_text(html: str | None, model: ChainField) -> str:
-    blocks = leaf_blocks(html or "")
+    blocks = leaf_blocks(html or "", model.known)
     return "\n\n".join(b.text for b, y in zip(blocks, model.decode(features(blocks))) if y)
 
 

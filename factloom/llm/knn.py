@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, table
+from factloom.lineage import cut
+from factloom.llm.common import table
 
 LEAF = 64
 SCHEMA = "query_id long, rank int, vec_id long, score long"

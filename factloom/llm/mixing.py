@@ -8,15 +8,15 @@ more pass, the last of them cut to the word. In each pass the slots map to block
 through a pseudorandom permutation of the source's full blocks (the swap-or-not
 shuffle, a bijection on any range); the short block comes last.
 
-The slots of a source are drawn into output shards by multinomial counts. A
-binomial draw halves the shards again and again, so that shard counts need no
-loop over shards, no state and no collecting: every count follows from a hash of
-seed, source and place in the tree. Counts come from the normal approximation of
-the binomial, clipped to what there is. Slots meet blocks by (source, index).
+Each slot draws its output shard by itself, all shards alike, by a hash of seed,
+source and slot. The numbers of slots that a source has in the shards are thereby
+multinomial, without a loop over shards, state or collecting. Slots meet blocks by
+(source, index).
 
 Scale. The text is read once; sizes go to a checkpoint. A document's place in its
 source's stream is a prefix sum in two steps, over hash buckets and within one
-bucket, so a source with a third of all rows is spread over all buckets. Only the
+bucket of about ``bucket_rows`` documents, so a source with a third of all rows is
+spread over all buckets. Only the
 table of sources (one row a source) passes through a single task. It is broadcast
 up to ``broadcast_sources`` rows; beyond that, joins with it are salted.
 
@@ -33,7 +33,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, table
+from factloom.lineage import cut
+from factloom.llm.common import table
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 # Weights of the sources in order, repeating; share and cap as parts of the sizes.
@@ -109,36 +110,24 @@ def permuted(place: Column, size: Column, *keys: Column, rounds: int = 24) -> Co
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), place.cast("long"), one)
 
 
-def _drawn_slots(plan: DataFrame, levels: int, seed: int) -> DataFrame:
-    """shard, source_no, slot from source_no and n_slots; shards are 0 .. 2**levels - 1."""
-    split = plan.select("*", F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("start"), F.col("n_slots").alias("count"))
-    kept = [c for c in plan.columns]
-    for level in range(levels):
-        half = lambda k: (F.xxhash64(F.lit(seed), F.lit(level), F.lit(k), "source_no", "shard") % (1 << 52)).cast("double")
-        u, v = (F.abs(half(1)) + 1) / float((1 << 52) + 1), half(2) / float(1 << 52)
-        normal = F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)
-        left = F.greatest(F.lit(0.0), F.least(F.col("count").cast("double"), F.round(F.col("count") / 2 + normal * F.sqrt("count") / 2))).cast("long")
-        split = split.withColumn("_left", left).select(
-            *kept,
-            F.explode(
-                F.array(
-                    F.struct((F.col("shard") * 2).alias("shard"), F.col("start").alias("start"), F.col("_left").alias("count")),
-                    F.struct((F.col("shard") * 2 + 1).alias("shard"), (F.col("start") + F.col("_left")).alias("start"), (F.col("count") - F.col("_left")).alias("count")),
-                )
-            ).alias("_part"),
-        ).select(*kept, "_part.*").where("count > 0")
+def _drawn_slots(plan: DataFrame, levels: int, seed: int, together: int = 1 << 14) -> DataFrame:
+    """shard, source_no, slot from source_no and n_slots; shards are 0 .. 2**levels - 1.
+
+    Runs of ``together`` slots are dealt to tasks before they unfold.
+    """
+    run, first = F.lit(together).cast("long"), F.col("run") * together
+    runs = plan.where("n_slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / run))))
     # The number is given, since rows are few before they unfold to slots and would be put together.
-    parts = max(1, min((1 << levels) // 16, 20_000))
-    return split.where("count > 0").repartition(parts, "shard", "source_no").select(*kept, "shard", F.explode(F.sequence("start", F.col("start") + F.col("count") - 1)).alias("slot"))
+    dealt = runs.repartition(max(1, min((1 << levels) // 16, 20_000)), "source_no", "run")
+    slots = dealt.select(*plan.columns, F.explode(F.sequence(first, F.least(first + run, "n_slots") - 1)).alias("slot"))
+    return slots.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "source_no", "slot"), F.lit(1 << levels)))
 
 
-def mix(docs: DataFrame, block_words: int = 512, shard_slots: int = 1024, seed: int = 20, buckets: int = 4096, broadcast_sources: int = 100_000) -> Mix:
+def mix(docs: DataFrame, block_words: int = 512, shard_slots: int = 1024, seed: int = 20, bucket_rows: int = 1024, broadcast_sources: int = 100_000) -> Mix:
     """What each source gives to the mix. docs needs doc_id, text and source."""
-    sized = cut(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")).withColumn(
-            "bucket", F.pmod(F.xxhash64("doc_id", "text_hash", "size"), F.lit(buckets)).cast("int")
-        )
-    )
+    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")))
+    buckets = max(1, -(-sized.count() // bucket_rows))
+    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash", "size"), F.lit(buckets)).cast("int"))
     per_bucket = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     sources = cut(targets(per_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))))
     n_sources, total = sources.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first()

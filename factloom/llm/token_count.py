@@ -1,14 +1,24 @@
 """Token counts with a compiled finite-state tokenizer.
 
-The split into pretokens is a deterministic transducer of eight states over nine
-character classes; a character's class includes what its pattern looks ahead for
-(a contraction, or the last white space of a run). Each transition says whether a
-pretoken starts, and the transition that leaves a pretoken is annotated with its
-number of tokens. A batch is cut into chunks: for all chunks at once the map from
-every entry state to the exit state is computed, the maps compose in a parallel
-prefix scan (doubling), and with each chunk's entry state known the transitions
-are taken. Annotations are compiled when a pretoken is first met, by exact
-byte-pair merging, and kept up to ``keep`` pretokens.
+The machine has two levels. The split into pretokens is a deterministic transducer
+of eight states over nine character classes; a character's class includes what its
+pattern looks ahead for (a contraction, or the last white space of a run). Each
+transition says whether a pretoken starts. A batch is cut into chunks: for all
+chunks at once the map from every entry state to the exit state is computed, the
+maps compose in a parallel prefix scan (doubling), and with each chunk's entry
+state known the transitions are taken.
+
+A start of a pretoken resets the second level, a deterministic transducer over
+bytes (``Transitions``) whose every transition is annotated with the tokens that it
+emits: the number of tokens of the prefix read with the byte, less that without it
+(negative where the byte joins tokens). Its states are those that byte-pair
+encoding can tell apart: the longest suffix read that begins a vocabulary entry,
+and for each of its places the last token of the prefix that ends there and the
+tokens since. The last token of a longer prefix is the entry that may follow the
+last token before it: a token sequence is the encoding of its text exactly if each
+two neighbours are the encoding of theirs, which is found once for each two tokens
+by merging. Transitions are compiled when first taken, for 400,000 states at a time. Counts of whole pretokens
+are kept, up to ``keep``, so a frequent word walks the machine once.
 
 Defined cases: null text is the empty text, of no tokens. A special string inside
 a text is one token, and the text on either side of it is split on its own. Texts
@@ -25,7 +35,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm.bpe import Merges, general_category_table, pieces_of
+from factloom.llm.bpe import LETTERS, Merges, general_category_table, pieces_of
 from factloom.llm.common import map_rows, table, texts
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -110,15 +120,86 @@ def pretoken_starts(kinds: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
     return np.flatnonzero(starts.T.reshape(-1)[:n])
 
 
+class Transitions:
+    """Deterministic transitions over the bytes of a pretoken, compiled when first taken.
+
+    State 0 has read nothing. ``steps`` maps state * 256 + byte to the next state and
+    the tokens emitted.
+    """
+
+    def __init__(self, merges: Merges, most_states: int = 400_000):
+        self.merges, self.most_states = merges, most_states
+        byte_of = {c: b for b, c in enumerate(LETTERS)}
+        self.entries = {bytes(byte_of[c] for c in t): i for t, i in merges.vocab.items() if t not in merges.special}
+        self.bytes_of = {i: e for e, i in self.entries.items()}
+        self.begins = {e[:k] for e in self.entries for k in range(1, len(e) + 1)}
+        self._whole: dict[bytes, bool] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        # Of a state: the suffix it holds, and for each place in it the last token's id and the tokens from there on.
+        start = (b"", (-1, 0))
+        self.steps: dict[int, tuple[int, int]] = {}
+        self.states, self.numbers = [start], {start: 0}
+        self._follows: dict[int, bool] = {}
+
+    def _is_whole(self, token: bytes) -> bool:
+        if (known := self._whole.get(token)) is None:
+            known = self._whole[token] = len(self.merges.merge_bytes(token)) == 1
+        return known
+
+    def _may_follow(self, before: int, token: bytes) -> bool:
+        own = self.entries[token]
+        if (known := self._follows.get(before << 32 | own)) is None:
+            known = self._follows[before << 32 | own] = self.merges.merge_bytes(self.bytes_of[before] + token) == [before, own]
+        return known
+
+    def compile(self, state: int, byte: int) -> tuple[int, int]:
+        held, places = self.states[state]
+        read = held + bytes([byte])
+        for start in range(len(read)):
+            token = read[start:]
+            before, since = places[2 * start : 2 * start + 2]
+            # Counts are relative to the state's end: ``since`` tokens stand behind the place.
+            if token in self.entries and self._is_whole(token) and (before < 0 or self._may_follow(before, token)):
+                emitted = 1 - since
+                break
+        else:
+            raise ValueError("a byte without a vocabulary entry")
+        cut_at = next(k for k in range(len(read) + 1) if k == len(read) or read[k:] in self.begins)
+        kept = [x + emitted if k % 2 else x for k, x in enumerate(places[2 * cut_at :])]
+        target = (read[cut_at:], (*kept, self.entries[token], 0))
+        if (number := self.numbers.get(target)) is None:
+            if len(self.states) >= self.most_states:
+                # Only the state that is left for stays known; a word may be longer than all that is kept.
+                self.clear()
+                state = -1
+            number = self.numbers.setdefault(target, len(self.states))
+            if number == len(self.states):
+                self.states.append(target)
+        if state >= 0:
+            self.steps[state << 8 | byte] = (number, emitted)
+        return number, emitted
+
+    def count(self, data: bytes) -> int:
+        state = total = 0
+        for byte in data:
+            step = self.steps.get(state << 8 | byte)
+            state, emitted = step if step is not None else self.compile(state, byte)
+            total += emitted
+        return total
+
+
 class Transducer(dict):
-    """Pretoken to token count; a missing annotation is compiled by exact merging."""
+    """Pretoken to token count, by the machine; counts are kept up to ``keep`` pretokens."""
 
     def __init__(self, path: str, keep: int = 1_000_000):
         super().__init__()
         self.merges, self.keep = Merges(path), keep
+        self.transitions = Transitions(self.merges)
 
     def __missing__(self, word: str) -> int:
-        count = len(self.merges.merge(word))
+        count = self.transitions.count(word.encode("utf-8", "surrogatepass"))
         if len(self) >= self.keep:
             self.clear()
         self[word] = count

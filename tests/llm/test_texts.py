@@ -5,6 +5,7 @@ import os
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -183,6 +184,51 @@ def test_automaton_is_minimal_and_complete():
     assert lex.numbers_of([b"ta", b"x", b"tapss", b""]).tolist() == [-1] * 4
 
 
+def test_every_code_point_against_libraries():
+    """Letters, numbers and lower case are those of the library, for all of Unicode."""
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    library = Tokenizer.from_file(WORD)
+    batch = [f"a:{c}:a" for c in every]
+    expected = [e.ids for e in library.encode_batch(batch, add_special_tokens=False)]
+    assert [list(struct.unpack(f"<{len(ids) // 4}I", ids)) for ids, _ in bpe_lexicon.lexicon(WORD).encode(batch)] == expected
+    batch = [f"a:{c}a {c}{c} " for c in every]
+    assert token_count.transducer(BYTE).counts(batch).tolist() == [len(e.ids) for e in Tokenizer.from_file(BYTE).encode_batch(batch, add_special_tokens=False)]
+
+
+def test_lexicon_of_frequent_words(spark):
+    """Words counted over all texts, with several ids each; every word's ids are the library's."""
+    library = Tokenizer.from_file(WORD)
+    rows = [(1, "Zyxwvutt zyxwvutt ÉTÉ été Straße"), (2, "straße zyxwvutt once"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert bpe_lexicon.frequent_words(docs, 2) == ["zyxwvutt", "straße"] and bpe_lexicon.frequent_words(docs, 9) == ["zyxwvutt", "straße", "été"]
+    merges = bpe_lexicon.Merges(WORD)
+    words = ["zyxwvutt", "straße", "été", "the"]
+    lex = bpe_lexicon.Lexicon(WORD, bpe_lexicon.compiled(merges, words))
+    assert (lex.numbers_of([w.encode() for w in words]) >= 0).all() and lex.ids_of(words) == {w: library.encode(w, add_special_tokens=False).ids for w in words}
+    assert max(map(len, lex.ids_of(words).values())) > 1 and not lex.unseen
+    assert len(lex.ids_of(["unseenword"])["unseenword"]) and list(lex.unseen) == ["unseenword"]
+    assert bpe_lexicon.Lexicon(WORD, bpe_lexicon.compiled(merges, [])).numbers_of([b"a"]).tolist() == [-1]
+
+
+def test_transducer_emits_counts_on_transitions():
+    """Sums along transitions are the counts of merging, also where few states are kept."""
+    rng, machine = random.Random(3), token_count.transducer(BYTE)
+    small = token_count.Transitions(machine.merges, most_states=20)
+    for _ in range(3000):
+        word = "".join(rng.choice(rng.choice(("abcde", "etaoin shrdlu", "=-_*", "éß中α😀 "))) for _ in range(rng.randint(1, 30)))
+        count = len(machine.merges.merge(word))
+        assert machine.transitions.count(word.encode()) == count == small.count(word.encode())
+    assert len(small.states) <= 21 and min(e for _, e in machine.transitions.steps.values()) < 0
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    model = html_extract.trained()
+    for page in ("<p>x" + "<i></b>" * 200_000, "".join(f"<div class='c{i}'>t{i} " for i in range(100_000)), "<div>" * 200_000 + "x"):
+        start = time.perf_counter()
+        html_extract.main_text(page, model)
+        assert time.perf_counter() - start < 20
+
+
 def test_token_tables(spark):
     docs = spark.createDataFrame(ODD, DOCS)
     counts = by_id(token_count.count_tokens(docs, BYTE))
