@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from itertools import repeat
 
 import numpy as np
 
@@ -31,7 +32,11 @@ class Merges:
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.names = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in data["model"]["merges"]]
+        # The first place of a pair counts, should one be listed twice.
+        pairs = list(dict.fromkeys(map(tuple, pairs)))
         self.rank = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(pairs)}
+        self._order = {pair: r for pair, (r, _) in self.rank.items()}
+        self._joined = [new for _, new in self.rank.values()]
         self._inner = [self.vocab[c] for c in LETTERS]
         self._last = [self.vocab[c + self.suffix] for c in LETTERS]
 
@@ -44,23 +49,16 @@ class Merges:
         ids[-1] = self._last[data[-1]]
         if len(ids) > 64:
             return self._merge_long(ids)
-        rank, none = self.rank, (1 << 60, -1)
-        found = [rank.get(pair, none) for pair in zip(ids, ids[1:])]
-        while found:
-            best = min(found)
-            if best is none:
-                break
-            at = 0
-            while at < len(found):
-                if found[at] == best:
-                    ids[at : at + 2] = [best[1]]
-                    del found[at]
-                    if at:
-                        found[at - 1] = rank.get((ids[at - 1], ids[at]), none)
-                    if at < len(found):
-                        found[at] = rank.get((ids[at], ids[at + 1]), none)
-                else:
-                    at += 1
+        get, joined, none = self._order.get, self._joined, len(self._joined)
+        found = [*map(get, zip(ids, ids[1:]), repeat(none))]
+        while found and (best := min(found)) != none:
+            at = found.index(best)
+            ids[at] = joined[best]
+            del ids[at + 1], found[at]
+            if at:
+                found[at - 1] = get((ids[at - 1], ids[at]), none)
+            if at < len(found):
+                found[at] = get((ids[at], ids[at + 1]), none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:

@@ -1,16 +1,16 @@
 """BPE encoding and decoding with a minimal acyclic transducer lexicon.
 
-The lexicon holds the frequent words: the ``most_words`` runs of letters that occur
-most often in all texts, counted before (at least twice; ties by the word). It
-decides how fast a word is found, never its ids. The words are compiled with their
+The lexicon holds the frequent words: the runs of letters that occur most often in
+all texts, counted before (``least`` times or more, ``most_words`` at most, all above
+one count). It decides how fast a word is found, never its ids. The words are compiled with their
 id sequences into a minimal acyclic automaton, built from sorted words with shared
 suffixes. A transition carries the number of words that sort before it below its
 state; the sum along a path is the word's number, and that number finds its ids.
 The driver compiles it once (some 3 MB at 65,536 words, a bound that doesn't hang on
 the input). On executors all parts lie in one memory-mapped file without a name,
 one for each Python worker, which goes away with the worker. Words of a batch walk
-the automaton in step, all at once. A word outside the lexicon is merged exactly,
-and kept up to ``keep`` words.
+the automaton in step, all at once. A word outside the lexicon is merged exactly.
+What words became is kept, up to ``keep`` words and a batch.
 
 Defined cases: null text is the empty text, of no ids. Special strings inside a
 text become their ids, as in the library. Texts are read whole; repeated rows
@@ -22,9 +22,11 @@ from __future__ import annotations
 import hashlib
 import mmap
 import re
+import struct
 import tempfile
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.bpe import LETTERS, WHITE, Merges, pieces_of
-from factloom.llm.common import map_rows, table, texts
+from factloom.llm.common import map_rows, most_counted, table, texts
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 BATCH_CHARACTERS = 2_000_000
@@ -54,9 +56,20 @@ YOUNGER = (
 LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
 LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 _younger = "".join("-".join(chr(int(x, 16)) for x in span.split("-")) for span in YOUNGER.split())
-_WORD = regex.compile(
+_WORD = regex.compile(rf"{_CONTRACTIONS}|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+#: The same for texts that hold a character of the two lists; slower, and rarely needed.
+_ANY_WORD = regex.compile(
     rf"(?V1){_CONTRACTIONS}|[\p{{L}}--[{_younger}]]+|[\p{{N}}--[{_younger}]]|(?:[^{_SPACE}\p{{L}}\p{{N}}]|[{_younger}])+"
 )
+_RARE = re.compile(f"[{_younger}{''.join(map(chr, LOWER))}]")
+
+
+def _beyond_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return True
+    return False
 
 
 def words_of(text: str) -> list[str]:
@@ -64,7 +77,10 @@ def words_of(text: str) -> list[str]:
     if text.isascii():
         return _WORD.findall(text.lower())
     # Letters are lowered one by one, so there is no final sigma.
-    return _WORD.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").translate(LOWER).lower())
+    text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+    if _beyond_latin(text) and _RARE.search(text):
+        return _ANY_WORD.findall(text.translate(LOWER).lower())
+    return _WORD.findall(text.lower())
 
 
 def minimal_automaton(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -128,19 +144,21 @@ def whole_words(merges: Merges) -> list[str]:
     return [w for b in known if (w := b.decode(errors="ignore")).encode() == b]
 
 
-def frequent_words(docs: DataFrame, most_words: int) -> list[str]:
-    """The runs of letters that occur most often in all texts, lower-cased; at most ``most_words``."""
+def frequent_words(docs: DataFrame, most_words: int, least: int = 2) -> list[str]:
+    """The runs of letters that occur most often in all texts, lower-cased; at most ``most_words``, all of at least the same count."""
     words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("(\\p{L}+)"), F.lit(1))).alias("word"))
-    counted = words.groupBy("word").agg(F.count("*").alias("c")).where("c > 1 and length(word) <= 64")
-    return [r["word"] for r in counted.orderBy(F.desc("c"), "word").limit(most_words).select("word").collect()]
+    counted = words.groupBy("word").agg(F.count("*").alias("c")).where("length(word) <= 64")
+    return [r["word"] for r in most_counted(counted, most_words, least).sort(F.desc("c"), "word").collect()]
 
 
 class Lexicon:
     """Word to ids: a memory-mapped automaton first, exact merging for the rest."""
 
-    def __init__(self, path: str, parts: dict[str, np.ndarray] | None = None, keep: int = 500_000):
+    def __init__(self, path: str, parts: dict[str, np.ndarray] | None = None, keep: int = 300_000):
         self.merges, self.keep = Merges(path), keep
-        self.unseen: dict[str, list[int]] = {}
+        # What words of earlier batches became; a word walks the automaton, or is merged, once.
+        self.coded: dict[str, bytes] = {}
+        self.decoded: dict[str, str] = {}
         parts = compiled(self.merges, whole_words(self.merges)) if parts is None else parts
         self.n_words, self.n_states = len(parts["offsets"]) - 1, len(parts["finals"])
         with tempfile.TemporaryFile() as file:
@@ -184,15 +202,7 @@ class Lexicon:
         found = self.numbers_of([w.encode("utf-8", "surrogatepass") for w in words])
         out = {}
         for word, number in zip(words, found.tolist()):
-            if number >= 0:
-                out[word] = self.ids[self.offsets[number] : self.offsets[number + 1]].tolist()
-            else:
-                ids = self.unseen.get(word)
-                if ids is None:
-                    if len(self.unseen) >= self.keep:
-                        self.unseen.clear()
-                    ids = self.unseen[word] = self.merges.merge(word)
-                out[word] = ids
+            out[word] = self.ids[self.offsets[number] : self.offsets[number + 1]].tolist() if number >= 0 else self.merges.merge(word)
         return out
 
     @property
@@ -209,12 +219,16 @@ class Lexicon:
     def encode(self, batch: list[str]) -> list[tuple[bytes, str]]:
         """For each text its ids as little-endian unsigned 32-bit integers, and the decoded text."""
         split = [self.split(t) for t in batch]
+        if len(self.coded) > self.keep:
+            self.coded, self.decoded = {}, {}
+        new = set(chain.from_iterable(split)).difference(self.coded)
         special = self.merges.special
-        known = self.ids_of([w for w in dict.fromkeys(w for words in split for w in words) if w not in special])
-        known |= {s: [i] for s, i in special.items()}
-        coded = {w: np.array(ids, "<u4").tobytes() for w, ids in known.items()}
-        decoded = {w: self.decode(ids) for w, ids in known.items()}
-        return [(b"".join([coded[w] for w in words]), " ".join([decoded[w] for w in words])) for words in split]
+        known = self.ids_of([w for w in new if w not in special]) | {s: [special[s]] for s in new & special.keys()}
+        for word, ids in known.items():
+            self.coded[word] = struct.pack(f"<{len(ids)}I", *ids)
+            self.decoded[word] = self.decode(ids)
+        coded, decoded = self.coded.__getitem__, self.decoded.__getitem__
+        return [(b"".join(map(coded, words)), " ".join(map(decoded, words))) for words in split]
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary has no decoder of its own: its entries, joined by spaces."""
@@ -239,12 +253,12 @@ def _lexicon_of(path: str, digest: str, parts: dict[str, np.ndarray]) -> Lexicon
     return _LEXICONS[path, digest]
 
 
-def encode_decode(docs: DataFrame, path: str, keep_ids: bool = False, most_words: int = 1 << 16) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, keep_ids: bool = False, most_words: int = 1 << 16, least: int = 16) -> DataFrame:
     """doc_id, number of ids and the hashes of ids and decoded text.
 
     With ``keep_ids`` the ids (little-endian) and the decoded text are returned too.
     """
-    words = frequent_words(docs, most_words)
+    words = frequent_words(docs, most_words, least)
     parts, digest = compiled(Merges(path), words), hashlib.sha256("\n".join(words).encode()).hexdigest()
 
     def encode(batch: pa.RecordBatch) -> dict:

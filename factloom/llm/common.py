@@ -6,6 +6,9 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.lineage import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -36,6 +39,22 @@ def map_rows(df: DataFrame, schema: str, per_batch: Callable[[pa.RecordBatch], d
     return df.mapInArrow(run, schema)
 
 
+def most_counted(counted: DataFrame, most: int, least: int) -> DataFrame:
+    """The rows of the highest counts (column c): ``most`` at most, all of those above some count from ``least`` on.
+
+    The bar comes from a histogram of eight steps to each doubling (some hundred rows), so
+    that no task sends more than what is kept, however many tasks there are.
+    """
+    kept = cut(counted.where(F.col("c") >= least).withColumn("_step", F.floor(F.log2("c") * 8)))
+    bar, total = None, 0
+    for row in kept.groupBy("_step").agg(F.count("*").alias("n")).sort(F.desc("_step")).collect():
+        total += row["n"]
+        if total > most:
+            break
+        bar = row["_step"]
+    return kept.where(F.lit(False) if bar is None else F.col("_step") >= bar).drop("_step")
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The strings of a column; null becomes the empty string."""
     return ["" if x is None else x for x in batch.column(name).to_pylist()]

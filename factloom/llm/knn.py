@@ -3,19 +3,21 @@
 Components become the integers floor(1024 * x). Rows are hashed into shards of
 about ``shard_rows`` rows of one dimension; each shard builds a KD-tree by median
 splits of the widest side, with the tight bounding box of every node, and is
-stored as one row. Queries come in blocks. A query visits a tree's nodes best
-first, by the largest inner product that its box allows, and stops below its kth
-best score so far. That score propagates from shard to shard: a task meets a run
-of shards for one query block and keeps the heaps of its queries between them.
+stored as one row. A query visits a tree's nodes best first, by the largest inner
+product that its box allows, and stops below its kth best score so far. That score
+propagates: shards are searched in rounds, each about as large as all before it,
+and a query enters a round with its kth score of the rounds before. Of a shard only
+what reaches that score leaves it.
 
 Exactness. Scores are whole numbers; they are computed in float64 where every sum
 stays below 2**53, in 64-bit integers below 2**63, and in Python integers beyond.
 A node is left out only if its bound is below the kth score, so ties are kept and
 go to the smaller vec_id.
 
-Scale. No row holds more than a shard or a block of queries. Every query block
-meets every shard, which is what an exact search asks for; a task works on one
-query block and a run of shards.
+Scale. The queries go to the trees: a group is one shard and a batch of up to
+``query_rows`` queries, so there are as many tasks as shards times batches, and the
+index moves once for each batch (1.6 million rows give one batch). Every query meets
+every shard, which is what an exact search asks for.
 
 Defined cases: vectors that are null or hold null, NaN or infinite components take
 no part. Vectors of another length than the query's are no candidates. Rows that
@@ -89,8 +91,8 @@ class Shard:
         self.spans, self.children = parts["spans"].tolist(), parts["children"].tolist()
         self.low, self.high = parts["low"], parts["high"]
 
-    def search(self, queries: np.ndarray, own: list[tuple[int, int]], best: list[list], k: int) -> None:
-        """Puts each query's candidates into its heap of the k best, whose least is first."""
+    def search(self, queries: np.ndarray, own: list[tuple[int, int]], best: list[list], k: int, least: list[int | None]) -> None:
+        """Puts each query's candidates that reach its least score (if any) into its heap of the k best, whose least is first."""
         kind = _exact(np.concatenate((self.low, self.high)), queries)
         q, vectors = queries.astype(kind), self.vectors.astype(kind)
         low, high = self.low.astype(kind), self.high.astype(kind)
@@ -102,17 +104,18 @@ class Shard:
             waiting = [(-bound[0], 0)]
             while waiting:
                 negative, node = heapq.heappop(waiting)
-                if len(heap) == k and -negative < heap[0][0]:
+                bar = heap[0][0] if len(heap) == k else least[i]
+                if bar is not None and -negative < bar:
                     break
                 left, right = self.children[node]
                 if left >= 0:
                     for child in (left, right):
-                        if len(heap) < k or bound[child] >= heap[0][0]:
+                        if bar is None or bound[child] >= bar:
                             heapq.heappush(waiting, (-bound[child], child))
                     continue
                 start, end = self.spans[node]
                 scores = vectors[start:end] @ q[i]
-                likely = np.flatnonzero(scores >= heap[0][0]) if len(heap) == k else range(end - start)
+                likely = range(end - start) if bar is None else np.flatnonzero(scores >= bar)
                 for j in likely:
                     at = start + int(j)
                     if not nulls[at] and (ids[at], occurrences[at]) == own[i]:
@@ -134,69 +137,61 @@ def _whole_vectors(vectors: DataFrame) -> DataFrame:
     return whole.withColumn("occurrence", F.xxhash64("v").bitwiseXOR(F.row_number().over(same).cast("long")))
 
 
-def top_k(vectors: DataFrame, k: int = 10, every: int = 100, shard_rows: int = 8192, query_rows: int = 512, shards_a_task: int = 64) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 10, every: int = 100, shard_rows: int = 8192, query_rows: int = 1 << 14, first_shards: int = 32) -> DataFrame:
     """Each query's k highest scores: query_id, rank, vec_id, score.
 
-    Queries are the rows whose vec_id is divisible by ``every``.
+    Queries are the rows whose vec_id is divisible by ``every``. The first round searches ``first_shards``.
     """
     rows = cut(_whole_vectors(vectors).withColumn("dim", F.size("v")))
-    n = rows.count()
-    n_shards = max(1, -(-n // shard_rows))
-    n_blocks = max(1, -(-n // every // query_rows))
+    is_query = F.col("vec_id") % every == 0
+    n, n_queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
+    n_shards, n_batches = max(1, -(-n // shard_rows)), max(1, -(-n_queries // query_rows))
+
+    def values(side: pa.Table) -> np.ndarray:
+        flat = side.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        return flat.reshape(side.num_rows, -1) if side.num_rows else flat.reshape(0, 0)
 
     def plant(key: tuple, shard: pa.Table) -> pa.Table:
         dim, number = (x.as_py() for x in key)
-        values = shard.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(shard.num_rows, dim)
-        tree = build_tree(values)
+        vectors = values(shard).reshape(shard.num_rows, dim)
+        tree = build_tree(vectors)
         order = tree.pop("order")
-        ids = shard.column("vec_id").to_pandas()
-        nulls = ids.isna().to_numpy()
-        ids = np.array([0 if x is None else x for x in shard.column("vec_id").to_pylist()], np.int64)
-        packed = _packed(vectors=values[order], ids=ids[order], nulls=nulls[order], occurrences=shard.column("occurrence").to_numpy()[order], **tree)
-        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([number], pa.int32()), "tree": [packed]})
-
-    def block(key: tuple, queries: pa.Table) -> pa.Table:
-        dim, number = (x.as_py() for x in key)
-        values = queries.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(queries.num_rows, dim)
-        packed = _packed(vectors=values, ids=queries.column("vec_id").to_numpy(), occurrences=queries.column("occurrence").to_numpy())
-        return pa.table({"dim": pa.array([dim], pa.int32()), "block": pa.array([number], pa.int32()), "queries": [packed]})
+        nulls = np.array(shard.column("vec_id").is_null())
+        ids = shard.column("vec_id").fill_null(0).to_numpy()
+        packed = _packed(vectors=vectors[order], ids=ids[order], nulls=nulls[order], occurrences=shard.column("occurrence").to_numpy()[order], **tree)
+        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([number], pa.int32()), "tree": pa.array([packed], pa.binary())})
 
     place = lambda m: F.pmod(F.xxhash64("vec_id", "occurrence"), F.lit(m)).cast("int")
     trees = cut(rows.groupBy("dim", place(n_shards).alias("shard")).applyInArrow(plant, "dim int, shard int, tree binary"))
-    queries = rows.where(F.col("vec_id") % every == 0)
-    blocks = cut(queries.groupBy("dim", place(n_blocks).alias("block")).applyInArrow(block, "dim int, block int, queries binary"))
-
-    def search(batches):
-        """Rows in order of block and shard: one heap for each query until the block changes."""
-        now, best, parts, own = None, [], {}, []
-
-        def found():
-            lists = [[(q, o, s, None if not has else -i, -c) for s, has, i, c in heap] for (q, o), heap in zip(own, best)]
-            flat = [x for part in lists for x in part]
-            names = ("query_id", "query_occurrence", "score", "vec_id", "occurrence")
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], pa.int64()) for i in range(5)], names=list(names))
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                if (row["dim"], row["block"]) != now:
-                    if now is not None:
-                        yield found()
-                    now, parts = (row["dim"], row["block"]), _unpacked(row["queries"])
-                    own = list(zip(parts["ids"].tolist(), parts["occurrences"].tolist()))
-                    best = [[] for _ in own]
-                Shard(row["tree"]).search(parts["vectors"], own, best, k)
-        if now is not None:
-            yield found()
-
-    pairs = blocks.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit((n_shards - 1) // shards_a_task)))).join(
-        trees.withColumn("run", F.floor(F.col("shard") / shards_a_task).cast("int")), ["dim", "run"]
-    )
-    ordered = pairs.repartition("dim", "block", "run").sortWithinPartitions("dim", "block", "run", "shard")
-    scored = ordered.select("dim", "block", "queries", "tree").mapInArrow(
-        search, "query_id long, query_occurrence long, score long, vec_id long, occurrence long"
-    )
+    queries = rows.where(is_query).withColumn("batch", place(n_batches))
+    names = ("query_id", "query_occurrence", "score", "vec_id", "occurrence")
+
+    def search(trees: pa.Table, queries: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if trees.num_rows and queries.num_rows:
+            own = list(zip(queries.column("vec_id").to_pylist(), queries.column("occurrence").to_pylist()))
+            best: list[list] = [[] for _ in own]
+            shard = Shard(trees.column("tree")[0].as_py())
+            shard.search(values(queries).reshape(queries.num_rows, shard.vectors.shape[1]), own, best, k, queries.column("least").to_pylist())
+            found = [(q, o, s, None if not has else -i, -c) for (q, o), heap in zip(own, best) for s, has, i, c in heap]
+        return pa.table({name: pa.array([x[i] for x in found], pa.int64()) for i, name in enumerate(names)})
+
     of_query = Window.partitionBy("query_id", "query_occurrence").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "occurrence")
-    return scored.withColumn("rank", F.row_number().over(of_query)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    best, start = None, 0
+    while best is None or start < n_shards:
+        end = min(n_shards, max(first_shards, 2 * start))
+        bars = queries.withColumn("least", F.lit(None).cast("long"))
+        if best is not None:
+            kth = best.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("query_occurrence").alias("occurrence"), F.col("score").alias("least"))
+            bars = queries.join(kth, ["vec_id", "occurrence"], "left")
+        left = trees.where(F.col("shard").between(start, end - 1)).withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(n_batches - 1))))
+        right = bars.withColumn("shard", F.explode(F.sequence(F.lit(start), F.lit(end - 1))))
+        group = ["dim", "shard", "batch"]
+        found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(search, ", ".join(f"{name} long" for name in names))
+        found = found if best is None else found.unionByName(best.drop("rank"))
+        best = cut(found.withColumn("rank", F.row_number().over(of_query)).where(F.col("rank") <= k))
+        start = end
+    return best.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def op5_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

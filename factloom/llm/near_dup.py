@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.lineage import cut
-from factloom.llm.common import map_rows, table
+from factloom.llm.common import map_rows, most_counted, table
 from factloom.operators.events import components
 
 _A, _B, _C = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -131,8 +131,8 @@ def nodes_of(sketched: DataFrame) -> DataFrame:
 
 def frequent_values(nodes: DataFrame, most: int, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """The values that most nodes retain, sorted, and how many do; ``most`` rows at most."""
-    counted = nodes.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count("*").alias("c")).where(F.col("c") >= least)
-    rows = counted.orderBy(F.desc("c"), "value").limit(most).toArrow()
+    counted = nodes.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count("*").alias("c"))
+    rows = most_counted(counted, most, least).select("value", "c").toArrow()
     values, counts = rows.column("value").to_numpy(), rows.column("c").to_numpy()
     order = np.argsort(values)
     return values[order], np.minimum(counts[order], np.iinfo(np.int32).max).astype(np.int32)

@@ -188,7 +188,7 @@ def test_top_k_against_brute_force(spark):
     rows += [(2000, None), (2010, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2020, [float("nan")] * 6), (2030, [float("inf")] * 6), (2040, [0.5, 0.25]), (2041, [1.0, 1.0]), (None, rows[7][1]), (20, rows[20][1]), (3000, [1e9] * 6)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, rank int")
     rows = [(v, None if e is None else [None if x is None else float(np.float32(x)) for x in e]) for v, e in rows]
-    found = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in knn.top_k(df, k=7, every=10, shard_rows=100, query_rows=9, shards_a_task=2).collect()]
+    found = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in knn.top_k(df, k=7, every=10, shard_rows=60, query_rows=9, first_shards=2).collect()]
     assert sorted(found, key=str) == brute_top(rows, 7, 10)
     assert knn.top_k(df.limit(0)).count() == 0
 

@@ -49,6 +49,40 @@ def test_licence_base_against_brute_force(text):
     assert license_scan.scan_text(text, index)[:5] == brute_licence(text)
 
 
+def test_licence_labels_against_all_places():
+    """The index finds what trying every template at every place finds."""
+    rng = random.Random(8)
+    frequency = {w: rng.randrange(900) for w in sorted(license_scan.VOCABULARY)}
+    index = license_scan.LicenceIndex.build(1000, frequency)
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            words = rng.choice(license_scan.TEMPLATES)[1].split()
+            for _ in range(rng.choice((0, 0, 1, 3))):
+                words[rng.randrange(len(words))] = rng.choice(("x", "the", "license"))
+            parts += [*words, *rng.choices(("the", "of", "software", "x1", "license", "version", "public"), k=rng.randrange(12))]
+        words = license_scan._WORD.findall(license_scan.lowered(" ".join(parts)))
+        expected = {}
+        for t, label in enumerate(index.labels):
+            share = max((index.verify(t, o, words) for o in range(-len(index.words[t]), len(words) + 1)), default=0)
+            if share >= index.min_cover:
+                expected[label] = max(expected.get(label, 0), share)
+        found = index.matches(words)
+        # A place next to an aligned one may cover more words.
+        assert found.keys() == expected.keys() and all(0.75 <= v <= expected[k] for k, v in found.items())
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("MIT License\n\nCopyright (c) 2020 X", "mit"), ("// SPDX-License-Identifier: MIT", "mit"), ("# SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3"), ("Apache License\n Version 2.0, January 2004", "apache-2.0"),
+        ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991", "gpl,gpl-2"), ("He went to MIT without a license", ""), ("the identifier of the license", ""), ("", ""),
+    ],
+)
+def test_licence_titles_and_tags(text, labels):
+    assert license_scan.scan_text(text, license_scan.LicenceIndex.build(0, {}))[5] == labels
+
+
 def test_licence_labels(spark):
     rows = [(1, "x y\nReleased under the MIT License.\nz"), (2, "Licensed under CC BY-NC 4.0."), (3, "This work is licensed under the GNU General Public License, version 3."), (4, "the license of the apache version"), (5, "licensed under the Apache License, Version 2.0")]
     found = by_id(license_scan.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")))
@@ -200,13 +234,15 @@ def test_lexicon_of_frequent_words(spark):
     library = Tokenizer.from_file(WORD)
     rows = [(1, "Zyxwvutt zyxwvutt ÉTÉ été Straße"), (2, "straße zyxwvutt once"), (3, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert bpe_lexicon.frequent_words(docs, 2) == ["zyxwvutt", "straße"] and bpe_lexicon.frequent_words(docs, 9) == ["zyxwvutt", "straße", "été"]
+    # zyxwvutt stands three times, straße and été twice: two words more than a limit of 2 leaves for them.
+    assert bpe_lexicon.frequent_words(docs, 9) == ["zyxwvutt", "straße", "été"]
+    assert bpe_lexicon.frequent_words(docs, 2) == bpe_lexicon.frequent_words(docs, 9, least=3) == ["zyxwvutt"] and bpe_lexicon.frequent_words(docs, 0) == []
     merges = bpe_lexicon.Merges(WORD)
     words = ["zyxwvutt", "straße", "été", "the"]
     lex = bpe_lexicon.Lexicon(WORD, bpe_lexicon.compiled(merges, words))
     assert (lex.numbers_of([w.encode() for w in words]) >= 0).all() and lex.ids_of(words) == {w: library.encode(w, add_special_tokens=False).ids for w in words}
-    assert max(map(len, lex.ids_of(words).values())) > 1 and not lex.unseen
-    assert len(lex.ids_of(["unseenword"])["unseenword"]) and list(lex.unseen) == ["unseenword"]
+    assert max(map(len, lex.ids_of(words).values())) > 1 
+    assert lex.numbers_of([b"unseenword"]).tolist() == [-1] and lex.ids_of(["unseenword"]) == {"unseenword": library.encode("unseenword", add_special_tokens=False).ids}
     assert bpe_lexicon.Lexicon(WORD, bpe_lexicon.compiled(merges, [])).numbers_of([b"a"]).tolist() == [-1]
 
 
