@@ -101,8 +101,8 @@ def value_interval(value: Column) -> Column:
 
 
 def allen(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
-    """The order of tests matters; a missing end is UNKNOWN."""
-    known = a_start.isNotNull() & a_end.isNotNull() & b_start.isNotNull() & b_end.isNotNull()
+    """The order of tests matters; a missing end or a start after its end is UNKNOWN."""
+    known = F.coalesce((a_start <= a_end) & (b_start <= b_end), F.lit(False))
     return (
         F.when(~known, "UNKNOWN")
         .when((a_start == b_start) & (a_end == b_end), "EQUALS")

@@ -8,11 +8,21 @@ from pyspark.sql import functions as F
 from factloom.functions.calendar import NUMBER_WORDS
 
 MONTHS = "january february march april may june july august september october november december".split()
-# Words that no similarity counts, and words of names that name nobody.
-STOP_LONG = "a an and are as at be been by for from has have in is it its of on or that the their this to was were which will with not no any all such".split()
-STOP_SHORT = "a an and for in of on or the to".split()
-NAME_PARTICLES = "mr mrs ms miss dr prof sir dame lord lady jr sr ltd limited plc llc llp inc corp corporation company co gmbh sa the and of group holdings".split()
-ARTICLES = "^(?:the|a|an|this|that|his|her|their|its|our|my)\\s+"
+# Words that no sentence comparison counts, and words that no comparison of names counts.
+STOP_LONG = (
+    "the of a an in on to for and or is are was were be been shall will that this by with from at as its it not no any all each such may"
+).split()
+STOP_SHORT = "the of a an in on to for and or".split()
+# Titles of persons, forms of organisations and generic words, which tell no party from another.
+PERSON_TITLES = "mr mrs ms miss mx dr prof professor sir dame lord lady rev hon judge justice master messrs".split()
+ORGANISATION_FORMS = (
+    "ltd limited plc llp llc inc incorporated corp corporation company co group holdings partnership trust foundation association gmbh ag sa sarl bv nv ab as oy spa srl pty kk"
+).split()
+GENERIC_WORDS = "the and of for estate trading formerly trustees executors others anor ors".split()
+NAME_PARTICLES = [*PERSON_TITLES, *ORGANISATION_FORMS, *GENERIC_WORDS]
+# How a clause is numbered before its name.
+NUMBERED = (r"art\.?\s*\d[\d.]*", r"section\s*\d+[().\d\w]*", r"§\s*\d+[().\d\w]*", r"article\s*\d[\d.]*")
+CLAUSE_NUMBER = rf"(?iU)^(?:{'|'.join(NUMBERED)})\s*"
 
 
 def tokens(text: Column) -> Column:
@@ -31,16 +41,16 @@ def flat(text: Column) -> Column:
 
 
 def base_entity(entity: Column) -> Column:
-    """Without a leading article, lower case."""
-    return F.regexp_replace(F.lower(F.trim(entity)), ARTICLES, "")
+    """Without the number of an article or section before it, lower case."""
+    return F.lower(F.trim(F.regexp_replace(entity, CLAUSE_NUMBER, "")))
 
 
 def normalise_entity(entity: Column, boilerplate: tuple[str, ...] = ()) -> Column:
-    """Article and boilerplate patterns removed, blanks collapsed, lower; the original if nothing is left."""
-    out = base_entity(entity)
+    """Clause number and boilerplate patterns removed, blanks collapsed, lower; the original if nothing is left."""
+    out = F.regexp_replace(entity, CLAUSE_NUMBER, "")
     for pattern in boilerplate:
         out = F.regexp_replace(out, f"(?i){pattern}", " ")
-    out = flat(out)
+    out = F.lower(flat(out))
     return F.when(out == "", F.lower(entity)).otherwise(out)
 
 
@@ -75,7 +85,7 @@ def parties_overlap(a: Column, b: Column) -> Column:
 
 
 def same_matter(matter_a: Column, matter_b: Column, parties_a: Column, parties_b: Column) -> Column:
-    """struct(allowed, reason)."""
+    """struct(allowed, reason). Declared matters decide, then named parties; silence never blocks. parties: keys."""
     named = (F.size(parties_a) > 0) & (F.size(parties_b) > 0)
     return (
         F.when(matter_a.isNotNull() & matter_b.isNotNull(), F.struct((matter_a == matter_b).alias("allowed"), F.lit("declared matter").alias("reason")))
@@ -112,26 +122,58 @@ def normalize_whitespace(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+# Shapes of what may be a date or a period; a month's name needs a day or a year beside it.
+_SHORT_MONTHS = "jan feb mar apr jun jul aug sep sept oct nov dec".split()
+_MONTH_NAME = "(?:" + "|".join([*MONTHS, *_SHORT_MONTHS]) + ")"
+DATE_LIKE = (
+    r"\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b",
+    r"\b\d{4}-\d{2}-\d{2}\b",
+    rf"\b\d{{1,2}}(?:st|nd|rd|th)?\s+(?:of\s+)?{_MONTH_NAME}\b",
+    rf"\b{_MONTH_NAME}\s+\d{{1,2}}\b",
+    rf"\b{_MONTH_NAME}\s+\d{{4}}\b",
+    r"\b(?:19|20)\d{2}\b",
+    r"\b\d+\s+(?:day|week|month|year|hour)s?\b",
+    r"\b(?:yesterday|today|tomorrow|forthwith|immediately)\b",
+)
+# Page furniture of law reports and letters.
+JUNK = (
+    r"^\s*OJ\s+[A-Z]\s+\d+", r"^\s*\(\d+\)\s*$", r"^\s*\d+\s*/\s*\d+\s*$", r"^\s*[IVX]+\s*$", r"^\s*[-–—]+\s*$", r"^\s*\*+\s*$",
+    "official journal", "european communities", r"^\s*\(language of the case", r"^\s*judgment of the court", r"^\s*in case\s+[A-Z]-\d+",
+)
+
+
 def has_date_like(text: Column) -> Column:
     """any token that may be a date or a period."""
-    names = "|".join(MONTHS)
-    patterns = (rf"\b(?:{names})\b", r"\b\d{4}-\d{2}(?:-\d{2})?\b", r"\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b", r"\b(?:19|20)\d{2}\b", r"\b\d+\s*(?:day|week|month|year)s?\b", r"\b(?:today|yesterday|tomorrow)\b")
-    return F.lower(text).rlike("|".join(f"(?:{p})" for p in patterns))
+    return text.rlike("(?iU)" + "|".join(f"(?:{p})" for p in DATE_LIKE))
 
 
 def mentions_date(text: Column, when: Column) -> Column:
-    """F16: states a date as ISO, in words (day, month name, year) or in numbers either way round."""
-    low, names = F.lower(text), F.lower(F.date_format(when, "MMM"))
+    """F16: states a date as ISO, by year, day and the month's first three letters, or in numbers either way round."""
+    low, name = F.lower(text), F.lower(F.date_format(when, "MMM"))
     day, month, year = F.dayofmonth(when).cast("string"), F.month(when).cast("string"), F.year(when).cast("string")
-    spoken = F.regexp_like(low, F.concat(F.lit(r"\b0?"), day, F.lit(r"(?:st|nd|rd|th)?\b"))) & F.regexp_like(low, F.concat(F.lit(r"\b"), names)) & F.contains(low, year)
+    spoken = F.contains(low, year) & F.regexp_like(low, F.concat(F.lit(r"\b0?"), day, F.lit(r"\b"))) & F.contains(low, name)
     number = lambda a, b: F.regexp_like(low, F.concat(F.lit(r"\b0?"), a, F.lit(r"[./-]0?"), b, F.lit("[./-](?:"), year, F.lit("|"), F.substring(year, 3, 2), F.lit(r")\b")))
     return F.contains(low, F.date_format(when, "yyyy-MM-dd")) | spoken | number(day, month) | number(month, day)
 
 
 def is_junk_line(line: Column) -> Column:
-    """page furniture, and never a line with a date."""
-    patterns = (r"^\W*$", r"(?i)^page \d+( of \d+)?$", r"(?i)^tel[:. ]", r"(?i)^fax[:. ]", r"(?i)^(https?://|www\.)\S+$", r"^\S+@\S+$", r"^\d+$", r"(?i)^(strictly )?(private|confidential)( and confidential)?$", r"(?i)^registered (office|in)", r"[-_=.]{5,}", r"\S( {6,})\S")
-    return ~has_date_like(line) & F.trim(line).rlike("|".join(f"(?:{p})" for p in patterns))
+    """page furniture or a line of columns, and never a line with a date."""
+    trimmed = F.regexp_replace(line, r"^\s+|\s+$", "")
+    return ~has_date_like(trimmed) & trimmed.rlike("(?i)" + "|".join(f"(?:{p})" for p in (*JUNK, r"\s{6,}")))
+
+
+def paragraphs(text: Column, most: int = 1500) -> Column:
+    """The kept paragraphs; one of over ``most`` characters is cut where a sentence ends before a capital, and put together again up to that length."""
+    pieces = lambda p: F.filter(F.transform(F.split(p, r"(?<=[.!?])\s+(?=[A-Z])"), F.trim), lambda x: x != "")
+    empty = F.array().cast("array<string>")
+
+    def pack(done: Column, piece: Column) -> Column:
+        last = F.element_at(done, -1)
+        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat_ws(" ", last, piece)))
+        return F.when((F.size(done) > 0) & (F.length(last) + F.length(piece) < most), joined).otherwise(F.concat(done, F.array(piece)))
+
+    cut = lambda p: F.when(F.length(p) > most, F.aggregate(pieces(p), empty, pack)).otherwise(F.array(p))
+    return F.flatten(F.transform(clean_paragraphs(text)["kept"], cut))
 
 
 def clean_paragraphs(text: Column, least: int = 80) -> Column:
@@ -177,10 +219,13 @@ def stated_offsets(text: Column) -> Column:
     return F.array_distinct(F.transform(found, one))
 
 
-def supporting_quote(sentence: Column, raw: Column, when: Column) -> Column:
-    """struct(quote, corroborated): the field of at least four words that states the date."""
-    good = lambda t: (F.size(tokens(t)) >= 4) & mentions_date(t, when)
-    return F.when(good(sentence), F.struct(sentence.alias("quote"), F.lit(True).alias("corroborated"))).when(good(raw), F.struct(raw.alias("quote"), F.lit(True).alias("corroborated"))).otherwise(F.struct(sentence.alias("quote"), F.lit(False).alias("corroborated")))
+def supporting_quote(sentence: Column, raw: Column, when: Column, value: Column | None = None) -> Column:
+    """struct(quote, corroborated): the field of at least four words that states the date, else the value."""
+    stated = F.when(when.isNotNull(), F.lit(True))
+    states = lambda t: mentions_date(t, when) if value is None else F.when(stated, mentions_date(t, when)).otherwise((value != "") & F.contains(F.lower(t), F.lower(value)))
+    good = lambda t: F.coalesce((F.size(tokens(t)) >= 4) & states(t), F.lit(False))
+    found = lambda t, ok: F.struct(t.alias("quote"), F.lit(ok).alias("corroborated"))
+    return F.when(good(sentence), found(sentence, True)).when(good(raw), found(raw, True)).otherwise(found(F.coalesce(sentence, F.lit("")), False))
 
 
 def strip_fences(text: Column) -> Column:

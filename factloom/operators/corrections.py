@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.schemas import CORRECTION_OPS
+
 CLASS_OF = {"accept": "state", "reject": "state", "edit_date": "date", "edit_label": "label"}
 
 
@@ -35,6 +37,6 @@ def merges_and_splits(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return merges, log.where("op = 'split'").select(F.explode(keys).alias("key"))
 
 
-def export_gold(log: DataFrame) -> DataFrame:
-    """the log as JSON lines without empty fields."""
-    return log.select(F.to_json(F.struct(*[c for c in log.columns if c != "pos"]), {"ignoreNullFields": "true"}).alias("value"))
+def export_gold(log: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """the log's known corrections as JSON lines without empty fields; ``keep`` names columns to return beside them."""
+    return log.where(F.col("op").isin(*CORRECTION_OPS)).select(*keep, F.to_json(F.struct(*[c for c in log.columns if c != "pos"]), {"ignoreNullFields": "true"}).alias("value"))

@@ -29,16 +29,44 @@ PATTERNS = (
     ("DATE", rf"{_MONTH}\s+\d{{4}}"),
     ("DURATION", r"\d+\s+(?:day|week|month|year)s?"),
 )
-# Words before an expression or verbs near it that tell its role.
-ROLE_WORDS = {
-    "START": "from since beginning starting commencing started began commenced joined appointed hired entered".split(),
-    "END": "until till by before ending ended expired terminated left finished dismissed resigned ceased".split(),
-    "DURATION": "for during within lasting".split(),
+# Prepositions just before an expression, verbs near it and nouns of its sentence that tell its role.
+PREPOSITIONS = {
+    "START": ("from", "since", "starting", "beginning", "as of", "effective"),
+    "END": ("until", "till", "through", "by", "before", "no later than", "ending"),
+    "DURATION": ("for", "over", "spanning", "within"),
+    "CONTAINS": ("during", "throughout", "amid", "while"),
 }
+VERBS = {
+    "END": (
+        "end finish terminate expire close conclude dissolve abolish complete cease stop adjourn discharge die resign retire abdicate surrender repeal dismiss graduate demolish "
+        "fall defeat cure ended finished terminated expired closed concluded dissolved abolished completed ceased stopped discharged died resigned retired abdicated "
+        "surrendered repealed dismissed graduated defeated cured fell"
+    ).split(),
+    "START": (
+        "begin start commence initiate launch open inaugurate establish found incorporate admit diagnose enroll deploy bear enter invade sign execute file hire appoint elect "
+        "accede ascend announce award take began started commenced initiated launched opened inaugurated established founded incorporated admitted diagnosed enrolled "
+        "deployed born entered invaded signed executed filed hired appointed elected announced awarded"
+    ).split(),
+    "DURATION": (
+        "last continue span endure persist extend run serve reign rule survive lasted continued spanned endured persisted extended ran served reigned ruled survived"
+    ).split(),
+}
+NOUNS = {
+    "START": (
+        "start beginning commencement inception onset outset founding establishment admission diagnosis birth inauguration signing execution opening launch"
+    ).split(),
+    "END": "end conclusion termination expiration expiry closure death discharge dissolution completion surrender resignation retirement graduation".split(),
+    "DURATION": "duration length period span term tenure reign".split(),
+}
+# Words that show that an edge rests on a stated period.
+TRIGGERS = ("within", "after", "before", "from", "no later than", "not later than", "following", "upon", "prior to", "at least", "at most", "thereof")
 
 
-def timexes(documents: DataFrame) -> DataFrame:
-    """doc_id, start, end, text, timex_type, value, date_parsed, duration_days in order of place."""
+def timexes(documents: DataFrame, keep_text: bool = False) -> DataFrame:
+    """doc_id, start, end, text, timex_type, value, date_parsed, duration_days in order of place.
+
+    With ``keep_text`` also ``around``, the line and sentence parts about it, and its place in them.
+    """
     any_of = r"(?i)\b(" + "|".join(f"(?:{p})" for _, p in PATTERNS) + r")\b"
     pieces = F.split("source_text", any_of)  # what stands between the matches gives their places
     found = F.regexp_extract_all("source_text", F.lit(any_of), F.lit(1))
@@ -57,7 +85,16 @@ def timexes(documents: DataFrame) -> DataFrame:
     month = F.when((kind == "DATE") & date.isNull(), F.coalesce(*[F.try_to_timestamp(named, F.lit(f)).cast("date") for f in ("MMMM yyyy", "MMM yyyy")]))
     days = F.when(kind == "DURATION", _days(flat))
     value = F.coalesce(F.date_format(date, "yyyy-MM-dd"), F.date_format(month, "yyyy-MM"), F.when(flat.rlike(r"^\d{4}$"), flat), F.concat(F.lit("P"), days.cast("string"), F.lit("D")))
-    return rows.select("doc_id", "start", (F.col("start") + F.length("text")).alias("end"), "text", kind.alias("timex_type"), value.alias("value"), date.alias("date_parsed"), days.alias("duration_days"), sentence_around(F.col("source_text"), F.col("start"), F.col("start") + F.length("text")).alias("sentence"))
+    return rows.select("doc_id", "start", (F.col("start") + F.length("text")).alias("end"), "text", kind.alias("timex_type"), value.alias("value"), date.alias("date_parsed"), days.alias("duration_days"), sentence_around(F.col("source_text"), F.col("start"), F.col("start") + F.length("text")).alias("sentence"), *_around(keep_text))
+
+
+def _around(keep: bool) -> list[Column]:
+    """The text from the last full stop or line end before an expression to the first full stop after it."""
+    if not keep:
+        return []
+    before = F.regexp_extract(F.substring("source_text", F.lit(1), F.col("start")), r"([^.\n]*)$", 1)
+    after = F.regexp_extract(F.substring("source_text", F.col("start") + F.length("text") + 1, F.length("source_text")), r"^([^.]*\.?)", 1)
+    return [F.concat(before, "text", after).alias("around"), F.length(before).alias("around_start"), (F.length(before) + F.length("text")).alias("around_end")]
 
 
 def _days(text: Column) -> Column:
@@ -69,17 +106,24 @@ def _days(text: Column) -> Column:
     return out.try_cast("int")
 
 
-def role_of(sentence: Column, text: Column, timex_type: Column) -> Column:
-    """The preposition just before, else a word of the sentence; a duration is its own role."""
-    before = F.lower(F.regexp_extract(F.split_part(sentence, text, F.lit(1)), r"(\w+)\W*(?:the\W+)?$", 1))
-    words = F.split(F.lower(sentence), r"\W+")
+def role_of(text: Column, start: Column, end: Column, timex_type: Column) -> Column:
+    """A duration's own role, else that of the preposition just before, of the nearest verb of the sentence (one behind counts 10 more), or of a noun."""
+    head = F.regexp_extract(F.lower(F.substring(text, F.lit(1), start)), r"([^.\n]*)$", 1)
+    tail = F.regexp_extract(F.lower(F.substring(text, end + 1, F.length(text))), r"^([^.]*\.?)", 1)
+    window = F.trim(F.substring(head, -30, 30))
     out = F.when(timex_type == "DURATION", "DURATION")
-    for role, listed in ROLE_WORDS.items():
-        out = out.when(before.isin(listed), role)
-    for role, listed in ROLE_WORDS.items():
-        if role != "DURATION":
-            out = out.when(F.arrays_overlap(words, F.array(*map(F.lit, listed[5:]))), role)
-    return out.when(before == "on", "CONTAINS").otherwise("UNKNOWN")
+    for role, listed in PREPOSITIONS.items():
+        out = out.when(window.rlike(rf"\b(?:{'|'.join(listed)})\s*$"), role)
+    role_of_verb = F.create_map(*[F.lit(x) for role, listed in VERBS.items() for verb in listed for x in (verb, role)])
+    words = lambda t: F.filter(F.regexp_extract_all(t, F.lit("([a-z]+)"), F.lit(1)), lambda w: role_of_verb[w].isNotNull())
+    # A verb's place is where its letters stand last before the expression, and first behind it.
+    since = lambda w: F.length(F.call_function("substring_index", head, w, F.lit(-1))) + F.length(w)
+    near = lambda side: lambda w, i: F.struct((since(w) if side == 0 else F.instr(tail, w) + 9).alias("far"), F.lit(side).alias("side"), i.alias("i"), role_of_verb[w].alias("role"))
+    verb = F.array_min(F.concat(F.transform(words(head), near(0)), F.transform(words(tail), near(1))))
+    out = out.when(verb.isNotNull(), verb["role"])
+    for role, listed in NOUNS.items():
+        out = out.when(F.concat_ws(" ", head, tail).rlike(rf"\b(?:{'|'.join(listed)})\b"), role)
+    return out.otherwise("UNKNOWN")
 
 
 def entity_of(sentence: Column, text: Column, fallback: Column) -> Column:
@@ -91,15 +135,21 @@ def entity_of(sentence: Column, text: Column, fallback: Column) -> Column:
     return F.coalesce(F.try_element_at(before, F.lit(-1)), F.nullif(after, F.lit("")), F.nullif(noun, F.lit("")), fallback)
 
 
+def mark_duplicates(facts: DataFrame, same: list[str], name: str, order: str) -> DataFrame:
+    """Facts with is_duplicate_of, the name of the first of those with the same columns; null for the first itself."""
+    keys = [F.col(c).alias(f"_key{i}") for i, c in enumerate(same)]
+    first = facts.groupBy(*keys).agg(F.min(F.struct(F.col(order).alias("o"), F.col(name).alias("n")))["n"].alias("_name"))
+    joined = facts.join(first, [F.col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(same)], "left").drop(*[f"_key{i}" for i in range(len(same))])
+    return joined.withColumn("is_duplicate_of", F.when(F.col("_name") != F.col(name), F.col("_name"))).drop("_name")
+
+
 def extract_facts(documents: DataFrame) -> DataFrame:
     """Facts of each document; the first of each (entity, role, value) stays, others name it as duplicate."""
-    found = timexes(documents).join(documents.select("doc_id", F.coalesce("document_type", F.lit("document")).alias("_type")), "doc_id")
-    facts = found.withColumns({"role": role_of(F.col("sentence"), F.col("text"), F.col("timex_type")), "entity": entity_of(F.col("sentence"), F.col("text"), F.col("_type"))})
+    found = timexes(documents, keep_text=True).join(documents.select("doc_id", F.coalesce("document_type", F.lit("document")).alias("_type")), "doc_id")
+    facts = found.withColumns({"role": role_of(F.col("around"), F.col("around_start"), F.col("around_end"), F.col("timex_type")), "entity": entity_of(F.col("sentence"), F.col("text"), F.col("_type"))})
     order = Window.partitionBy("doc_id").orderBy("start")
     facts = facts.withColumn("fact_pos", F.row_number().over(order) - 1).withColumn("fact_id", F.format_string("f%03d", F.col("fact_pos") + 1))
-    same = Window.partitionBy("doc_id", "entity", "role", "value").orderBy("start")
-    first = F.first("fact_id").over(same)
-    return facts.withColumn("is_duplicate_of", F.when(first != F.col("fact_id"), first)).select(
+    return mark_duplicates(facts, ["doc_id", "entity", "role", "value"], "fact_id", "start").select(
         "doc_id", "fact_id", "fact_pos", "entity", "role", "value", F.col("text").alias("raw_text"), "timex_type", "sentence", "date_parsed", "duration_days", F.col("start").alias("start_char"), F.col("end").alias("end_char"), F.lit(0.7).alias("confidence"), "is_duplicate_of", F.lit(True).alias("temporal_content"),
     )
 
@@ -108,10 +158,10 @@ def extract_facts(documents: DataFrame) -> DataFrame:
 EXTRACTORS = {"regex": extract_facts}
 
 
-def downgrade_edges(deps: DataFrame, facts: DataFrame, triggers: tuple[str, ...] = ("within", "after", "from", "days", "weeks", "months", "years")) -> DataFrame:
+def downgrade_edges(deps: DataFrame, facts: DataFrame, triggers: tuple[str, ...] = TRIGGERS) -> DataFrame:
     """an additive edge is ordering when no trigger word stands in either sentence or its target is dated."""
     side = lambda p: facts.select("doc_id", F.col("fact_id").alias(f"{p}_id"), F.col("sentence").alias(f"{p}_s"), F.col("date_parsed").alias(f"{p}_d"))
     joined = deps.join(side("from"), ["doc_id", "from_id"]).join(side("to"), ["doc_id", "to_id"])
-    said = F.arrays_overlap(F.split(F.lower(F.concat_ws(" ", "from_s", "to_s")), r"\W+"), F.array(*map(F.lit, triggers)))
+    said = F.concat_ws(" ; ", "from_s", "to_s").rlike(rf"(?i)\b(?:{'|'.join(triggers)})\b")
     weak = (F.col("constraint_type") == "additive") & (~said | F.col("to_d").isNotNull())
     return joined.withColumn("constraint_type", F.when(weak, "ordering").otherwise(F.col("constraint_type"))).drop("from_s", "to_s", "from_d", "to_d")

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import calendar, scores
-from factloom.functions.text import STOP_LONG, jaccard, party_key, text_overlap, tokens
+from factloom.functions.text import STOP_LONG, jaccard, party_key, same_matter, supporting_quote, text_overlap, tokens
 from factloom.lineage import cut
 from factloom.operators.events import components
 
-FLOOR, BAR = 0.12, 0.60
+# The bar holds without an embedding model, 0.60 with one.
+FLOOR, BAR = 0.12, 0.50
 
 
 def token_statistics(texts: DataFrame, group: str = "grp", doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -51,37 +52,131 @@ def document_spans(facts: DataFrame, group: str = "grp") -> DataFrame:
     return spans.withColumn("span_days", F.coalesce(F.datediff(F.max("hi").over(w), F.min("lo").over(w)), F.lit(0)))
 
 
+def party_keys(parties: Column) -> Column:
+    """The keys of named parties that hold a word, each as sorted words."""
+    return F.array_distinct(F.filter(F.transform(F.coalesce(parties, F.array().cast("array<string>")), party_key), lambda k: F.size(k) > 0))
+
+
+def _contained_keys(keys: DataFrame) -> DataFrame:
+    """a, b: pairs of distinct keys (k: words), a contained in b. They meet at a's rarest word."""
+    words = keys.select("k", F.explode("k").alias("w"))
+    df = words.groupBy("w").agg(F.count("*").alias("df"))
+    rarest = words.join(df, "w").groupBy("k").agg(F.min_by("w", F.struct("df", "w")).alias("w"))
+    met = rarest.withColumnRenamed("k", "a").join(words.withColumnRenamed("k", "b"), "w")
+    return met.where((F.col("a") != F.col("b")) & (F.size(F.array_except("a", "b")) == 0)).select("a", "b")
+
+
 def matter_groups(documents: DataFrame) -> DataFrame:
-    """Documents with grp: components of declared matter or of a shared party key.
+    """Documents with grp, the components of pairs that may be linked.
 
-    Documents meet through the matter or the party they share, so no pair of documents is made;
-    a document that states neither is a group of its own.
+    Two declared matters must be equal; else, where both name parties, a key of one must lie in a
+    key of the other; else the pair is free. No pair of documents is made: documents meet at their
+    matter, at their keys and the keys that contain these, and what is free with whole classes of
+    documents meets at one node.
     """
-    keyed = documents.select("doc_id", "matter", F.transform("parties", party_key).alias("keys"))
-    by_matter = keyed.where(F.col("matter").isNotNull()).select(F.concat(F.lit("d:"), "doc_id").alias("a"), F.concat(F.lit("m:"), "matter").alias("b"))
-    by_party = keyed.where(F.col("matter").isNull()).select("doc_id", F.explode("keys").alias("k")).where(F.size("k") > 0).select(F.concat(F.lit("d:"), "doc_id").alias("a"), F.concat(F.lit("p:"), F.array_join("k", " ")).alias("b"))
-    labels = components(by_matter.union(by_party)).where(F.col("key").startswith("d:")).select(F.substring("key", 3, 1 << 30).alias("doc_id"), F.col("label").alias("grp"))
+    node = lambda prefix, c: F.concat(F.lit(prefix), c)
+    doc, one = node("d:", F.col("doc_id")), F.lit("any")
+    keyed = cut(documents.select("doc_id", "matter", party_keys(F.col("parties")).alias("keys")))
+    has, named = F.col("matter").isNotNull(), F.size("keys") > 0
+    edges = keyed.where(has).select(doc.alias("a"), node("m:", F.col("matter")).alias("b"))
+    # Keys decide only between pairs of which one declares no matter: its keys are the nodes.
+    text = lambda c: node("p:", F.array_join(c, " "))
+    open_keys = cut(keyed.where(~has).select("doc_id", F.explode("keys").alias("k")))
+    other_keys = cut(keyed.where(has).select("doc_id", F.explode("keys").alias("k")))
+    nodes = open_keys.select("k").distinct()
+    contained = cut(_contained_keys(nodes.union(other_keys.select("k")).distinct()))
+    related = contained.union(contained.select("b", "a")).union(nodes.select("k", F.col("k").alias("k2"))).distinct()
+    to_nodes = related.join(nodes.withColumnRenamed("k", "b"), "b").select("a", "b")
+    edges = edges.union(open_keys.select(doc, text(F.col("k"))))
+    edges = edges.union(to_nodes.join(nodes.withColumnRenamed("k", "a"), "a").select(text(F.col("a")), text(F.col("b"))))
+    edges = edges.union(other_keys.join(to_nodes, other_keys["k"] == to_nodes["a"]).select(doc, text(F.col("b"))))
+    # Silent documents are free with all; a matter without parties is free with parties without a matter.
+    kinds = keyed.agg(F.count_if(~has & ~named).alias("silent"), F.count_if(has & ~named).alias("only_matter"), F.count_if(~has & named).alias("only_parties")).first()
+    if kinds["silent"]:
+        edges = edges.union(keyed.select(doc, one))
+    elif kinds["only_matter"] and kinds["only_parties"]:
+        edges = edges.union(keyed.where(has != named).select(doc, one))
+    labels = components(edges).where(F.col("key").startswith("d:")).select(F.substring("key", 3, 1 << 30).alias("doc_id"), F.col("label").alias("grp"))
     return documents.join(labels, "doc_id", "left").withColumn("grp", F.coalesce("grp", F.concat(F.lit("d:"), "doc_id")))
 
 
-def candidate_pairs(facts: DataFrame, weights: Column | None = None, bar: float = BAR, floor: float = FLOOR) -> DataFrame:
+def document_texts(documents: DataFrame, facts: DataFrame) -> DataFrame:
+    """doc_id and text: its id in words, its type, then its facts' entities and sentences in order."""
+    said = facts.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("fact_pos", F.concat_ws(" ", "entity", "sentence").alias("t")))).alias("f"))
+    words = F.concat_ws(" ", F.translate("doc_id", "_", " "), "document_type", F.array_join(F.transform("f", lambda x: x["t"]), " "))
+    return documents.join(said, "doc_id", "left").select(*[c for c in ("doc_id", "grp") if c in documents.columns], words.alias("text"))
+
+
+def _weighed(facts: DataFrame, columns: dict[str, str], statistics: DataFrame | None) -> DataFrame:
+    """facts (grp, doc_id, fact_id) with a map of word to weight for each text column; a word that no statistics hold weighs as new."""
+    ids = ["grp", "doc_id", "fact_id"]
+    words = facts.select(*ids, F.explode(F.array(*[F.struct(F.lit(name).alias("field"), F.array_distinct(tokens(F.col(c))).alias("w")) for name, c in columns.items()])).alias("x"))
+    words = words.select(*ids, "x.field", F.explode("x.w").alias("token"))
+    if statistics is None:
+        words = words.withColumn("idf", F.lit(1.0))
+    else:
+        n = statistics.groupBy("grp").agg(F.max("n").alias("n"))
+        words = words.join(statistics.select("grp", "token", "df"), ["grp", "token"], "left").join(n, "grp", "left")
+        words = words.withColumn("idf", scores.idf(F.coalesce("df", F.lit(0)), F.coalesce("n", F.lit(0))))
+    maps = words.groupBy(*ids).agg(*[F.map_from_entries(F.collect_list(F.when(F.col("field") == name, F.struct("token", "idf")))).alias(name) for name in columns])
+    empty = F.create_map().cast("map<string,double>")
+    return facts.join(maps, ids, "left").withColumns({name: F.coalesce(name, empty) for name in columns})
+
+
+def _map_scores(a: Column, b: Column) -> tuple[Column, Column]:
+    """M02, M03 of two maps of word to weight: weighted Jaccard, mean containment."""
+    total = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda s, v: s + v)
+    both = F.aggregate(F.array_intersect(F.map_keys(a), F.map_keys(b)), F.lit(0.0), lambda s, k: s + a[k])
+    x, y = total(a), total(b)
+    union = x + y - both
+    return F.when(union > 0, both / union).otherwise(0.0), F.when((x > 0) & (y > 0), (both / x + both / y) / 2).otherwise(0.0)
+
+
+def _blocks(own: DataFrame, fields: list[str], floor: float) -> DataFrame:
+    """Distinct pairs of facts of a group that may reach ``floor`` on some field.
+
+    Both scores are at most the larger of the shared weight's parts of the two sides. So of a side
+    the heaviest words are enough, down to where the rest weighs less than ``floor`` of all, if
+    they meet all words of the other side: common words rarely bring facts together.
+    """
+    ids = ["doc_id", "fact_id"]
+    words = own.select("grp", *ids, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("m")) for f in fields])).alias("x")).select("grp", *ids, "x.field", F.explode("x.m").alias("token", "w"))
+    side = Window.partitionBy("grp", *ids, "field")
+    lighter = F.sum("w").over(side.orderBy("w", "token").rowsBetween(Window.unboundedPreceding, 0))
+    words = cut(words.withColumns({"upto": lighter, "all": F.sum("w").over(side)}).withColumn("heavy", F.col("upto") >= floor * F.col("all") - 1e-9).drop("upto", "all", "w"))
+    name = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ids]
+    on = ["grp", "field", "token"]
+    met = words.select(*on, *name("a"), F.col("heavy").alias("x")).join(words.select(*on, *name("b"), F.col("heavy").alias("y")), on)
+    return met.where((F.col("x") | F.col("y")) & (F.col("a_doc_id") < F.col("b_doc_id"))).select("grp", "a_doc_id", "a_fact_id", "b_doc_id", "b_fact_id").distinct()
+
+
+def candidate_pairs(facts: DataFrame, statistics: DataFrame | None = None, bar: float = BAR, floor: float = FLOOR) -> DataFrame:
     """Scored fact pairs of different documents of a group.
 
     facts: grp, doc_id, fact_id, pos, entity, sentence, role, date_parsed, duration_days, is_duplicate_of,
-    span_days. Duplicates take no part. Facts meet inside their matter's group only, each pair once;
-    role and date gap are tested in the join, before any score.
+    span_days; raw_text and value for the supporting quote, matter and keys (of parties) where the
+    pair's own documents must be allowed. statistics: df and n of the group's words; without them all
+    words weigh alike. Duplicates take no part. Facts meet at their group's telling words, each pair
+    once; matter, role and date gap are tested before any score.
     """
-    own = facts.where(F.col("is_duplicate_of").isNull()).withColumns({"et": tokens(F.col("entity")), "st": tokens(F.col("sentence"))})
-    side = lambda p: own.select("grp", *[F.col(c).alias(f"{p}_{c}") for c in ("doc_id", "fact_id", "pos", "role", "date_parsed", "duration_days", "et", "st", "span_days")])
+    has = set(facts.columns)
+    raw, value = (F.col(c) if c in has else F.lit("") for c in ("raw_text", "value"))
+    own = facts.where(F.col("is_duplicate_of").isNull()).withColumn("quote", supporting_quote(F.col("sentence"), raw, F.col("date_parsed"), value)["quote"])
+    own = cut(_weighed(own, {"em": "entity", "qm": "quote"}, statistics))
+    gate = [c for c in ("matter", "keys") if c in has]
+    kept = ["doc_id", "fact_id", "pos", "role", "date_parsed", "duration_days", "em", "qm", "span_days", *gate]
+    side = lambda p: own.select("grp", *[F.col(c).alias(f"{p}_{c}") for c in kept])
     role = scores.role_compatibility(F.col("a_role"), F.col("b_role"))
     apart = calendar.gap_incompatible(F.col("a_date_parsed"), F.col("b_date_parsed"), F.col("a_span_days"))
-    pairs = side("a").join(side("b"), "grp").where((F.col("a_doc_id") < F.col("b_doc_id")) & (role > 0) & ~apart)
-    none = F.create_map().cast("map<string,double>") if weights is None else weights
-    entity, sentence = scores.entity_score(F.col("a_et"), F.col("b_et"), none), scores.weighted_jaccard(F.col("a_st"), F.col("b_st"), none)
+    met = _blocks(own, ["em", "qm"], floor).join(side("a"), ["grp", "a_doc_id", "a_fact_id"]).join(side("b"), ["grp", "b_doc_id", "b_fact_id"])
+    pairs = met.where((role > 0) & ~apart)
+    if len(gate) == 2:
+        pairs = pairs.where(same_matter(F.col("a_matter"), F.col("b_matter"), F.col("a_keys"), F.col("b_keys"))["allowed"])
+    entity, sentence = F.greatest(*_map_scores(F.col("a_em"), F.col("b_em"))), _map_scores(F.col("a_qm"), F.col("b_qm"))[0]
     near = calendar.temporal_proximity(F.col("a_date_parsed"), F.col("b_date_parsed"), F.col("a_duration_days"), F.col("b_duration_days"))
     scored = pairs.withColumns({"entity_score": entity, "sentence_score": sentence, "temporal_score": near, "role_score": role})
     scored = scored.where(F.greatest("entity_score", "sentence_score") >= floor).withColumn("score", scores.pair_score(F.col("entity_score"), F.col("sentence_score"), F.col("temporal_score"), F.col("role_score")))
-    return scored.where(F.col("score") >= bar).drop("a_et", "b_et", "a_st", "b_st", "a_span_days", "b_span_days")
+    return scored.where(F.col("score") >= bar).drop("a_em", "b_em", "a_qm", "b_qm", "a_span_days", "b_span_days", *[f"{p}_{c}" for p in "ab" for c in gate])
 
 
 def one_to_one(pairs: DataFrame, group: list[str], a: str, b: str, score: str = "score") -> DataFrame:
@@ -141,25 +236,28 @@ def with_siblings(links: DataFrame, groups: DataFrame) -> DataFrame:
     return out.withColumns({"from_fact": F.col("from_member"), "to_fact": F.col("to_member")}).drop("from_member", "to_member")
 
 
-def structural_analogies(deps: DataFrame, facts: DataFrame, bar: float = 0.2) -> DataFrame:
-    """Document pairs by Jaccard of their (role, role, type) sets; pairs share a signature."""
+def structural_analogies(deps: DataFrame, facts: DataFrame, bar: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """Classes and class pairs by Jaccard of documents' (role, role, type) sets."""
     role = lambda side: facts.select("doc_id", F.col("fact_id").alias(f"{side}_id"), F.col("role").alias(f"{side}_role"))
     signed = deps.join(role("from"), ["doc_id", "from_id"]).join(role("to"), ["doc_id", "to_id"]).select("doc_id", F.concat_ws("|", "from_role", "to_role", "constraint_type").alias("sig"))
-    return signature_pairs(signed, bar)
+    return signature_classes(signed, bar)
 
 
-def signature_pairs(signed: DataFrame, bar: float) -> DataFrame:
-    """a, b, similarity of the sets that doc_id, sig rows make; only pairs with a common member meet.
+def signature_classes(signed: DataFrame, bar: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id, class of the sets that doc_id, sig rows make; and a, b, similarity, pairs of the classes alike.
 
-    Documents of equal sets are one class first, so the pairs are few: classes, not documents.
+    A class is the smallest document of its set. Documents of one class are alike (similarity 1,
+    a = b); pairs counts the document pairs that a class pair stands for, so nothing is unfolded.
     """
     sets = signed.groupBy("doc_id").agg(F.sort_array(F.collect_set("sig")).alias("s"))
-    classes = sets.select("s").distinct()
-    members = classes.select("s", F.explode("s").alias("sig"))
-    met = members.select(F.col("s").alias("x"), "sig").join(members.select(F.col("s").alias("y"), "sig"), "sig").select("x", "y").distinct()
-    alike = met.withColumn("similarity", jaccard(F.col("x"), F.col("y"))).where(F.col("similarity") >= bar)
-    a, b = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y"))
-    return alike.join(a, "x").join(b, "y").where(F.col("a") < F.col("b")).select("a", "b", "similarity")
+    classes = cut(sets.groupBy("s").agg(F.min("doc_id").alias("class"), F.count("*").alias("n")))
+    members = classes.select("class", "n", "s", F.explode("s").alias("sig"))
+    x, y = (members.select("sig", F.col("class").alias(p), F.col("n").alias(f"n_{p}"), F.col("s").alias(f"s_{p}")) for p in ("a", "b"))
+    # A pair is judged at the first signature it shares.
+    met = x.join(y, "sig").where((F.col("a") <= F.col("b")) & (F.col("sig") == F.array_min(F.array_intersect("s_a", "s_b"))))
+    pairs = F.when(F.col("a") == F.col("b"), F.col("n_a") * (F.col("n_a") - 1) / 2).otherwise(F.col("n_a") * F.col("n_b")).cast("long")
+    alike = met.select("a", "b", jaccard(F.col("s_a"), F.col("s_b")).alias("similarity"), pairs.alias("pairs")).where((F.col("similarity") >= bar) & (F.col("pairs") > 0))
+    return sets.join(classes.select("s", "class"), "s").select("doc_id", "class"), alike
 
 
 def all_links(*links: DataFrame) -> DataFrame:

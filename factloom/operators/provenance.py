@@ -56,3 +56,14 @@ def hash_verdict(text: Column, stated: Column) -> Column:
 def matter_report(documents: DataFrame) -> DataFrame:
     """P07, A15."""
     return documents.agg(F.count_if(F.col("matter").isNotNull()).alias("declared"), F.count_if(F.size("parties") > 0).alias("named"), F.count("*").alias("total"), F.count_distinct("matter").alias("matters"))
+
+
+def relation_report(checked: DataFrame) -> DataFrame:
+    """The checked edges in order of document and start."""
+    return checked.where(F.col("relation_verdict").isNotNull()).select("doc_id", "from_id", "to_id", "relation_verdict").orderBy("doc_id", "from_id", "to_id")
+
+
+def relation_counts(checked: DataFrame) -> DataFrame:
+    """Edges of each document by verdict."""
+    verdict = F.col("relation_verdict")
+    return checked.groupBy("doc_id").agg(F.count_if(verdict.isNotNull()).alias("checked"), F.count_if(verdict == "supported").alias("supported"), F.count_if((verdict == "offset-not-in-source") | (verdict == "anchor-not-in-clause")).alias("unsupported"))

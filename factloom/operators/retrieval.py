@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,3 +91,51 @@ def states_date(text: Column, date: Column) -> Column:
 
 def question_words(question: Column) -> Column:
     return F.array_distinct(tokens(question))
+
+
+def missed_totals(missed: DataFrame) -> DataFrame:
+    """Missed dates of each document."""
+    return missed.groupBy("doc_id").agg(F.count("*").alias("missed"))
+
+
+def verdict_counts(compared: DataFrame) -> DataFrame:
+    """A18."""
+    return compared.groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+def filter_events(events: DataFrame, text: str = "", statuses: tuple[str, ...] = (), since: str | None = None, until: str | None = None) -> DataFrame:
+    """rows of which some column holds the text, of these statuses, between dates; rows without a date stay."""
+    out = events
+    if text:
+        held = [F.contains(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(text.lower())) for c in events.columns]
+        out = out.where(reduce(or_, held))
+    if statuses:
+        out = out.where(F.col("status").isin(*statuses))
+    for bound, inside in ((since, lambda d: F.col("date") >= d), (until, lambda d: F.col("date") <= d)):
+        if bound:
+            out = out.where(F.col("date").isNull() | inside(F.lit(bound).cast("date")))
+    return out
+
+
+def chart_spans(claimed: DataFrame) -> DataFrame:
+    """First and last date of each event and status where they differ, in order of the event's first date."""
+    spans = claimed.groupBy("event_id", "status").agg(F.min("date").alias("first"), F.max("date").alias("last")).where(F.col("first") < F.col("last"))
+    return spans.orderBy("first", "event_id")
+
+
+def resolve_texts(documents: DataFrame, files: DataFrame, least: int = 40) -> DataFrame:
+    """doc_id, text, found_in: the graph's own text if it is over ``least`` characters, else the file of that stem, else the only file of which one name begins with the other; never a guess.
+
+    files: stem, text. Names meet at their prefixes, so no document is tried with every file.
+    """
+    own = documents.select("doc_id", F.trim("source_text").alias("own"))
+    exact = own.join(files.select(F.col("stem").alias("doc_id"), F.col("text").alias("exact")), "doc_id", "left")
+    prefixes = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.substring(c, F.lit(1), n)))
+    longer = files.select(F.col("stem"), prefixes(F.col("stem")).alias("doc_id")).where(F.length("stem") > F.length("doc_id"))
+    shorter = own.where(F.col("doc_id") != "").select("doc_id", prefixes(F.col("doc_id")).alias("stem")).join(files.select("stem"), "stem").select("stem", "doc_id")
+    loose = longer.union(shorter).distinct().groupBy("doc_id").agg(F.count("*").alias("n"), F.first("stem").alias("stem")).where("n = 1")
+    loose = loose.join(files.select("stem", F.col("text").alias("loose")), "stem").select("doc_id", F.col("stem").alias("loose_stem"), "loose")
+    out = exact.join(loose, "doc_id", "left")
+    has = F.coalesce(F.length("own") > least, F.lit(False))
+    found = F.when(has, "graph").when(F.col("exact").isNotNull(), "exact file").when(F.col("loose").isNotNull(), "only similar file")
+    return out.select("doc_id", F.when(has, F.col("own")).otherwise(F.coalesce("exact", "loose")).alias("text"), found.alias("found_in"))

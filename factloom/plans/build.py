@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.lineage import cut
 from factloom.operators import corrections, events, graph, linking, provenance, retrieval, rules
 from factloom.sources import bundles, sinks
 
@@ -32,10 +33,12 @@ def build_chronology(bundle: bundles.Bundle, log: DataFrame | None = None, bar:
     facts = bundle.facts if log is None else corrections.apply(bundle.facts, log).drop("accepted")
     deps = provenance.trusted(provenance.check_relations(bundle.deps, facts, bundle.documents))
     facts = provenance.check_facts(graph.derive_dates(facts, deps), bundle.documents)
-    grouped = linking.matter_groups(bundle.documents).select("doc_id", "doc_pos", "grp")
-    facts = facts.join(grouped, "doc_id").withColumn("pos", F.col("doc_pos").cast("long") * 1_000_000 + F.col("fact_pos"))
+    documents = cut(linking.matter_groups(bundle.documents))
+    grouped = documents.select("doc_id", "doc_pos", "grp", "matter", linking.party_keys(F.col("parties")).alias("keys"))
+    facts = cut(facts.join(grouped, "doc_id").withColumn("pos", F.col("doc_pos").cast("long") * 1_000_000 + F.col("fact_pos")))
     spans = linking.document_spans(facts).select("doc_id", "span_days")
-    pairs = linking.candidate_pairs(facts.join(spans, "doc_id"), bar=bar)
+    statistics = linking.token_statistics(linking.document_texts(documents, facts))
+    pairs = linking.candidate_pairs(facts.join(spans, "doc_id"), statistics, bar=bar)
     links = linking.composed_links(linking.one_to_one(pairs, ["a_doc_id", "b_doc_id"], "a_fact_id", "b_fact_id"))
     joined = links.select(key("from_doc", "from_fact").alias("a"), key("to_doc", "to_fact").alias("b"), "link_type")
     merges, splits = corrections.merges_and_splits(log) if log is not None else (None, None)
@@ -72,7 +75,7 @@ def main(argv: list[str] | None = None) -> int:
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> int:
-    bundle = bundles.read_graphs(spark, args.folder, matter_field=args.matter_field)
+    bundle = bundles.read_graphs(spark, args.folder, matter_field=args.matter_field, generic_ids=bundles.COMMAND_GENERIC_IDS)
     if args.command == "validate":
         messages = [f"{r['doc_id']}: {r['message']}" for r in bundles.validate(bundle).collect()]
         print("\n".join(messages) or "valid")
@@ -107,7 +110,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         changed = spark.createDataFrame([(doc, fact)], "doc_id string, fact_id string")
         if changed.join(chron.facts, ["doc_id", "fact_id"], "left_semi").isEmpty():
             raise ValueError(f"no fact {args.fact}; there are: " + ", ".join(r[0] for r in chron.facts.select("key").limit(20).collect()))
-        shown = graph.stale(changed, chron.deps, chron.links) if args.command == "stale" else graph.what_if(chron.facts, chron.deps, changed.withColumn("date", F.lit(args.date).cast("date")))
+        shown = graph.stale(changed, chron.deps, chron.links.where("link_type = 'coreference'")) if args.command == "stale" else graph.what_if(chron.facts, chron.deps, changed.withColumn("date", F.lit(args.date).cast("date")))
     for row in shown.collect():
         print(row.asDict())
     return 0

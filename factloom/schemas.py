@@ -12,7 +12,7 @@ DEPENDENCY = (
 )
 DOCUMENT = (
     "schema_version string, document_id string, document_type string, source_text string, source_text_sha256 string, matter string, "
-    f"parties array<string>, facts array<struct<{', '.join(f'{c.split()[0]}:{c.split()[1]}' for c in FACT.split(', '))}>>, "
+    f"parties string, facts array<struct<{', '.join(f'{c.split()[0]}:{c.split()[1]}' for c in FACT.split(', '))}>>, "
     f"dependencies array<struct<{', '.join(f'{c.split()[0]}:{c.split()[1]}' for c in DEPENDENCY.split(', '))}>>, _corrupt string"
 )
 CORRECTION = "op string, doc_id string, fact_id string, new_date string, new_label string, keys array<array<string>>, note string, was string, ts string"

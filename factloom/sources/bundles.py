@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from factloom import schemas
 
-GENERIC_IDS = ("", "unknown", "cli_input")
+# Ids that name no document, for folders and for the commands.
+GENERIC_IDS = ("", "unknown", "cli_input", "doc_001")
+COMMAND_GENERIC_IDS = ("", "unknown", "cli_input")
 
 
 @dataclass(frozen=True)
@@ -22,26 +24,34 @@ class Bundle:
     errors: DataFrame
 
 
-def read_graphs(spark: SparkSession, folder: str, pattern: str = "*.json", matter_field: str = "matter", max_source_text: int = 0) -> Bundle:
+def read_graphs(spark: SparkSession, folder: str, pattern: str = "*.json", matter_field: str = "matter", max_source_text: int = 0, generic_ids: tuple[str, ...] = GENERIC_IDS) -> Bundle:
     """A folder of JSON graphs in order of file name.
 
-    A generic or colliding id falls back to the file's stem. A file that is no
-    JSON, lacks its lists or has another major version is an error, not a failure.
+    A generic or colliding id falls back to the file's stem; a single party becomes a list. A file
+    that is no JSON, lacks its lists or has another major version is an error, not a failure: each
+    file is in documents or in errors, whichever columns a plan reads, since every column comes from
+    one reading of the file's text with one schema.
     """
     schema = schemas.DOCUMENT if matter_field == "matter" else schemas.DOCUMENT.replace("matter string", f"`{matter_field}` string")
-    raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", pattern).json(folder)
-    raw = raw.select("*", F.col("_metadata.file_name").alias("file_name")).withColumnRenamed(matter_field, "matter")
+    texts = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(F.col("content").cast("string").alias("value"), F.col("_metadata.file_name").alias("file_name"))
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    raw = texts.select("file_name", (F.trim("value") == "").alias("_empty"), parsed.alias("j")).select("file_name", "_empty", "j.*").withColumnRenamed(matter_field, "matter")
     major = F.split(F.coalesce("schema_version", F.lit("1")), r"\.")[0]
-    bad = F.col("_corrupt").isNotNull() | F.col("facts").isNull() | F.col("dependencies").isNull() | (major != "1")
-    errors = raw.where(bad).select("file_name", F.when(F.col("_corrupt").isNotNull(), "not JSON").when(major != "1", "unknown schema version").otherwise("facts or dependencies are missing").alias("error"))
-    stem = F.regexp_replace("file_name", r"\.[^.]*$", "")
-    same = Window.partitionBy("document_id")
-    given = F.coalesce("document_id", F.lit(""))
-    good = (
-        raw.where(~bad)
-        .withColumn("doc_id", F.when(given.isin(*GENERIC_IDS) | (F.count("*").over(same) > 1), stem).otherwise(given))
-        .withColumn("doc_pos", F.dense_rank().over(Window.orderBy("file_name")))
+    broken = F.col("_corrupt").isNotNull() | F.col("_empty")
+    bad = broken | F.col("facts").isNull() | F.col("dependencies").isNull() | (major != "1")
+    raw = raw.withColumn("error", F.when(broken, "not JSON").when(major != "1", "unknown schema version").when(bad, "facts or dependencies are missing"))
+    errors = raw.where(F.col("error").isNotNull()).select("file_name", "error").union(_empty_files(spark, folder, pattern))
+    # Ids and places come from names alone, so no text is shuffled for them.
+    names = raw.where(F.col("error").isNull()).select("file_name", F.coalesce("document_id", F.lit("")).alias("given"))
+    repeated = names.groupBy("given").agg(F.count("*").alias("n")).where("n > 1")
+    named = names.join(repeated, "given", "left").select(
+        F.col("file_name").alias("_name"),
+        F.when(F.col("given").isin(*generic_ids) | F.col("n").isNotNull(), F.regexp_replace("file_name", r"\.[^.]*$", "")).otherwise(F.col("given")).alias("doc_id"),
+        F.row_number().over(Window.orderBy("file_name")).alias("doc_pos"),
     )
+    good = raw.where(F.col("error").isNull()).join(named, F.col("file_name") == F.col("_name")).drop("_name")
+    listed = F.when(F.trim("parties").startswith("["), F.from_json("parties", "array<string>")).when(F.col("parties").isNotNull(), F.array("parties"))
+    good = good.withColumn("parties", listed)
     text = F.coalesce("source_text", F.lit(""))
     documents = good.select(
         "doc_id", "doc_pos", F.coalesce("document_type", F.lit("legal")).alias("document_type"),
@@ -63,6 +73,14 @@ def read_graphs(spark: SparkSession, folder: str, pattern: str = "*.json", matte
     return Bundle(documents, facts, deps, errors)
 
 
+def _empty_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """file_name, error of the files without a byte, which no file source gives as rows; from the folder's listing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder, pattern)
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path) or []
+    names = [(x.getPath().getName(), "not JSON") for x in found if x.isFile() and x.getLen() == 0]
+    return spark.createDataFrame(names, "file_name string, error string")
+
+
 def validate(bundle: Bundle) -> DataFrame:
     """doc_id and message for each rule that a graph breaks."""
     facts, deps = bundle.facts, bundle.deps

@@ -1,4 +1,5 @@
 import json
+import math
 import random
 from datetime import date
 
@@ -77,8 +78,10 @@ def chain(spark, edges):
 
 def test_scenarios_follow_long_chains(spark):
     facts, deps = chain(spark, 12)
-    found = graph.edit_scenarios(facts, deps).collect()
+    dated = graph.derive_dates(facts, deps)
+    found = graph.edit_scenarios(dated, deps).collect()
     assert len(found) == 6 and {(r["fact_id"], r["breadth"], r["depth"]) for r in found} == {("f0", 13, 12)}
+    assert graph.edit_scenarios(facts, deps).count() == 0  # undated targets move nothing
     changed = spark.createDataFrame([("d", "f0", date(2025, 2, 1))], "doc_id string, fact_id string, date date")
     assert {r["fact_id"] for r in graph.what_if(facts, deps, changed).collect()} == {"side", *(f"f{i}" for i in range(1, 11))}
 
@@ -128,11 +131,11 @@ def test_build_edges_against_a_loop(spark):
             role = rng.choice(("START", "START", "END", "END", "DURATION", "DURATION", "CONTAINS"))
             days = rng.choice((None, 30, 90, 365, 1100)) if role == "DURATION" else None
             when = date.fromordinal(date(2020, 1, 1).toordinal() + rng.choice((0, 5, 30, 95, 400, 1120))) if role != "DURATION" and rng.random() < 0.7 else None
-            rows.append((f"d{doc}", f"f{pos:02}", pos, rng.choice(("the Lease", "lease", "Job")), role, rng.choice((None, f"P{days}D")) if days else None, f"{days} days" if days else "then", when, days))
+            rows.append((f"d{doc}", f"f{pos:02}", pos, rng.choice(("Art. 4 Lease", "lease", "Job")), role, rng.choice((None, f"P{days}D")) if days else None, f"{days} days" if days else "then", when, days))
     facts = spark.createDataFrame(rows, "doc_id string, fact_id string, fact_pos int, entity string, role string, value string, raw_text string, date_parsed date, duration_days int")
     expected, groups = [], {}
     for r in facts.orderBy("doc_id", "fact_pos").collect():
-        groups.setdefault((r["doc_id"], r["entity"].removeprefix("the ").lower()), []).append(r)
+        groups.setdefault((r["doc_id"], r["entity"].removeprefix("Art. 4 ").lower()), []).append(r)
     for (doc, _), own in groups.items():
         expected += [(doc, *e) for e in edges_by_loop(own)]
     found = [tuple(r) for r in graph.build_edges(facts).collect()]
@@ -152,10 +155,97 @@ def test_one_to_one_is_greedy(spark):
     assert {(r["g"], r["a"], r["b"]) for r in found} == expected
 
 
-def test_matter_groups_keep_matters_apart(spark):
-    docs = spark.createDataFrame([("a", "m1", []), ("b", "m1", []), ("c", "m2", []), ("d", None, ["Jane Roe"]), ("e", None, ["Ms Jane Roe"]), ("f", None, [])], "doc_id string, matter string, parties array<string>")
-    grp = {r["doc_id"]: r["grp"] for r in linking.matter_groups(docs).collect()}
-    assert grp["a"] == grp["b"] != grp["c"] and grp["d"] == grp["e"] and len(set(grp.values())) == 4
+def groups_by_pairs(rows):
+    """The components of all pairs that may be linked, pair by pair."""
+    parent = {r[0]: r[0] for r in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def allowed(x, y):
+        if x[1] is not None and y[1] is not None:
+            return x[1] == y[1]
+        a, b = ([set(p.lower().split()) for p in r[2]] for r in (x, y))
+        return any(p <= q or q <= p for p in a for q in b) if a and b else True
+
+    for i, x in enumerate(rows):
+        for y in rows[:i]:
+            if allowed(x, y):
+                parent[find(x[0])] = find(y[0])
+    groups = {}
+    for r in rows:
+        groups.setdefault(find(r[0]), set()).add(r[0])
+    return sorted(map(sorted, groups.values()))
+
+
+def test_matter_groups_are_those_of_all_pairs(spark):
+    rng = random.Random(11)
+    names = ["Adeyemi", "Bree Adeyemi", "Castellan", "Castellan Dunmore", "Erskine", "Fairweather Grant", "Grant"]
+    kinds = [lambda: None, lambda: rng.choice("mnop")], [lambda: [], lambda: rng.sample(names, rng.randint(1, 2))]
+    for kind in range(24):
+        # Mixtures of documents with and without a matter or parties; in some no document is silent.
+        rows = []
+        for i in range(rng.randint(1, 9)):
+            matter, parties = kinds[0][rng.randrange(2)](), kinds[1][rng.randrange(2)]()
+            if kind % 3 and matter is None and not parties:
+                parties = [rng.choice(names)]
+            if kind % 3 == 2 and not parties:
+                parties = [rng.choice(names)]
+            rows.append((f"d{i}", matter, parties))
+        found = {}
+        for r in linking.matter_groups(spark.createDataFrame(rows, "doc_id string, matter string, parties array<string>")).collect():
+            found.setdefault(r["grp"], set()).add(r["doc_id"])
+        assert sorted(map(sorted, found.values())) == groups_by_pairs(rows), rows
+
+
+def test_candidate_pairs_against_all_pairs(spark):
+    """Blocking by telling words loses no pair; two matters and a document of both parties stay apart as their documents say."""
+    rng = random.Random(12)
+    words = "the notice of payment delivery crane hull permit survey deck".split()
+    rows = []
+    for d in range(12):
+        for i in range(3):
+            said = " ".join(rng.choices(words, weights=[9, 5, 5, 3, 3, 1, 1, 1, 1, 1], k=rng.randint(2, 8)))
+            rows.append(("g", f"d{d:02}", f"f{i}", 3 * d + i, " ".join(rng.sample(words, rng.randint(1, 3))), said, rng.choice(["START", "END", "CONTAINS"]), date(2025, 1, 1 + rng.randrange(28)), None, None, 30, "m" if d % 4 == 0 else "n" if d % 4 == 1 else None, []))
+    schema = "grp string, doc_id string, fact_id string, pos int, entity string, sentence string, role string, date_parsed date, duration_days int, is_duplicate_of string, span_days int, matter string, keys array<array<string>>"
+    facts = spark.createDataFrame(rows, schema)
+    statistics = linking.token_statistics(facts.select("grp", "doc_id", F.concat_ws(" ", "entity", "sentence").alias("text")))
+    found = {(r["a_doc_id"], r["a_fact_id"], r["b_doc_id"], r["b_fact_id"]): round(r["score"], 9) for r in linking.candidate_pairs(facts, statistics).collect()}
+    docs = {}
+    for r in rows:
+        docs.setdefault(r[1], set()).update(r[4].split() + r[5].split())
+    idf = {w: math.log((len(docs) + 1) / (sum(w in t for t in docs.values()) + 1)) + 1 for w in words}
+    weight = lambda ws: sum(idf[w] for w in ws)
+    expected = {}
+    for x in rows:
+        for y in rows:
+            if x[1] >= y[1] or {x[6], y[6]} == {"START", "END"} or (x[11] and y[11] and x[11] != y[11]):
+                continue
+            near = []
+            for n in (4, 5):
+                p, q = set(x[n].split()), set(y[n].split())
+                near.append((weight(p & q) / weight(p | q), (weight(p & q) / weight(p) + weight(p & q) / weight(q)) / 2))
+            entity, sentence = max(near[0]), near[1][0]
+            score = (0.45 * entity + 0.25 * sentence + 0.3 * 0.5 ** (abs((x[7] - y[7]).days) / 21)) * (1 if x[6] == y[6] else 0.85)
+            if max(entity, sentence) >= 0.12 and score >= 0.5:
+                expected[x[1], x[2], y[1], y[2]] = round(score, 9)
+    assert found == expected and len(found) > 20
+
+
+def test_signature_classes(spark):
+    rows = [("a", "x"), ("a", "y"), ("b", "y"), ("b", "x"), ("c", "x"), ("d", "z"), ("e", "x"), ("e", "y"), ("e", "q"), ("e", "p")]
+    classes, pairs = linking.signature_classes(spark.createDataFrame(rows, "doc_id string, sig string"), 0.5)
+    assert {r["doc_id"]: r["class"] for r in classes.collect()} == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e"}
+    assert {(r["a"], r["b"]): (r["similarity"], r["pairs"]) for r in pairs.collect()} == {("a", "a"): (1.0, 1), ("a", "c"): (0.5, 2), ("a", "e"): (0.5, 2)}
+
+
+def test_numbering_follows_one_order(spark):
+    rows = [(random.Random(i).randrange(50), i) for i in range(500)]
+    found = events.numbered(spark.createDataFrame(rows, "pos int, cluster int").repartition(7), ["pos", "cluster"], "n").collect()
+    assert [(r["pos"], r["cluster"]) for r in sorted(found, key=lambda r: r["n"])] == sorted(rows) and sorted(r["n"] for r in found) == list(range(1, 501))
+    assert events.numbered(spark.createDataFrame([], "pos int, cluster int"), ["pos", "cluster"], "n").count() == 0
 
 
 def test_gated_links(spark):
@@ -186,7 +276,7 @@ def test_rules_of_named_concepts(spark):
     verdict = lambda name, vocabulary: (lambda r: (r["verdict"], r["anchor_date"] is None))(rules.check(rule, case(name), vocabulary).first())
     assert verdict("date of termination meeting", rules.EMPTY) == ("LATE", False)
     assert verdict("date of termination meeting", words) == verdict("dismissal appeal", words) == ("INDETERMINATE", True)
-    assert verdict("her dismissal", words) == verdict("The effective date of termination", words) == verdict("appeal dismissal date", words) == ("LATE", False)
+    assert verdict("her dismissal", words) == verdict("Effective  Date of termination", words) == verdict("appeal dismissal date", words) == ("LATE", False)
 
 
 def test_rules_are_anchored_to_the_event_of_their_clause(spark):
@@ -223,7 +313,7 @@ def test_corrections(spark):
 def test_extraction_and_recall(spark):
     docs = spark.createDataFrame([("d", "Jane Roe was hired from 3 March 2024 for 6 months. The Board met on 2024-05-01. See 3 March 2024.", "letter"), ("e", "nothing here", "letter"), ("f", None, "letter")], "doc_id string, source_text string, document_type string")
     rows = extract.extract_facts(docs).orderBy("doc_id", "start_char").collect()
-    assert [(r["raw_text"], r["value"], r["role"]) for r in rows][:3] == [("3 March 2024", "2024-03-03", "START"), ("6 months", "P180D", "DURATION"), ("2024-05-01", "2024-05-01", "CONTAINS")]
+    assert [(r["raw_text"], r["value"], r["role"]) for r in rows][:3] == [("3 March 2024", "2024-03-03", "START"), ("6 months", "P180D", "DURATION"), ("2024-05-01", "2024-05-01", "UNKNOWN")]
     text = docs.first()["source_text"]
     assert all(text[r["start_char"] : r["end_char"]] == r["raw_text"] for r in rows) and rows[0]["entity"] == "Jane Roe"
     facts = spark.createDataFrame([("d", "2024-05-01", None)], "doc_id string, value string, date_parsed date")
@@ -271,6 +361,48 @@ def test_bundle(spark, tmp_path):
     assert any("role ODD" in m for m in messages) and any("zz is no fact" in m for m in messages) and len(messages) == 4
 
 
+def test_every_file_is_read_or_an_error(spark, tmp_path):
+    whole = {"document_id": "x", "facts": [{"id": "f", "entity": "e", "role": "START"}], "dependencies": []}
+    for name, content in {
+        "a": whole | {"parties": "Okonkwo", "matter": 7}, "b": whole | {"document_id": "doc_001", "parties": ["One", " ", "Two"]}, "c": whole | {"document_id": "same"}, "d": whole | {"document_id": "same", "extra": {"parties": 3}},
+        "e": {"facts": "none", "dependencies": []}, "f": {"facts": []}, "g": [1], "h": whole | {"document_id": None},
+    }.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(content))
+    (tmp_path / "i.json").write_text("")
+    bundle = bundles.read_graphs(spark, str(tmp_path))
+    docs = {r["file_name"][0]: r for r in bundle.documents.collect()}
+    assert {k: r["doc_id"] for k, r in docs.items()} == {"a": "x", "b": "b", "c": "c", "d": "d", "h": "h"}
+    assert (docs["a"]["parties"], docs["a"]["matter"], docs["b"]["parties"], docs["c"]["parties"]) == (["Okonkwo"], "7", ["One", "Two"], [])
+    assert [r["doc_pos"] for r in sorted(docs.values(), key=lambda r: r["file_name"])] == [1, 2, 3, 4, 5]
+    assert {r["file_name"][0] for r in bundle.errors.collect()} == set("efgi")
+    # Whatever a plan reads, the same files are in the tables.
+    assert bundle.documents.count() == bundle.documents.select("doc_id").distinct().count() == bundle.facts.select("doc_id").distinct().count() == 5
+    assert "doc_001" in {r["doc_id"] for r in bundles.read_graphs(spark, str(tmp_path), generic_ids=bundles.COMMAND_GENERIC_IDS).documents.collect()}
+
+
+def test_roles_by_preposition_verb_and_noun(spark):
+    cases = {
+        "He worked from {}.": "START", "It ran until {}.": "END", "He had started, then resigned on {}.": "END", "It was signed by all and closed {}.": "END", "The lease began in a year, {}.": "START",
+        "On {} he resigned.": "END", "the commencement date, {}": "START", "as of {}": "START", "during {}": "CONTAINS", "seen on {}": "UNKNOWN", "It ended. Then {}": "UNKNOWN", "They met {} and hired him, as was the end": "START",
+    }
+    rows = [(i, c.format("5 May 2020"), c.index("{"), c.index("{") + 10, role) for i, (c, role) in enumerate(cases.items())]
+    df = spark.createDataFrame(rows, "i int, t string, a int, b int, role string")
+    for r in df.withColumn("found", extract.role_of(F.col("t"), F.col("a"), F.col("b"), F.lit("DATE"))).collect():
+        assert r["found"] == r["role"], r
+
+
+def test_action_is_the_first_within_the_band(spark):
+    rule = spark.createDataFrame([("r", 0, "dismissal", "claim to the tribunal", "x", "a claim is presented to the tribunal", 0, 3, 0, False, "")], "doc_id string, dep_pos int, anchor_entity string, target_entity string, anchor_sentence string, target_sentence string, years int, months int, days int, minus_one_day boolean, description string")
+    case = lambda *more: spark.createDataFrame([("c", "0", 0, "dismissal", "x", "END", date(2025, 1, 10), None), *[("c", str(i + 1), i + 1, e, s, "END", d, None) for i, (e, s, d) in enumerate(more)]], "doc_id string, fact_id string, pos int, entity string, sentence string, role string, date_parsed date, is_duplicate_of string")
+    check = lambda *more: (lambda r: (r["trace"]["action_fact"], r["verdict"]))(rules.check(rule, case(*more)).first())
+    late, early = date(2025, 5, 1), date(2025, 2, 1)
+    assert check(("claim to the tribunal", "", late), ("claim tribunal again", "", early)) == ("1", "LATE")  # far better fit wins
+    assert check(("claim to the tribunal", "", late), ("tribunal claim", "", early)) == ("2", "TIMELY")  # within the band, the first
+    assert check(("weather", "", early), ("a walk", "", late)) == ("2", "LATE")  # nothing fits: the last
+    assert check(("tribunal to", "", late), ("notice of rain", "", early)) == ("2", "TIMELY")  # cue words before better fits
+    assert check() == (None, "INDETERMINATE")
+
+
 def test_exports(spark):
     rows = [(date(2024, 1, 2), "day", "x", "agreed", [("d", "f", "quote")], None, 0.9)]
     shape = "date date, precision string, label string, status string, sources array<struct<doc_id:string,fact_id:string,quote:string>>, disputed_values array<struct<date:date,docs:array<string>>>, confidence double"
