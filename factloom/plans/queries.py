@@ -1,51 +1,21 @@
 """Queries over the driver's tables, each through an operator of the library, with their SQL.
 
 Orders, line items and events play documents, facts and edges; each query runs on
-whole tables. Scores are compared at six decimals.
+whole tables. Scores are compared at six decimals. ``case_queries`` has those of the
+texts that the tables lack: they are written from the tables' rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import calendar, scores, text
 from factloom.operators import corrections, events, extract, graph, linking, provenance, retrieval
+from factloom.plans.registry import ORACLE_SQL, QUERIES, lines, orders, query, read, rounded
 from factloom.streaming import incremental
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    """Registers a function under its name, with its SQL if there is one."""
-
-    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").withColumn("d", F.to_date("o_orderdate"))
-
-
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").withColumn("d", F.to_date("l_shipdate"))
-
-
-def rounded(x: Column) -> Column:
-    return F.round(x, 6)
-
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 # ------------------------------------------------------------ events and chronology
 
@@ -86,8 +56,7 @@ SELECT doc_id, CASE WHEN first_id <> doc_id THEN first_id END AS is_duplicate_of
 def duplicate_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first document of each text, and what repeats it."""
     own = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    first = own.groupBy("h").agg(F.min("doc_id").alias("first_id"))
-    return own.join(first, "h").select("doc_id", F.when(F.col("first_id") != F.col("doc_id"), F.col("first_id")).alias("is_duplicate_of"))
+    return extract.mark_duplicates(own, ["h"], "doc_id", "doc_id").select("doc_id", "is_duplicate_of")
 
 
 @query("""
@@ -215,10 +184,20 @@ def _next_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.to_date("ts").alias("d"), F.lead(F.to_date("ts")).over(w).alias("e"))
 
 
-@query(f"SELECT event_id, CASE WHEN e IS NULL THEN 'UNKNOWN' WHEN d = e THEN 'EQUALS' ELSE 'BEFORE' END AS relation FROM ({_NEXT_EVENT})")
+@query("""
+WITH f AS (SELECT o_custkey AS doc_id, o_orderkey AS id, CAST(o_orderdate AS DATE) AS d FROM orders),
+k AS (SELECT o_custkey AS doc_id, o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b, o_orderkey % 2 AS turned FROM orders)
+SELECT x.doc_id, x.id AS from_id, y.id AS to_id, CASE WHEN x.d = y.d THEN 'EQUALS' WHEN x.d < y.d THEN 'BEFORE' ELSE 'AFTER' END AS relation,
+  strftime(x.d, '%Y-%m-%d') || ' ' || CASE WHEN x.d = y.d THEN 'EQUALS' WHEN x.d < y.d THEN 'BEFORE' ELSE 'AFTER' END || ' ' || strftime(y.d, '%Y-%m-%d') AS derivation
+FROM f x JOIN f y ON x.doc_id = y.doc_id AND x.id < y.id WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.doc_id = x.doc_id AND k.a = x.id AND k.b = y.id)""")
 def allen_point_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring events as point intervals."""
-    return _next_events(spark, sf_dir).select("event_id", calendar.allen(F.col("d"), F.col("d"), F.col("e"), F.col("e")).alias("relation"))
+    """Each two orders of a customer that no edge joins; an edge joins each to the next, every second one turned round."""
+    facts = orders(spark, sf_dir).select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("fact_id"), F.col("o_orderkey").alias("pos"), F.col("d").alias("date_parsed"))
+    after = F.lead("fact_id").over(Window.partitionBy("doc_id").orderBy("fact_id"))
+    step = facts.select("doc_id", "fact_id", after.alias("next")).where("next IS NOT NULL")
+    turned = F.col("fact_id") % 2 == 1
+    deps = step.select("doc_id", F.when(turned, F.col("next")).otherwise(F.col("fact_id")).alias("from_id"), F.when(turned, F.col("fact_id")).otherwise(F.col("next")).alias("to_id"))
+    return graph.allen_edges(facts, deps)
 
 
 @query(f"SELECT event_id, round(pow(0.5, (e - d) / 21.0), 6) AS proximity FROM ({_NEXT_EVENT}) WHERE e IS NOT NULL")
@@ -311,10 +290,11 @@ def stale_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.stale(changed, deps, links)
 
 
-@query(_CHAIN_SQL + "SELECT doc_id, 'f0' AS fact_id, delta, d + delta AS new_date, count(*) AS breadth, CAST(max(i) AS INTEGER) AS depth FROM c JOIN o USING (doc_id), unnest([-365, -90, -30, 30, 90, 365]) AS t(delta) WHERE i <= 10 GROUP BY ALL")
+@query(_CHAIN_SQL + "SELECT doc_id, 'f0' AS fact_id, delta, d + delta AS new_date, count(*) AS breadth, CAST(max(i) AS INTEGER) AS depth FROM c JOIN o USING (doc_id), unnest([-365, -90, -30, 30, 90, 365]) AS t(delta) GROUP BY ALL")
 def edit_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G06, G07."""
-    return graph.edit_scenarios(*_chains(spark, sf_dir))
+    """Chains whose facts are all dated; undated ones are in scenario_stops."""
+    facts, deps = _chains(spark, sf_dir)
+    return graph.edit_scenarios(graph.derive_dates(facts, deps), deps)
 
 
 @query("""
@@ -340,14 +320,25 @@ def matter_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH e AS (SELECT user_id, event_type || '|' || lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sig FROM events),
-s AS (SELECT user_id, list_sort(list(DISTINCT sig)) AS s FROM e WHERE sig IS NOT NULL GROUP BY ALL)
-SELECT x.user_id AS a, y.user_id AS b, round(len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))), 6) AS similarity FROM s x JOIN s y ON x.user_id < y.user_id
-WHERE len(list_intersect(x.s, y.s)) > 0 AND len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))) >= 0.9""")
+s AS (SELECT user_id, list_sort(list(DISTINCT sig)) AS s FROM e WHERE sig IS NOT NULL GROUP BY ALL), c AS (SELECT s, min(user_id) AS c, count(*) AS n FROM s GROUP BY ALL)
+SELECT x.c AS a, y.c AS b, round(len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))), 6) AS similarity, CAST(CASE WHEN x.c = y.c THEN x.n * (x.n - 1) / 2 ELSE x.n * y.n END AS BIGINT) AS pairs
+FROM c x JOIN c y ON x.c <= y.c WHERE len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))) >= 0.2 AND (x.c < y.c OR x.n > 1)""")
 def structural_analogy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users by the kinds of steps between their events."""
+    """Users by the kinds of steps between their events; pairs of classes of equal sets, with the user pairs they stand for."""
+    return linking.signature_classes(_step_signatures(spark, sf_dir), 0.2)[1].select("a", "b", rounded(F.col("similarity")).alias("similarity"), "pairs")
+
+
+@query("""
+WITH e AS (SELECT user_id, event_type || '|' || lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sig FROM events),
+s AS (SELECT user_id, list_sort(list(DISTINCT sig)) AS s FROM e WHERE sig IS NOT NULL GROUP BY ALL) SELECT user_id AS doc_id, min(user_id) OVER (PARTITION BY s) AS class FROM s""")
+def structural_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's class."""
+    return linking.signature_classes(_step_signatures(spark, sf_dir), 0.2)[0]
+
+
+def _step_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    signed = read(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.concat("event_type", F.lit("|"), after).alias("sig")).where(F.col("sig").isNotNull())
-    return linking.signature_pairs(signed, 0.9).select("a", "b", rounded(F.col("similarity")).alias("similarity"))
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.concat("event_type", F.lit("|"), after).alias("sig")).where(F.col("sig").isNotNull())
 
 
 @query()
@@ -439,9 +430,15 @@ def party_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust_key"), F.array_join(text.party_key(name), " ").alias("party_key"))
 
 
-@query("SELECT doc_id, regexp_matches(lower(text), '(\\b(january|february|march|april|may|june|july|august|september|october|november|december)\\b)|(\\b\\d{4}-\\d{2}(-\\d{2})?\\b)|(\\b\\d{1,2}[./]\\d{1,2}[./]\\d{2,4}\\b)|(\\b(19|20)\\d{2}\\b)|(\\b\\d+\\s*(day|week|month|year)s?\\b)|(\\b(today|yesterday|tomorrow)\\b)') AS dated FROM documents")
+_NAMES = "(january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|sept|oct|nov|dec)"
+
+
+@query(f"""
+SELECT doc_id, regexp_matches(low, '\\b\\d{{4}}-\\d{{2}}-\\d{{2}}\\b') OR regexp_matches(low, '\\b\\d{{1,2}}[./-]\\d{{1,2}}[./-]\\d{{2,4}}\\b') OR regexp_matches(low, '\\b\\d{{1,2}}(st|nd|rd|th)?\\s+(of\\s+)?{_NAMES}\\b')
+  OR regexp_matches(low, '\\b{_NAMES}\\s+(\\d{{1,2}}|\\d{{4}})\\b') OR regexp_matches(low, '\\b(19|20)\\d\\d\\b') OR regexp_matches(low, '\\b\\d+\\s+(hour|day|week|month|year)s?\\b')
+  OR regexp_matches(low, '\\b(yesterday|today|tomorrow|forthwith|immediately)\\b') AS dated FROM (SELECT doc_id, lower(text) AS low FROM documents)""")
 def temporal_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F15."""
+    """F15, F22."""
     return read(spark, sf_dir, "documents").select("doc_id", text.has_date_like(F.col("text")).alias("dated"))
 
 
@@ -457,12 +454,13 @@ def recall_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'START' ELSE 'END' END AS role, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS value, o_orderpriority[3:3] || lower(o_orderpriority[4:]) AS entity FROM orders WHERE o_orderpriority NOT LIKE '4%'""")
+SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'START' ELSE 'END' END AS role, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS value,
+  CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'Not Specified' ELSE o_orderpriority[3:3] || lower(o_orderpriority[4:]) END AS entity FROM orders""")
 def extract_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of sentences written from orders."""
     name = F.initcap(F.lower(F.substring("o_orderpriority", 3, 20)))
     said = F.concat(name, F.lit(" staff work "), F.when(F.col("o_orderkey") % 2 == 0, "from ").otherwise("until "), F.date_format("d", "d MMMM yyyy"), F.lit("."))
-    docs = orders(spark, sf_dir).where(~F.col("o_orderpriority").startswith("4")).select(F.col("o_orderkey").alias("doc_id"), said.alias("source_text"), F.lit("letter").alias("document_type"))
+    docs = orders(spark, sf_dir).select(F.col("o_orderkey").alias("doc_id"), said.alias("source_text"), F.lit("letter").alias("document_type"))
     return extract.extract_facts(docs).select("doc_id", "role", "value", "entity")
 
 
@@ -504,3 +502,6 @@ def corrections_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The incremental mode's counts, over the whole table."""
     return incremental.windowed_counts(read(spark, sf_dir, "events"))
+
+
+from factloom.plans import case_queries  # noqa: E402, F401
