@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +17,32 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, record batches hold at most ``rows`` rows, where a row is long; for plans that run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20, most_rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in parts of about ``most_bytes``, a row at least, so that Python objects are made of few rows at a time."""
+    for batch in batches:
+        rows = max(1, min(most_rows, most_bytes * batch.num_rows // max(1, batch.nbytes)))
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+    # What a batch took goes back to the system; the worker lives on.
+    pa.default_memory_pool().release_unused()
+
+
 def map_rows(df: DataFrame, schema: str, per_batch: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """mapInArrow with a function from a record batch to columns by name.
 
-    A batch without rows gives no batch. The function is called on executors;
+    Batches come in slices, none without rows. The function is called on executors;
     what it caches at module level lives as long as the Python worker.
     """
     from pyspark.sql.types import _parse_datatype_string
@@ -28,13 +51,12 @@ def map_rows(df: DataFrame, schema: str, per_batch: Callable[[pa.RecordBatch], d
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                columns = per_batch(batch)
-                yield pa.RecordBatch.from_arrays(
-                    [columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in target],
-                    schema=target,
-                )
+        for batch in slices(batches):
+            columns = per_batch(batch)
+            yield pa.RecordBatch.from_arrays(
+                [columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in target],
+                schema=target,
+            )
 
     return df.mapInArrow(run, schema)
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import map_rows, table, texts
+from factloom.llm.common import map_rows, slices, table, texts
 
 # Phrases of the contract and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -117,7 +117,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, dict[bytes, int]]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, df = 0, defaultdict(int)
-        for batch in batches:
+        for batch in slices(batches):
             total += batch.num_rows
             for text in texts(batch):
                 for w in VOCABULARY.intersection(_WORD.findall(lowered(text))):

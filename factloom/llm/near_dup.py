@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.lineage import cut
-from factloom.llm.common import map_rows, most_counted, table
+from factloom.llm.common import arrow_rows, map_rows, most_counted, table
 from factloom.operators.events import components
 
 _A, _B, _C = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -218,6 +218,7 @@ def list_rows(posted: DataFrame, small: int, held: int = 1 << 16) -> DataFrame:
                 rest = None
         if rest is not None:
             yield from whole(*rest, open_)
+        pa.default_memory_pool().release_unused()
 
     dealt = posted.repartition("value", "part").sortWithinPartitions("value")
     return dealt.mapInArrow(lists, "pair boolean, value long, a long, b long, need int")
@@ -268,8 +269,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, words
         return nodes.join(ends, "node", "left_semi")
 
     retained = used(pairs).select("node", F.col("sketch").alias("values"))
-    likely = cut(passing(pairs, retained, lambda x, y: likely_linked(x, y, k)))
-    return cut(passing(likely, whole_sets(used(likely), docs, words), linked))
+    with arrow_rows(docs.sparkSession, 256):  # a row holds two whole sets
+        likely = cut(passing(pairs, retained, lambda x, y: likely_linked(x, y, k)))
+        return cut(passing(likely, whole_sets(used(likely), docs, words), linked))
 
 
 def estimate(x: np.ndarray, y: np.ndarray, k: int) -> float:
@@ -391,9 +393,10 @@ def links_in_long_lists(members: DataFrame, labels: DataFrame, docs: DataFrame,
     placed = cut(placed.select(F.coalesce("lead_label", "leader").alias("bucket"), "node", F.coalesce("label", "node").alias("label")).distinct())
     mixed = placed.where("label <> bucket").select("bucket").distinct()
     placed = placed.join(mixed, "bucket", "left_semi")
-    near = cut(_may_have_partners(placed.join(nodes.select("node", "n", F.col("sketch").alias("values")), "node"), k))
-    sets = whole_sets(nodes.join(near.select("node").distinct(), "node", "left_semi"), docs, words)
-    return cut(_spanning_links(placed.join(near, ["bucket", "node"]).join(sets, "node").withColumn("n", F.size("values"))).distinct())
+    with arrow_rows(docs.sparkSession, 256):
+        near = cut(_may_have_partners(placed.join(nodes.select("node", "n", F.col("sketch").alias("values")), "node"), k))
+        sets = whole_sets(nodes.join(near.select("node").distinct(), "node", "left_semi"), docs, words)
+        return cut(_spanning_links(placed.join(near, ["bucket", "node"]).join(sets, "node").withColumn("n", F.size("values"))).distinct())
 
 
 def near_duplicates(docs: DataFrame, k: int = 64, shared: int = 4, small: int = 16, frequent: int = 1 << 18, words: int = 2) -> DataFrame:
@@ -404,7 +407,8 @@ def near_duplicates(docs: DataFrame, k: int = 64, shared: int = 4, small: int =
 def grouped(docs: DataFrame, k: int = 64, shared: int = 4, small: int = 16, frequent: int = 1 << 18, words: int = 2, part_rows: int = 1024) -> DataFrame:
     """What near_duplicates gives, with text_hash, the key of the document's set and the component; null without words."""
     docs = docs.select("doc_id", "text")
-    sketched = cut(sketches(docs, k, words))
+    with arrow_rows(docs.sparkSession, 2048):
+        sketched = cut(sketches(docs, k, words))
     nodes = cut(nodes_of(sketched))
     found = cut(list_rows(postings(nodes, k, shared, frequent_values(nodes, frequent), part_rows), small))
     pairs = found.where("pair").groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("need")).where("c >= need").select("a", "b")

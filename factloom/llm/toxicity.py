@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import map_rows, table, texts
+from factloom.llm.common import map_rows, slices, table, texts
 
 # Insults and slurs of general use, and words that address a reader.
 INSULTS = (
@@ -324,9 +324,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, thre
     model = train(docs, labels, max_rows)
 
     def keep(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(model.score(texts(batch)) < threshold))
+        for batch in slices(batches):
+            yield batch.filter(pa.array(model.score(texts(batch)) < threshold))
 
     return docs.mapInArrow(keep, docs.schema)
 
