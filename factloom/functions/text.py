@@ -188,6 +188,13 @@ def clean_paragraphs(text: Column, least: int = 80) -> Column:
     return F.struct(F.filter(paragraphs, lambda p: (p != "") & keeps(p)).alias("kept"), F.concat(junk, short).alias("dropped"))
 
 
+def intake(text: Column, clean: bool = False) -> Column:
+    """struct(text, dropped): by default the text with white space normalised, nothing dropped; cleaned only on request."""
+    if not clean:
+        return F.struct(normalize_whitespace(text).alias("text"), F.array().cast("array<string>").alias("dropped"))
+    return F.struct(F.array_join(paragraphs(text), "\n\n").alias("text"), clean_paragraphs(text)["dropped"].alias("dropped"))
+
+
 def best_paragraph(text: Column, keywords: list[str], most: int = 2000) -> Column:
     """The first paragraph of highest 2 * dates + keywords; else the flat text, cut."""
     kept = clean_paragraphs(text)["kept"]

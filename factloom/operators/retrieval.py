@@ -139,3 +139,16 @@ def resolve_texts(documents: DataFrame, files: DataFrame, least: int = 40) -> Da
     has = F.coalesce(F.length("own") > least, F.lit(False))
     found = F.when(has, "graph").when(F.col("exact").isNotNull(), "exact file").when(F.col("loose").isNotNull(), "only similar file")
     return out.select("doc_id", F.when(has, F.col("own")).otherwise(F.coalesce("exact", "loose")).alias("text"), found.alias("found_in"))
+
+
+def prompt(question: str, context: DataFrame, found: DataFrame) -> DataFrame:
+    """Q04: one row, text: the established lines first, then the passages with their documents, then the question.
+
+    context: line, in its order (date, label); found: doc_id, sentence, score of the best passages, which a limit bounds.
+    """
+    lines = context.agg(F.sort_array(F.collect_list(F.struct(F.coalesce("date", F.lit("9999-12-31").cast("date")).alias("d"), "label", "line"))).alias("l"))
+    quoted = F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit('] "'), "sentence", F.lit('"'))
+    said = found.agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc_id", "start", quoted.alias("q")))).alias("p"))
+    body = F.when(F.size("p") > 0, F.array_join(F.transform("p", lambda x: x["q"]), "\n")).otherwise("(no passage matches the question)")
+    text = F.concat_ws("\n", F.lit("Established dates:"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit(""), F.lit("Passages:"), body, F.lit(""), F.lit(f"Question: {question}"))
+    return lines.join(F.broadcast(said), F.lit(True)).select(text.alias("text"))  # one row each

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom.lineage import cut
 from factloom.operators import corrections, events, graph, linking, provenance, retrieval, rules
+from factloom.plans import packs
 from factloom.sources import bundles, sinks
 
 
@@ -50,15 +51,15 @@ def build_chronology(bundle: bundles.Bundle, log: DataFrame | None = None, bar:
 
 
 def main(argv: list[str] | None = None) -> int:
-    """build, contradictions, whatif, stale, interval, context, deadline, validate.
+    """build, contradictions, whatif, stale, interval, context, deadline, validate, rulepack.
 
-    Exit 1: nothing to read, or errors in validate; 2: a deadline is INDETERMINATE; 3: no facts.
+    Exit 1: nothing to read, or errors in validate or rulepack; 2: a deadline is INDETERMINATE; 3: no facts.
     """
     parser = argparse.ArgumentParser(prog="factloom")
     commands = parser.add_subparsers(dest="command", required=True)
     for name, options in {
         "build": ["--out", "--format", "--corrections"], "contradictions": [], "whatif": ["--fact", "--date"], "stale": ["--fact"], "interval": ["--entity", "--on"],
-        "context": ["--about", "--since", "--until", "--on"], "deadline": ["--rules"], "validate": [],
+        "context": ["--about", "--since", "--until", "--on"], "deadline": ["--rules"], "validate": [], "rulepack": [],
     }.items():
         command = commands.add_parser(name)
         command.add_argument("folder")
@@ -75,6 +76,10 @@ def main(argv: list[str] | None = None) -> int:
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> int:
+    if args.command == "rulepack":
+        checks = packs.self_test(spark, args.folder).collect()
+        print("\n".join(f"{'ok' if r['passed'] else 'FAIL'}: {r['check']} {r['subject']}: {r['message']}" for r in checks))
+        return int(not all(r["passed"] for r in checks))
     bundle = bundles.read_graphs(spark, args.folder, matter_field=args.matter_field, generic_ids=bundles.COMMAND_GENERIC_IDS)
     if args.command == "validate":
         messages = [f"{r['doc_id']}: {r['message']}" for r in bundles.validate(bundle).collect()]
@@ -88,9 +93,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         return 3
     log = bundles.read_corrections(spark, args.corrections) if getattr(args, "corrections", None) else None
     if args.command == "deadline":
-        found = rules.find_rules(*(getattr(bundles.read_graphs(spark, args.rules), n) for n in ("facts", "deps")))
+        pack = bundles.read_graphs(spark, args.rules, "*.tdg.json") if bundles._exists(spark, f"{args.rules}/statute.tdg.json") else bundles.read_graphs(spark, args.rules)
+        found = rules.find_rules(pack.facts, provenance.trusted(provenance.check_relations(pack.deps, pack.facts, pack.documents)))
         instance = bundle.facts.withColumn("pos", F.col("fact_pos"))
-        results = rules.check(found, instance)
+        results = rules.check(found, instance, packs.vocabulary(spark, args.rules))
         print("\n".join(r["line"] for r in sinks.render_line(results).collect()))
         return 2 if results.where("verdict = 'INDETERMINATE'").count() else 0
     chron = build_chronology(bundle, log)

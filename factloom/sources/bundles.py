@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom import schemas
+from factloom.lineage import cut
 
 # Ids that name no document, for folders and for the commands.
 GENERIC_IDS = ("", "unknown", "cli_input", "doc_001")
@@ -108,13 +109,48 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_corrections(spark: SparkSession, path: str) -> DataFrame:
-    """The correction log in order; version 1 only."""
-    raw = spark.read.schema(f"version int, corrections array<struct<{', '.join(c.replace(' ', ':', 1) for c in schemas.CORRECTION.split(', '))}>>").option("multiLine", True).json(path)
+    """The correction log in order; version 1 only. A log that does not exist is empty."""
+    fields = ", ".join(c.replace(" ", ":", 1) for c in schemas.CORRECTION.split(", "))
+    if not _exists(spark, path):
+        return spark.createDataFrame([], f"pos int, {schemas.CORRECTION}")
+    raw = spark.read.schema(f"version int, corrections array<struct<{fields}>>").option("multiLine", True).json(path)
     checked = raw.where(F.when(F.coalesce("version", F.lit(1)) == 1, F.lit(True)).otherwise(F.raise_error(F.lit("unknown version of the correction log")).cast("boolean")))
     log = checked.select(F.posexplode("corrections").alias("pos", "c")).select("pos", "c.*")
     return log.where(F.when(F.col("op").isin(*schemas.CORRECTION_OPS), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("unknown correction: "), F.coalesce("op", F.lit("null")))).cast("boolean")))
 
 
+def save_corrections(log: DataFrame, path: str) -> None:
+    """The log as one JSON document of version 1, in order. A log is what people typed, so it is small."""
+    fields = [c for c in log.columns if c != "pos"]
+    ordered = log.agg(F.sort_array(F.collect_list(F.struct("pos", *fields))).alias("c"))
+    entries = F.transform("c", lambda x: F.struct(*[x[f].alias(f) for f in fields]))
+    cut(ordered.select(F.to_json(F.struct(F.lit(1).alias("version"), entries.alias("corrections"))).alias("value"))).write.mode("overwrite").text(path)
+
+
+def append_corrections(log: DataFrame, more: DataFrame, path: str) -> None:
+    """The log with more corrections behind it; each of the new ones that states no time gets the present one."""
+    last = log.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("last"))
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    stamped = more.withColumn("ts", F.coalesce("ts", now)) if "ts" in more.columns else more.withColumn("ts", now)
+    placed = stamped.join(F.broadcast(last), F.lit(True)).withColumn("pos", (F.col("pos") + F.col("last") + 1).cast("int")).drop("last")  # one row
+    save_corrections(log.unionByName(placed, allowMissingColumns=True), path)
+
+
+def read_overrides(spark: SparkSession, path: str) -> DataFrame:
+    """An override file of the older shape (force_merge: lists of [document, fact], split: [document, fact]) as corrections."""
+    raw = spark.read.schema("force_merge array<array<array<string>>>, split array<array<string>>").option("multiLine", True).json(path)
+    kinds = F.concat(
+        F.transform(F.coalesce("force_merge", F.array().cast("array<array<array<string>>>")), lambda keys: F.struct(F.lit("merge").alias("op"), keys.alias("keys"))),
+        F.transform(F.coalesce("split", F.array().cast("array<array<string>>")), lambda key: F.struct(F.lit("split").alias("op"), F.array(key).alias("keys"))),
+    )
+    return raw.select(F.posexplode(kinds).alias("pos", "c")).select("pos", "c.op", "c.keys")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where))
+
+
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """Kind, concept, term of a rule pack's aliases file. Nothing global: pass it on."""
     shape = "anchor_aliases map<string, struct<plain: array<string>, end_role_only: array<string>>>, action_cues array<string>, procedural_noise array<string>, entity_boilerplate array<string>"

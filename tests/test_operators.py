@@ -6,6 +6,8 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from factloom.operators import corrections, events, extract, graph, linking, provenance, retrieval, rules
+from factloom.functions import text as text_functions
+from factloom.plans import packs
 from factloom.sources import bundles, sinks
 
 FACT = "cluster string, doc_id string, pos int, entity string, role string, date_parsed date, value string, duration_days int, confidence double, temporal_content boolean, verified boolean, derivation string"
@@ -380,6 +382,56 @@ def test_every_file_is_read_or_an_error(spark, tmp_path):
     assert "doc_001" in {r["doc_id"] for r in bundles.read_graphs(spark, str(tmp_path), generic_ids=bundles.COMMAND_GENERIC_IDS).documents.collect()}
 
 
+def test_correction_logs_are_saved_and_grow(spark, tmp_path):
+    path, shape = str(tmp_path / "log.json"), "pos int, op string, doc_id string, fact_id string, new_date string, keys array<array<string>>, ts string"
+    assert bundles.read_corrections(spark, path).count() == 0
+    for n, op in enumerate(("accept", "edit_date", "merge")):
+        more = spark.createDataFrame([(0, op, "d", "f", "2020-01-02" if n == 1 else None, [["d", "f"], ["e", "g"]] if n == 2 else None, "t" if n == 0 else None)], shape)
+        bundles.append_corrections(bundles.read_corrections(spark, path), more, path)
+    found = bundles.read_corrections(spark, path).orderBy("pos").collect()
+    assert [(r["pos"], r["op"], r["new_date"]) for r in found] == [(0, "accept", None), (1, "edit_date", "2020-01-02"), (2, "merge", None)]
+    assert found[0]["ts"] == "t" and found[1]["ts"].endswith("+00:00") and found[2]["keys"] == [["d", "f"], ["e", "g"]]
+    (tmp_path / "old.json").write_text(json.dumps({"force_merge": [[["a", "1"], ["b", "2"], ["c", "3"]]], "split": [["d", "4"]]}))
+    merges, splits = corrections.merges_and_splits(bundles.read_overrides(spark, str(tmp_path / "old.json")))
+    assert {tuple(r) for r in merges.collect()} == {("a:1", "b:2"), ("a:1", "c:3")} and [r["key"] for r in splits.collect()] == ["d:4"]
+
+
+def test_intake_drops_nothing_unless_asked(spark):
+    said = "Page noise\n***\n\nThe crane was delivered on 3 May\n2021 and then inspected."
+    both = spark.createDataFrame([(said,)], "t string").select(text_functions.intake(F.col("t")).alias("raw"), text_functions.intake(F.col("t"), clean=True).alias("clean")).first()
+    assert both["raw"]["text"] == said and both["raw"]["dropped"] == []
+    assert both["clean"]["text"] == "The crane was delivered on 3 May 2021 and then inspected." and set(both["clean"]["dropped"]) == {"***", "Page noise"}
+
+
+def test_long_paragraphs_are_cut_at_sentences(spark):
+    sentence = "This is one of the many sentences on 3 May 2021 here. "
+    kept = spark.createDataFrame([(sentence * 60,)], "t string").select(text_functions.paragraphs(F.col("t")).alias("p")).first()["p"]
+    assert all(len(p) <= 1500 for p in kept) and " ".join(kept) == (sentence * 60).strip() and len(kept) < 5
+
+
+def pack_files(folder, verdict="LATE"):
+    """A pack of our own: 30 days from a delivery."""
+    clause = "The buyer gives notice of a fault within 30 days from the date of delivery."
+    fact = lambda i, entity, role, **more: {"id": i, "entity": entity, "role": role, "sentence": clause} | more
+    (folder / "statute.tdg.json").write_text(json.dumps({"schema_version": "1.0", "document_id": "rule", "source_text": clause, "facts": [fact("a", "delivery", "START"), fact("b", "notice of fault", "END")], "dependencies": [{"from_id": "a", "to_id": "b", "constraint_type": "additive", "constraint_expr": "30 days"}]}))
+    (folder / "aliases.json").write_text(json.dumps({"anchor_aliases": {"delivery": {"plain": ["handing over"], "end_role_only": []}}, "action_cues": ["fault"], "procedural_noise": []}))
+    cases = {"late.json": ("2021-06-20", "2021-05-10"), "timely.json": ("2021-06-09", "2021-05-10"), "open.json": (None, "2021-05-10")}
+    (folder / "gold_cases").mkdir()
+    for name, (done, start) in cases.items():
+        facts = [{"id": "1", "entity": "handing over of goods", "role": "START", "value": start, "sentence": "They were handed over."}, {"id": "2", "entity": "notice of fault", "role": "END", "value": done, "sentence": "She wrote."}]
+        (folder / "gold_cases" / name).write_text(json.dumps({"document_id": name, "facts": facts, "dependencies": []}))
+    (folder / "expected.json").write_text(json.dumps({"late.json": {"verdict": verdict, "deadline": "2021-06-09"}, "timely.json": {"verdict": "TIMELY"}, "open.json": {"verdict": "INDETERMINATE"}}))
+
+
+def test_rule_packs_are_tested(spark, tmp_path):
+    for name, verdict in (("good", "LATE"), ("bad", "TIMELY")):
+        (tmp_path / name).mkdir()
+        pack_files(tmp_path / name, verdict)
+    found = {(r["check"], r["subject"]): r["passed"] for r in packs.self_test(spark, str(tmp_path / "good")).collect()}
+    assert found == {("relation", "a -> b"): True, ("discovery", "rules"): True, **{("gold case", f"{n}.json"): True for n in ("late", "timely", "open")}}
+    assert [r["subject"] for r in packs.self_test(spark, str(tmp_path / "bad")).where("not passed").collect()] == ["late.json"]
+
+
 def test_roles_by_preposition_verb_and_noun(spark):
     cases = {
         "He worked from {}.": "START", "It ran until {}.": "END", "He had started, then resigned on {}.": "END", "It was signed by all and closed {}.": "END", "The lease began in a year, {}.": "START",
