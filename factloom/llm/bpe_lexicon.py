@@ -154,7 +154,7 @@ def frequent_words(docs: DataFrame, most_words: int, least: int = 2) -> list[str
 class Lexicon:
     """Word to ids: a memory-mapped automaton first, exact merging for the rest."""
 
-    def __init__(self, path: str, parts: dict[str, np.ndarray] | None = None, keep: int = 200_000):
+    def __init__(self, path: str, parts: dict[str, np.ndarray] | None = None, keep: int = 150_000):
         self.merges, self.keep = Merges(path), keep
         # What words of earlier batches became; a word walks the automaton, or is merged, once.
         self.coded: dict[str, bytes] = {}

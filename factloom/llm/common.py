@@ -67,7 +67,7 @@ def most_counted(counted: DataFrame, most: int, least: int) -> DataFrame:
     The bar comes from a histogram of eight steps to each doubling (some hundred rows), so
     that no task sends more than what is kept, however many tasks there are.
     """
-    kept = cut(counted.where(F.col("c") >= least).withColumn("_step", F.floor(F.log2("c") * 8)))
+    kept = cut(counted.where(F.col("c") >= least).withColumn("_step", F.floor(F.log2("c") * 8)).hint("rebalance"))
     bar, total = None, 0
     for row in kept.groupBy("_step").agg(F.count("*").alias("n")).sort(F.desc("_step")).collect():
         total += row["n"]

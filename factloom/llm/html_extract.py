@@ -353,10 +353,10 @@ def labelled_pages(count: int, seed: int = 7) -> list[tuple[str, list[tuple[str,
                     truth.append((text, 0))
             return f"<{tag}{attribute}>{inner}</{tag}>"
 
-        def article() -> str:
-            out = [block("h1", words(2, 10), 1)] if rng.random() < 0.8 else []
-            for _ in range(rng.randint(1, 12)):
-                roll = rng.random()
+        def article(most: int = 12) -> str:
+            out = [block(rng.choice(("h1", "h1", "h1", "h1", "h2")), words(1, 10), 1)] if rng.random() < (0.8 if most > 2 else 0.4) else []
+            for _ in range(rng.randint(1, most)):
+                roll = rng.random() if most > 2 else 0.0
                 if roll < 0.72:
                     out.append(block("p", words(1, 90) + ("." if rng.random() < 0.85 else ""), 1))
                 elif roll < 0.8:
@@ -379,6 +379,8 @@ def labelled_pages(count: int, seed: int = 7) -> list[tuple[str, list[tuple[str,
             html = f"<{tag}{attribute}>" + "".join(out) + f"</{tag}>"
             return f"<main>{html}</main>" if tag == "article" and rng.random() < 0.3 else html
 
+        if rng.random() < 0.08:  # a page that is an article and nothing else
+            return article(2), truth
         parts = ["<html><head><title>x</title></head><body>"]
         parts += [other(k) for k in ("notice", "header", "menu", "advert", "form", "side") if rng.random() < 0.45]
         if rng.random() < 0.97:

@@ -270,8 +270,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, words
 
     retained = used(pairs).select("node", F.col("sketch").alias("values"))
     with arrow_rows(docs.sparkSession, 256):  # a row holds two whole sets
-        likely = cut(passing(pairs, retained, lambda x, y: likely_linked(x, y, k)))
-        return cut(passing(likely, whole_sets(used(likely), docs, words), linked))
+        # What passes is far less than what is tested, so it comes in few files.
+        likely = cut(passing(pairs, retained, lambda x, y: likely_linked(x, y, k)).hint("rebalance"))
+        return cut(passing(likely, whole_sets(used(likely), docs, words), linked).hint("rebalance"))
 
 
 def estimate(x: np.ndarray, y: np.ndarray, k: int) -> float:

@@ -24,5 +24,31 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() == docs.count()
 
 
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, empty and repeated rows, a long text and a further column with an operator's name."""
+    said = lambda i, n=60: " ".join(f"w{i}x{j}" for j in range(n))
+    rows = [
+        (1, said(1), "en", "a", 1, "k"), (1, said(1), "en", "a", 1, "k"), (None, said(1), None, None, None, None), (None, said(2), "en", None, 5, "k"), (3, None, None, "a", None, None), (3, None, "en", "a", 0, None),
+        (4, "", "en", "b", 0, "k"), (5, " \n", "en", "b", 2, "k"), (6, said(6, 20_000), "en", "b", 9, "k"), (7, "one", "en", "b", 3, "k"), (8, said(2) + " tail", "en", "c", 3, "k"),
+    ]
+    shape = "doc_id long, text string, lang string, source string, n_chars long, key string"
+    empty_labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, table in (("odd", rows), ("empty", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(table, shape).write.parquet(f"{folder}/documents.parquet")
+        empty_labels.write.parquet(f"{folder}/labels.parquet")
+        docs, counts = spark.read.parquet(f"{folder}/documents.parquet"), []
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, folder)
+            assert k == 3 or out.columns == docs.columns
+            out.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+            counts.append(docs.count())
+            if name == "odd" and k == 1:
+                # Of the three copies of the first text the one of an id; of the second and its near copy, id 8.
+                assert sorted((r["doc_id"], len(r["text"] or "")) for r in docs.collect()) == [(1, len(said(1))), (3, 0), (4, 0), (5, 2), (6, len(rows[8][1])), (7, 3), (8, len(rows[10][1]))]
+        assert counts[0] == len(table) and (name == "odd" and counts[2] == counts[3] >= 4 or counts == [0] * 4)
+
+
 def test_registry():
     assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{i}" for i in range(1, 11)] and set(registry.ORACLE_SQL) <= set(registry.QUERIES)

@@ -321,9 +321,41 @@ def test_pages(spark):
     assert found[1]["text"] == "Title\n\nOne two.\n\nShort" and found[1]["n_chars"] == 22 and found[2]["text"] == found[3]["text"] == "" and found[2]["n_chars"] == 0
 
 
+SAID = "The quick brown fox jumps over the lazy dog and runs away again. "
+
+
+@pytest.mark.parametrize(
+    ("html", "labels"),
+    [
+        (f"<article><p>{SAID}</p></article>", "1"), (f"<p>{SAID}</p><p>{SAID * 2}</p>", "11"), (f"<html><body><h1>Head</h1><p>{SAID}</p></body></html>", "11"), ("<article><h1>T</h1><p>Yes.</p><p>No!</p></article>", "111"),
+        (f"<div class='content'><h2>T</h2><p>{SAID}</p></div><div class='sidebar'><p>{SAID}</p></div><footer>c</footer>", "1100"), (f"<div class='cookie-banner'><p>{SAID}</p></div><article><p>{SAID}</p></article>", "01"),
+        (f"<nav><a href=/>Home</a></nav><main><h1>T</h1><p>{SAID}</p><ul><li>a b</li><li>c d</li></ul><blockquote>{SAID}</blockquote><pre>code()</pre></main><aside>{SAID}</aside>", "01111110"),
+        (f"<article><h1>T</h1><p>{SAID}</p><div class='comment-list'><p>{SAID}</p></div></article>", "110"), (f"<article><h1>T</h1><p>{SAID}</p></article><div id='comments'><p>{SAID}</p></div>", "110"),
+    ],
+)
+def test_pages_written_by_hand(html, labels):
+    model = html_extract.trained()
+    assert "".join(map(str, model.decode(html_extract.features(html_extract.leaf_blocks(html, model.known))))) == labels
+
+
+def test_pages_repeat_and_may_be_none(spark):
+    shape = "page_id long, url string, html string"
+    rows = [(1, "u", "<article><p>One two three.</p></article>")] * 2 + [(None, None, "<p>" + "word " * 200_000)]
+    found = sorted(((r["page_id"] or 0, r["n_chars"]) for r in html_extract.extract(spark.createDataFrame(rows, shape)).collect()))
+    assert found[1:] == [(1, 14), (1, 14)] and html_extract.extract(spark.createDataFrame([], shape)).count() == 0
+
+
 # ---------------------------------------------------------------- 1
 
 
+def test_toxicity_of_odd_tables(spark):
+    rows = [(1, "you idiot"), (1, "you idiot"), (None, None), (3, ""), (4, "fine words " * 20_000)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
+    found = toxicity.toxicity(docs, labels).collect()
+    assert len(found) == 5 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in found)
+    assert toxicity.toxicity(docs.limit(0), labels).count() == 0 and toxicity.without_toxic(docs, labels).count() == 5
+
+
 def test_isotonic_against_definition():
     rng = np.random.default_rng(3)
     score, y = rng.integers(0, 20, 200).astype(float), rng.integers(0, 2, 200).astype(float)
