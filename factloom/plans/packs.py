@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.lineage import cut
 from factloom.operators import provenance, rules
 from factloom.sources import bundles
 
@@ -47,13 +48,13 @@ def self_test(spark: SparkSession, folder: str) -> DataFrame:
     if not bundles._exists(spark, f"{folder}/expected.json"):
         return out
     cases, words = bundles.read_graphs(spark, f"{folder}/gold_cases"), vocabulary(spark, folder)
-    # Each case is an instance of its own, so a rule and a case make one rule to check.
-    names = cases.documents.select("doc_id", "file_name")
-    per_case = found.drop("doc_id").crossJoin(F.broadcast(names.select(F.col("doc_id").alias("case")))).withColumn("doc_id", F.col("case")).drop("case")  # a few clauses, a few cases
-    results = [rules.check(per_case.where(F.col("doc_id") == r["doc_id"]), cases.facts.where(F.col("doc_id") == r["doc_id"]).withColumn("pos", F.col("fact_pos")), words) for r in names.collect()]
-    done = spark.createDataFrame([], "doc_id string, dep_pos int, verdict string, deadline date")
-    for result in results:
-        done = done.union(result.select("doc_id", "dep_pos", "verdict", "deadline"))
+    names, facts, found = (cut(x) for x in (cases.documents.select("doc_id", "file_name"), cases.facts.withColumn("pos", F.col("fact_pos")), found))
+    # Each case is an instance of its own, and a pack holds a few.
+    done = []
+    for r in names.collect():
+        results = rules.check(found, facts.where(F.col("doc_id") == r["doc_id"]), words).select("dep_pos", "verdict", "deadline").collect()
+        done += [(r["doc_id"], *x) for x in results]
+    done = spark.createDataFrame(done, "doc_id string, dep_pos int, verdict string, deadline date")
     first = done.join(names, "doc_id").groupBy("file_name").agg(F.min_by(F.struct("verdict", "deadline"), "dep_pos").alias("r"))
     wanted = expectations(spark, folder).select("file_name", F.col("verdict").alias("w"), F.col("deadline").alias("d")).join(first, "file_name", "left")
     good = (F.col("r.verdict") == F.col("w")) & (F.col("d").isNull() | F.col("r.deadline").eqNullSafe(F.col("d")))
