@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from factloom.functions import calendar, scores, text
 from factloom.operators import corrections, events, extract, graph, linking, provenance, retrieval, rules
 from factloom.plans.registry import lines, orders, query, read, rounded
-from factloom.sources import sinks
+from factloom.sources import bundles, sinks
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -674,3 +674,108 @@ def sibling_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = keyed.select("doc_id", "grp_key").distinct()
     links = heads.select(F.col("doc_id").alias("from_doc"), F.col("grp_key").alias("from_fact"), (F.col("doc_id") + 1).alias("to_doc")).join(heads.select(F.col("doc_id").alias("to_doc"), F.col("grp_key").alias("from_fact")), ["to_doc", "from_fact"]).withColumn("to_fact", F.col("from_fact"))
     return linking.with_siblings(links, keyed).select("from_doc", "from_fact", "to_doc", "to_fact")
+
+
+# ------------------------------------------------------------ extraction, validation and rendering
+
+
+@query("""
+SELECT o_orderkey AS doc_id, CASE o_orderkey % 10 WHEN 0 THEN 'START' WHEN 1 THEN 'END' WHEN 2 THEN 'CONTAINS' WHEN 3 THEN 'START' WHEN 4 THEN 'END' WHEN 5 THEN 'END' WHEN 6 THEN 'START' WHEN 7 THEN 'DURATION' WHEN 8 THEN 'UNKNOWN' ELSE 'DURATION' END AS role FROM orders""")
+def role_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A preposition just before, the nearer of two verbs, a verb behind that counts ten more, nouns, an ambiguous 'on', a duration's own role."""
+    k, day = F.col("o_orderkey"), F.date_format("d", "d MMMM yyyy")
+    before = shape(
+        k, "The ship sailed. It was there as of ", "It was let no later than ", "Prices rose throughout ", "It was closed and then opened again ", "The firm opened, and finally dissolved, ", "He was ", "The date of its inauguration, ",
+        "The length of stay up to ", "They saw each other on ", "Work began and took about ",
+    )
+    after = shape(k, ".", ".", ".", ".", ".", " dismissed. It began anew.", ".", ".", ", it ended.", ".")
+    after = F.when(k % 10 == 8, ". It ended.").otherwise(after)
+    said = F.when(k % 10 == 9, joined(before, "30 days", after)).otherwise(joined(before, day, after))
+    start = F.length(before)
+    end = start + F.when(k % 10 == 9, F.lit(7)).otherwise(F.length(day))
+    kind = F.when(k % 10 == 9, "DURATION").otherwise("DATE")
+    return orders(spark, sf_dir).select(k.alias("doc_id"), extract.role_of(said, start, end, kind).alias("role"))
+
+
+@query("""
+SELECT o_orderkey AS doc_id, unnest([1, 2, 3]) AS i, unnest([4, 18 + length(strftime(CAST(o_orderdate AS DATE), '%-d %B %Y')), 28 + length(strftime(CAST(o_orderdate AS DATE), '%-d %B %Y')) + length(CAST(o_orderkey % 90 + 1 AS VARCHAR))]) AS start,
+  unnest([strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d'), 'P' || (o_orderkey % 90 + 1) || 'D', strftime(CAST(o_orderdate AS DATE), '%Y-%m')]) AS value, unnest(['DATE', 'DURATION', 'DATE']) AS timex_type FROM orders""")
+def timex_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates, periods and months with their places, in order."""
+    k, d = F.col("o_orderkey"), F.col("d")
+    docs = orders(spark, sf_dir).select(k.alias("doc_id"), joined("On: ", F.date_format(d, "d MMMM yyyy"), " and then for ", k % 90 + 1, " days; or ", F.date_format(d, "MMMM yyyy"), ".").alias("source_text"))
+    found = extract.timexes(docs)
+    return found.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("start")).alias("i"), "start", "value", "timex_type")
+
+
+@query("""
+SELECT o_orderkey AS doc_id, unnest(CASE o_orderkey % 5 WHEN 0 THEN ['fact a: role ODD'] WHEN 1 THEN ['dependency 0: to_id z is no fact'] WHEN 2 THEN ['dependency 0: type other'] WHEN 3 THEN ['fact a: is_duplicate_of y is no fact'] ELSE []::VARCHAR[] END) AS message FROM orders""")
+def graph_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One broken rule in four of five graphs."""
+    k = F.col("o_orderkey")
+    base = orders(spark, sf_dir).select(k.alias("doc_id"), k)
+    kind = k % 5
+    facts = base.select("doc_id", F.lit("a").alias("fact_id"), F.lit(0).alias("fact_pos"), F.lit("e").alias("entity"), F.when(kind == 0, "ODD").otherwise("START").alias("role"), F.when(kind == 3, "y").when(kind == 4, "a").alias("is_duplicate_of"))
+    deps = base.select("doc_id", F.lit(0).alias("dep_pos"), F.lit("a").alias("from_id"), F.when(kind == 1, "z").otherwise("a").alias("to_id"), F.when(kind == 2, "other").otherwise("additive").alias("constraint_type"))
+    none = spark.createDataFrame([], "file_name string, error string")
+    return bundles.validate(bundles.Bundle(base, facts, deps, none)).select(F.col("doc_id").cast("long").alias("doc_id"), "message")
+
+
+@query("""
+WITH c AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS due, CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 3 * 5 AS INTEGER) END AS done FROM orders)
+SELECT k, CASE WHEN done IS NULL THEN 'INDETERMINATE: needs a date for it' WHEN done > due THEN 'LATE: due ' || strftime(due, '%Y-%m-%d') || ', done ' || strftime(done, '%Y-%m-%d') || ', 5 days late' ELSE 'TIMELY: due ' || strftime(due, '%Y-%m-%d') || ', done ' || strftime(done, '%Y-%m-%d') END AS line,
+  '<tr><td>' || CASE WHEN done IS NULL THEN 'INDETERMINATE' WHEN done > due THEN 'LATE' ELSE 'TIMELY' END || '</td><td></td><td>' || strftime(due, '%Y-%m-%d') || '</td><td>' || coalesce(strftime(done, '%Y-%m-%d'), '') || '</td><td>' || coalesce(CAST(done - due AS VARCHAR), '') || '</td></tr>' AS html FROM c""")
+def rendered_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line and a table row for each checked rule."""
+    k, d = F.col("o_orderkey"), F.col("d")
+    done = F.when(k % 3 < 2, F.date_add(d, (k % 3 * 5).cast("int")))
+    over = F.datediff(done, d)
+    verdict = F.when(over.isNull(), "INDETERMINATE").when(over > 0, "LATE").otherwise("TIMELY")
+    results = orders(spark, sf_dir).select(k.alias("doc_id"), F.lit(0).alias("dep_pos"), verdict.alias("verdict"), F.lit(None).cast("date").alias("anchor_date"), d.alias("deadline"), done.alias("action_date"), over.alias("days_over"), F.when(over.isNull(), "a date for it").alias("request"))
+    return sinks.render_line(results).join(sinks.render_html(results), ["doc_id", "dep_pos"]).select(F.col("doc_id").alias("k"), "line", "html")
+
+
+@query("""SELECT '"' || o_orderkey || '" -> "c' || o_custkey || '"' AS line FROM orders UNION ALL SELECT '"o''' || o_orderkey || '" -> "x" [style=dashed]' FROM orders WHERE o_orderkey % 2 = 0""")
+def dot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges from documents to events, derived ones dashed; quotes inside names are replaced."""
+    k = F.col("o_orderkey")
+    own = orders(spark, sf_dir).select(k.alias("doc_id"), joined("c", F.col("o_custkey")).alias("event_id"))
+    derived = orders(spark, sf_dir).where(k % 2 == 0).select(joined('o"', k).alias("src"), F.lit("x").alias("dst"))
+    return sinks.dot_edges(own, derived)
+
+
+@query("""
+SELECT o_orderkey AS from_doc, 'a' AS kind, o_totalprice AS confidence FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, 'b', o_totalprice / 2 FROM orders WHERE o_orderstatus = 'F'""")
+def united_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of two kinds as one table."""
+    links = lambda status, kind, part: orders(spark, sf_dir).where(F.col("o_orderstatus") == status).select(F.col("o_orderkey").alias("from_doc"), F.lit("f").alias("from_fact"), F.lit("x").alias("to_doc"), F.lit("g").alias("to_fact"), F.lit(kind).alias("kind"), (F.col("o_totalprice") / part).alias("confidence"))
+    return linking.all_links(links("O", "a", 1), links("F", "b", 2).withColumn("more", F.lit(1))).select("from_doc", "kind", "confidence")
+
+
+@query("SELECT o_orderkey AS doc_id, 'a' AS from_id, 'b' AS to_id, CASE WHEN o_orderkey % 2 = 0 THEN 'supported' ELSE 'offset-not-in-source' END AS relation_verdict FROM orders WHERE o_orderkey % 3 > 0")
+def relation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges that could be checked."""
+    k = F.col("o_orderkey")
+    checked = orders(spark, sf_dir).select(k.alias("doc_id"), F.lit("a").alias("from_id"), F.lit("b").alias("to_id"), F.when(k % 3 == 0, None).when(k % 2 == 0, "supported").otherwise("offset-not-in-source").alias("relation_verdict"))
+    return provenance.relation_report(checked)
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Signed on 3 May 2021.' WHEN 1 THEN 'The tail of number ' || doc_id || ' is a long paragraph of more than eighty characters that was hard-wrapped here.' ELSE '' END AS kept, CASE doc_id % 3 WHEN 0 THEN '***|Too short' WHEN 1 THEN '' ELSE 'A short line ' || doc_id END AS dropped FROM documents""")
+def cleaned_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short paragraphs stay with a date only, wraps are joined, page furniture and the rest are named as dropped."""
+    k = F.col("doc_id")
+    said = shape(k, "***\n\nSigned on\n3 May 2021.\n\nToo short", joined("The tail of num-\nber ", k, " is a long paragraph of more than\neighty   characters that was\nhard-wrapped here."), joined("A short line ", k))
+    own = read(spark, sf_dir, "documents").select("doc_id", text.clean_paragraphs(said).alias("c"))
+    return own.select("doc_id", F.array_join("c.kept", "|").alias("kept"), F.array_join(F.array_sort("c.dropped"), "|").alias("dropped"))
+
+
+@query("""
+SELECT 'd' || user_id || ':' || event_id AS key, CASE WHEN event_id % 2 = 0 THEN 'd0:0' END AS a FROM events WHERE event_id % 2 = 0 AND event_id > 0 UNION ALL SELECT 'd' || user_id || ':' || event_id, NULL FROM events WHERE event_id % 2 = 1""")
+def forced_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merges and splits of a log as pairs and keys."""
+    k = F.col("event_id")
+    key = F.array(joined("d", F.col("user_id")), k.cast("string"))
+    log = read(spark, sf_dir, "events").where(k > 0).select(F.when(k % 2 == 0, "merge").otherwise("split").alias("op"), F.when(k % 2 == 0, F.array(F.array(F.lit("d0"), F.lit("0")), key)).otherwise(F.array(key)).alias("keys"))
+    merges, splits = corrections.merges_and_splits(log)
+    return merges.select(F.col("b").alias("key"), "a").unionByName(splits.select("key", F.lit(None).cast("string").alias("a")))
