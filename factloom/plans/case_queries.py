@@ -143,7 +143,7 @@ def date_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey AS part_key, unnest([0, 1, 2]) AS i, unnest([0, 22 + length(p_name), 40 + length(p_name) + length(CAST(p_size AS VARCHAR))]) AS start,
+SELECT p_partkey AS part_key, unnest([0, 1, 2]) AS i, CAST(unnest([0, 22 + length(p_name), 40 + length(p_name) + length(CAST(p_size AS VARCHAR))]) AS INTEGER) AS start,
   unnest(['The first part is a ' || p_name || '.', 'It has the size ' || p_size || ';', 'it is sold.']) AS sentence, 3 AS clauses FROM part""")
 def sentence_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences with their places."""
@@ -312,7 +312,7 @@ def rule_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey AS cust_key, CASE c_custkey % 6 WHEN 0 THEN 1.0 WHEN 1 THEN 0.75 WHEN 2 THEN 0.0 WHEN 3 THEN 0.75 WHEN 4 THEN 0.0 ELSE 0.75 END AS score FROM customer""")
+SELECT c_custkey AS cust_key, CAST(CASE c_custkey % 6 WHEN 0 THEN 1.0 WHEN 1 THEN 0.75 WHEN 2 THEN 0.0 WHEN 3 THEN 0.75 WHEN 4 THEN 0.0 ELSE 0.75 END AS DOUBLE) AS score FROM customer""")
 def alias_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The concept itself, an alias in a longer name, one in a procedural name, one that needs the END role, and an alias that is itself procedural."""
     k = F.col("c_custkey")
@@ -454,7 +454,7 @@ def document_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT o_orderkey AS cluster, CASE o_orderkey % 9 WHEN 0 THEN 'unplaced' WHEN 1 THEN 'disputed' WHEN 2 THEN 'disputed' WHEN 3 THEN 'derived' WHEN 4 THEN 'agreed' WHEN 5 THEN 'single_source' WHEN 6 THEN 'agreed' WHEN 7 THEN 'single_source' ELSE 'unplaced' END AS status,
   CASE o_orderkey % 9 WHEN 0 THEN 'no temporal content' WHEN 8 THEN 'relative expression not yet resolved' END AS reason, CASE WHEN o_orderkey % 9 IN (0, 8) THEN NULL WHEN o_orderkey % 9 IN (2, 6, 7) THEN date_trunc('month', CAST(o_orderdate AS DATE))::DATE ELSE CAST(o_orderdate AS DATE) END AS date,
-  CASE o_orderkey % 9 WHEN 0 THEN 'none' WHEN 8 THEN 'relative' WHEN 2 THEN 'month' WHEN 6 THEN 'month' WHEN 7 THEN 'month' ELSE 'day' END AS precision, CASE WHEN o_orderkey % 9 IN (5, 7) THEN 'event (end)' ELSE 'longer event (end)' END AS label, CASE WHEN o_orderkey % 9 IN (5, 7) THEN 0.5 ELSE 0.4 END AS confidence FROM orders""")
+  CASE o_orderkey % 9 WHEN 0 THEN 'none' WHEN 8 THEN 'relative' WHEN 2 THEN 'month' WHEN 6 THEN 'month' WHEN 7 THEN 'month' ELSE 'day' END AS precision, CASE WHEN o_orderkey % 9 IN (5, 7) THEN 'event (end)' ELSE 'longer event (end)' END AS label, CAST(CASE WHEN o_orderkey % 9 IN (5, 7) THEN 0.5 ELSE 0.4 END AS DOUBLE) AS confidence FROM orders""")
 def event_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two facts of each order, as each row of the status table."""
     k, d = F.col("o_orderkey"), F.col("d")
@@ -472,7 +472,7 @@ def event_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.classify(one.union(two)).select("cluster", "status", "reason", "date", "precision", "label", "confidence")
 
 
-@query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 4 = 1 THEN CAST(o_orderdate AS DATE) + 7 ELSE CAST(o_orderdate AS DATE) END AS date_parsed, CASE WHEN o_orderkey % 4 = 2 THEN 'renamed' ELSE 'order' END AS entity, o_orderkey % 4 = 3 AS accepted, CASE WHEN o_orderkey % 4 = 3 THEN 1.0 ELSE 0.9 END AS confidence FROM orders WHERE o_orderkey % 4 > 0")
+@query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 4 = 1 THEN CAST(o_orderdate AS DATE) + 7 ELSE CAST(o_orderdate AS DATE) END AS date_parsed, CASE WHEN o_orderkey % 4 = 2 THEN 'renamed' ELSE 'order' END AS entity, o_orderkey % 4 = 3 AS accepted, CAST(CASE WHEN o_orderkey % 4 = 3 THEN 1.0 ELSE 0.9 END AS DOUBLE) AS confidence FROM orders WHERE o_orderkey % 4 > 0")
 def corrected_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rejected, dated, renamed and accepted orders; an earlier correction of the same kind is void."""
     k = F.col("o_orderkey")
@@ -698,7 +698,7 @@ def role_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey AS doc_id, unnest([1, 2, 3]) AS i, unnest([4, 18 + length(strftime(CAST(o_orderdate AS DATE), '%-d %B %Y')), 28 + length(strftime(CAST(o_orderdate AS DATE), '%-d %B %Y')) + length(CAST(o_orderkey % 90 + 1 AS VARCHAR))]) AS start,
+SELECT o_orderkey AS doc_id, unnest([1, 2, 3]) AS i, CAST(unnest([4, 18 + length(strftime(CAST(o_orderdate AS DATE), '%-d %B %Y')), 28 + length(strftime(CAST(o_orderdate AS DATE), '%-d %B %Y')) + length(CAST(o_orderkey % 90 + 1 AS VARCHAR))]) AS INTEGER) AS start,
   unnest([strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d'), 'P' || (o_orderkey % 90 + 1) || 'D', strftime(CAST(o_orderdate AS DATE), '%Y-%m')]) AS value, unnest(['DATE', 'DURATION', 'DATE']) AS timex_type FROM orders""")
 def timex_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates, periods and months with their places, in order."""
