@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.calendar import apply_offset, offset_from_text, tolled
-from factloom.functions.text import entity_similarity, normalise_entity, text_overlap, tokens
+from factloom.functions.text import entity_similarity, normalise_entity, text_overlap
+from factloom.lineage import cut
 
 # Connectors that count the anchor day, and that don't.
 INCLUSIVE = ("beginning with", "starting with", "commencing with", "beginning on", "starting on")
@@ -162,8 +163,9 @@ def check(
     table = lambda d: F.concat(none, *[F.when(holds(k), F.array(*map(F.lit, v)).cast("array<string>")).otherwise(none) for k, v in d.items()])
     listed = lambda v: F.array(*map(F.lit, v)).cast("array<string>")
     keyed = rules.withColumns({"rule": F.concat_ws(":", "doc_id", F.col("dep_pos").cast("string")), "plain": table(vocabulary.aliases), "ends": table(vocabulary.end_only), "concept": reduce(or_, map(holds, {**vocabulary.aliases, **vocabulary.end_only}), F.lit(False))})
-    # Every rule is tried on every dated fact: rules come from a rule pack of a few clauses.
-    if rules.count() > max_rules:
+    # Every rule is tried on every dated fact: rules come from a rule pack of a few clauses, found once.
+    keyed = cut(keyed)
+    if keyed.count() > max_rules:
         raise ValueError(f"more than {max_rules} rules; check them pack by pack")
     met = dated.join(F.broadcast(keyed), F.lit(True))
     alias = alias_score(F.col("anchor_entity"), F.col("f_entity"), F.col("f_role"), F.col("plain"), F.col("ends"), listed(vocabulary.noise))
@@ -178,6 +180,7 @@ def check(
     disputed = (F.size("options") > 1) & (F.col("best_alias") < 1)
     anchors = anchors.select("rule", F.when(apt, F.col("a")).alias("a"), "options", (F.coalesce(apt, F.lit(False)) & disputed).alias("disputed"))
     anchors = anchors.withColumn("anchor", F.when(~F.col("disputed"), F.col("a")))
+    anchors = cut(anchors)
     known = anchors.where(F.col("anchor").isNotNull()).select("rule", *[F.col(f"anchor.{c}").alias(n) for c, n in (("f_date_parsed", "anchor_date"), ("f_fact_id", "anchor_fact"), ("f_doc_id", "anchor_doc"), ("s", "anchor_score"))])
     after = met.join(F.broadcast(known), "rule").where((F.col("f_date_parsed") > F.col("anchor_date")) & ~((F.col("f_fact_id") == F.col("anchor_fact")) & (F.col("f_doc_id") == F.col("anchor_doc"))))
     name, target = normalise_entity(F.col("f_entity")), F.concat_ws(" ", normalise_entity(F.col("target_entity")), "target_sentence")
