@@ -60,10 +60,14 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
+def telling_words(text: Column, stop: list[str] = STOP_LONG) -> Column:
+    """Blank-separated words without stop words, lower case; punctuation stays."""
+    return F.array_except(F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != ""), F.array(*map(F.lit, stop)))
+
+
 def text_overlap(a: Column, b: Column, stop: list[str] = STOP_LONG) -> Column:
-    """Jaccard of blank-separated words without stop words; punctuation stays."""
-    words = lambda t: F.array_except(F.filter(F.split(F.lower(t), r"\s+"), lambda x: x != ""), F.array(*map(F.lit, stop)))
-    return jaccard(words(a), words(b))
+    """Jaccard of the telling words."""
+    return jaccard(telling_words(a, stop), telling_words(b, stop))
 
 
 def entity_similarity(a: Column, b: Column, boilerplate: tuple[str, ...] = ()) -> Column:

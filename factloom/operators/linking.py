@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import calendar, scores
-from factloom.functions.text import STOP_LONG, jaccard, party_key, same_matter, supporting_quote, text_overlap, tokens
+from factloom.functions.text import STOP_SHORT, jaccard, normalise_entity, party_key, same_matter, supporting_quote, telling_words, tokens
 from factloom.lineage import cut
 from factloom.operators.events import components
 
@@ -201,14 +201,18 @@ def one_to_one(pairs: DataFrame, group: list[str], a: str, b: str, score: str =
 def gated_links(facts: DataFrame, entity_floor: float = 0.4, sentence_floor: float = 0.1, least: float = 0.4) -> DataFrame:
     """Coreference, contradiction and parallel application of facts of one role.
 
-    The join is on group, role and a shared word of the name, as names without one score 0.
+    The join is on group, role and a shared telling word of the name or the whole name, as names without one score 0.
     """
-    own = facts.where(F.col("is_duplicate_of").isNull()).withColumn("w", F.explode(F.array_distinct(F.split(F.lower("entity"), r"\s+"))))
-    side = lambda p: own.select("grp", "role", "w", *[F.col(c).alias(f"{p}_{c}") for c in ("doc_id", "fact_id", "entity", "sentence", "date_parsed", "duration_days", "value")])
-    met = side("a").join(side("b"), ["grp", "role", "w"]).where(F.col("a_doc_id") < F.col("b_doc_id")).drop("w").distinct()
-    from factloom.functions.text import entity_similarity
-
-    entity, sentence = entity_similarity(F.col("a_entity"), F.col("b_entity")), text_overlap(F.col("a_sentence"), F.col("b_sentence"), STOP_LONG)
+    # Names and words are made once a fact; pairs are found by ids alone before these join.
+    own = facts.where(F.col("is_duplicate_of").isNull()).withColumn("name", normalise_entity(F.col("entity")))
+    own = cut(own.withColumns({"nw": telling_words(F.col("name"), STOP_SHORT), "sw": telling_words(F.coalesce("sentence", F.lit("")))}))
+    keyed = own.select("grp", "role", "doc_id", "fact_id", F.explode(F.array_union("nw", F.array("name"))).alias("w"))
+    ids = lambda p: keyed.select("grp", "role", "w", F.col("doc_id").alias(f"{p}_doc_id"), F.col("fact_id").alias(f"{p}_fact_id"))
+    pairs = ids("a").join(ids("b"), ["grp", "role", "w"]).where(F.col("a_doc_id") < F.col("b_doc_id")).drop("w").distinct()
+    side = lambda p: own.select("grp", "role", *[F.col(c).alias(f"{p}_{c}") for c in ("doc_id", "fact_id", "entity", "name", "nw", "sw", "date_parsed", "duration_days", "value")])
+    met = pairs.join(side("a"), ["grp", "role", "a_doc_id", "a_fact_id"]).join(side("b"), ["grp", "role", "b_doc_id", "b_fact_id"])
+    entity = F.when(F.col("a_name") == F.col("b_name"), 1.0).otherwise(jaccard(F.col("a_nw"), F.col("b_nw")))
+    sentence = jaccard(F.col("a_sw"), F.col("b_sw"))
     matched = calendar.values_match(F.col("a_date_parsed"), F.col("b_date_parsed"), F.col("a_duration_days"), F.col("b_duration_days"), F.col("a_value"), F.col("b_value"))
     exact_long = (entity == 1.0) & (F.size(F.split(F.trim("a_entity"), r"\s+")) > 1)
     scored = met.withColumns({"es": entity, "ss": sentence, "vm": matched}).where((F.col("es") >= entity_floor) & ((F.col("ss") >= sentence_floor) | exact_long))
