@@ -2,7 +2,10 @@
 
 import pytest
 
-from factloom.operators import linking
+from pyspark.sql import functions as F
+
+from factloom.functions import calendar
+from factloom.operators import linking, provenance, rules
 
 
 @pytest.mark.parametrize("words, block", [(10, 2000), (10, 7), (90, 2000), (90, 7), (1500, 7)])
@@ -31,3 +34,17 @@ def test_class_pairs_meet_in_words(spark):
     signed = spark.createDataFrame([(d, f"s{j}") for d in range(20) for j in range(12) if (d + 1) >> (j % 5) & 1 or j > 7], "doc_id long, sig string")
     plan = linking.signature_classes(signed, 0.2)[1]._jdf.queryExecution().optimizedPlan().toString()
     assert "array_intersect" not in plan and "bit_count" in plan
+
+
+def test_periods_and_connectors_are_read_once(spark):
+    """An expression names its text once; a document's clauses are cut once, not at each edge."""
+    row = spark.createDataFrame([("Within 21 days beginning with the notice",)], "s string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(row.select(rules.inclusivity_evidence(F.col("s")))).count("regexp_extract(") <= 2
+    assert plan(row.select(calendar.offset_from_text(F.col("s"))["days"])).count("lower(") == 1
+    docs = spark.createDataFrame([(1, "Payment falls due 21 days after the notice.")], "doc_id long, source_text string")
+    facts = spark.createDataFrame([(1, "n", "Notice")], "doc_id long, fact_id string, entity string")
+    deps = spark.createDataFrame([(1, "n", "a", "additive", "21 days", None), (1, "n", "b", "ordering", "", 3)], "doc_id long, from_id string, to_id string, constraint_type string, constraint_expr string, delta_days int")
+    checked = provenance.check_relations(deps, facts, docs)
+    assert plan(checked).count("(?<=[.;:])") == 1
+    assert {(r.to_id, r.relation_verdict) for r in checked.collect()} == {("a", "supported"), ("b", None)}
