@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.calendar import apply_offset, offset_from_text, tolled
+from factloom.functions.calendar import apply_offset, let, offset_from_text, tolled
 from factloom.functions.text import entity_similarity, normalise_entity, text_overlap
 from factloom.lineage import cut
 
@@ -24,14 +24,12 @@ NAME_ENDS = r"[,;]|\bor\b|\bunless\b|\bwithin\b|\bto which\b|\bon which\b"
 
 def _connector(sentence: Column) -> Column:
     """struct(at, longest, inclusive, connector, period) of the connector nearest behind the first stated period, longest on ties."""
-    period = F.regexp_extract(sentence, f"(?i){PERIOD}", 0)
+    connectors = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(kind).alias("k")) for kind, listed in ((True, INCLUSIVE), (False, EXCLUSIVE)) for c in listed])
     # What stands behind the first period, in any line.
-    tail = F.lower(F.substring(sentence, F.instr(sentence, F.nullif(period, F.lit(""))) + F.length(period), F.length(sentence)))
-    connectors = [(c, True) for c in INCLUSIVE] + [(c, False) for c in EXCLUSIVE]
-    found = F.array(*[
-        F.struct(F.nullif(F.instr(tail, c), F.lit(0)).alias("at"), F.lit(-len(c)).alias("longest"), F.lit(kind).alias("inclusive"), F.lit(c).alias("connector"), period.alias("period")) for c, kind in connectors
-    ])
-    return F.array_min(F.filter(found, lambda x: x["at"].isNotNull()))
+    tail = lambda p: F.lower(F.substring(sentence, F.instr(sentence, F.nullif(p, F.lit(""))) + F.length(p), F.length(sentence)))
+    place = lambda t, p: lambda x: F.struct(F.call_function("locate", x["c"], t).alias("at"), (-F.length(x["c"])).alias("longest"), x["k"].alias("inclusive"), x["c"].alias("connector"), p.alias("period"))
+    nearest = lambda t, p: F.array_min(F.filter(F.transform(connectors, place(t, p)), lambda x: x["at"] > 0))
+    return let(F.nullif(F.regexp_extract(sentence, f"(?i){PERIOD}", 0), F.lit("")), lambda p: F.when(p.isNotNull(), let(tail(p), lambda t: nearest(t, p))))
 
 
 def anchor_day_inclusive(sentence: Column) -> Column:
@@ -41,9 +39,11 @@ def anchor_day_inclusive(sentence: Column) -> Column:
 
 def inclusivity_evidence(sentence: Column) -> Column:
     """The words from the period to the connector that R02 was read from."""
-    found = _connector(sentence)
-    start = F.instr(sentence, found["period"])
-    return F.substring(sentence, start, F.length(found["period"]) + found["at"] - 1 - found["longest"])
+    return let(_connector(sentence), lambda found: _evidence(sentence, found))
+
+
+def _evidence(sentence: Column, found: Column) -> Column:
+    return F.substring(sentence, F.instr(sentence, found["period"]), F.length(found["period"]) + found["at"] - 1 - found["longest"])
 
 
 def anchor_phrase(sentence: Column) -> Column:
