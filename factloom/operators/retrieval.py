@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import scores
 from factloom.functions.calendar import active_on
-from factloom.functions.text import mentions_date, sentences, token_set, tokens
+from factloom.functions.text import NO_WORD, SENTENCE_END, flat, mentions_date, token_set, tokens
 
 
 def select_events(events: DataFrame, about: str = "", since: str | None = None, until: str | None = None, on: str | None = None, limit: int | None = None) -> DataFrame:
@@ -30,14 +30,21 @@ def select_events(events: DataFrame, about: str = "", since: str | None = None,
 
 def passages(documents: DataFrame, question: str, limit: int = 8) -> DataFrame:
     """Sentences that share words with the question, by their weight."""
-    cut_up = documents.select("doc_id", F.explode(sentences(F.col("source_text"))).alias("s")).select("doc_id", "s.start", "s.sentence").withColumn("words", token_set(F.col("sentence")))
-    asked = token_set(F.lit(question))
-    hit = cut_up.select("doc_id", "start", "sentence", F.size("words").alias("n"), F.explode(F.array_intersect("words", asked)).alias("token"))
+    asked = F.array(*map(F.lit, sorted(set(documents.sparkSession.range(1).select(token_set(F.lit(question))).first()[0]))))
     n = documents.select(F.count("*").alias("docs"))
-    df = documents.select("doc_id", F.explode(F.array_intersect(token_set(F.col("source_text")), asked)).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    weights = df.join(F.broadcast(n), F.lit(True)).select("token", scores.idf(F.col("df"), F.col("docs")).alias("idf"))  # one row for each word of the question
-    scored = hit.join(F.broadcast(weights), "token").groupBy("doc_id", "start", "sentence", "n").agg(F.sum("idf").alias("shared"))
-    return scored.withColumn("score", scores.passage_score(F.col("shared"), F.col("n"))).orderBy(F.desc("score"), "doc_id", "start").limit(limit).select("doc_id", "start", "sentence", "score")
+    met = lambda t: F.array_intersect(F.split(F.lower(t), NO_WORD), asked)
+    df = documents.select(F.explode(met(F.col("source_text"))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    weights = df.join(F.broadcast(n), F.lit(True)).agg(F.map_from_entries(F.collect_list(F.struct("token", scores.idf(F.col("df"), F.col("docs"))))).alias("weights"))  # one row, an entry for each word of the question
+    # Scores and the best of a document need no exchange; places in the text are summed for these only.
+    scored = lambda p, i: F.struct(p.alias("p"), i.alias("i"), met(p).alias("hit"))
+    total = lambda x: F.aggregate(x["hit"], F.lit(0.0), lambda a, w: a + F.col("weights")[w])
+    size = lambda x: F.size(token_set(flat(x["p"])))
+    judged = lambda x: F.struct((-scores.passage_score(total(x), size(x))).alias("s"), x["i"].alias("i"), x["p"].alias("p"))
+    hits = F.transform(F.filter(F.transform("parts", scored), lambda x: F.size(x["hit"]) > 0), judged)
+    own = documents.select("doc_id", F.split("source_text", SENTENCE_END).alias("parts")).join(F.broadcast(weights), F.lit(True))
+    best = own.select("doc_id", F.transform("parts", F.length).alias("lengths"), F.slice(F.array_sort(hits), 1, limit).alias("best")).select("doc_id", "lengths", F.explode("best").alias("x"))
+    start = F.aggregate(F.slice("lengths", F.lit(1), F.col("x.i")), F.lit(0), lambda a, v: a + v) + F.length("x.p") - F.length(F.ltrim("x.p"))
+    return best.select("doc_id", start.alias("start"), flat(F.col("x.p")).alias("sentence"), (-F.col("x.s")).alias("score")).orderBy(F.desc("score"), "doc_id", "start").limit(limit)
 
 
 def unsupported_dates(answer_dates: DataFrame, established: DataFrame) -> DataFrame:
@@ -130,10 +137,14 @@ def resolve_texts(documents: DataFrame, files: DataFrame, least: int = 40) -> Da
     """
     own = documents.select("doc_id", F.trim("source_text").alias("own"))
     exact = own.join(files.select(F.col("stem").alias("doc_id"), F.col("text").alias("exact")), "doc_id", "left")
-    prefixes = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.substring(c, F.lit(1), n)))
-    longer = files.select(F.col("stem"), prefixes(F.col("stem")).alias("doc_id")).where(F.length("stem") > F.length("doc_id"))
-    shorter = own.where(F.col("doc_id") != "").select("doc_id", prefixes(F.col("doc_id")).alias("stem")).join(files.select("stem"), "stem").select("stem", "doc_id")
-    loose = longer.union(shorter).distinct().groupBy("doc_id").agg(F.count("*").alias("n"), F.first("stem").alias("stem")).where("n = 1")
+    # Only prefixes as long as some name of the other side can meet it; one row of lengths each.
+    lengths = lambda df, c: F.broadcast(df.agg(F.collect_set(F.length(c)).alias("_lengths")))
+    prefixes = lambda c: F.explode(F.transform(F.filter("_lengths", lambda n: (n > 0) & (n <= F.length(c))), lambda n: F.substring(c, F.lit(1), n)))
+    longer = files.join(lengths(own, "doc_id"), F.lit(True)).select("stem", prefixes(F.col("stem")).alias("doc_id")).where(F.length("stem") > F.length("doc_id"))
+    named = own.where(F.col("doc_id") != "").select("doc_id").join(lengths(files, "stem"), F.lit(True)).select("doc_id", prefixes(F.col("doc_id")).alias("stem"))
+    shorter = named.join(files.select("stem"), "stem").select("stem", "doc_id")
+    # A document with one such file has the same first and last.
+    loose = longer.union(shorter).groupBy("doc_id").agg(F.min("stem").alias("stem"), F.max("stem").alias("_last")).where(F.col("stem") == F.col("_last")).drop("_last")
     loose = loose.join(files.select("stem", F.col("text").alias("loose")), "stem").select("doc_id", F.col("stem").alias("loose_stem"), "loose")
     out = exact.join(loose, "doc_id", "left")
     has = F.coalesce(F.length("own") > least, F.lit(False))

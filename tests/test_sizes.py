@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import calendar
-from factloom.operators import linking, provenance, rules
+from factloom.operators import events, linking, provenance, retrieval, rules
 
 
 @pytest.mark.parametrize("words, block", [(10, 2000), (10, 7), (90, 2000), (90, 7), (1500, 7)])
@@ -48,3 +48,32 @@ def test_periods_and_connectors_are_read_once(spark):
     checked = provenance.check_relations(deps, facts, docs)
     assert plan(checked).count("(?<=[.;:])") == 1
     assert {(r.to_id, r.relation_verdict) for r in checked.collect()} == {("a", "supported"), ("b", None)}
+
+
+def executed(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_event_classes_multiply_no_row(spark):
+    row = "SELECT 'c' AS cluster, 1L AS doc_id, 1L AS pos, 'e' AS entity, 'START' AS role, DATE '2024-01-01' AS date_parsed, '2024-01-01' AS value, CAST(NULL AS INT) AS duration_days, 0.9D AS confidence, true AS temporal_content, true AS verified, CAST(NULL AS STRING) AS derivation"
+    made = events.classify(spark.sql(row))
+    assert "Expand" not in executed(made) and "Join" not in executed(made)
+    assert [(r.status, r.n_docs, r.n_sources) for r in made.collect()] == [("single_source", 1, 1)]
+
+
+def test_names_meet_at_lengths_that_occur(spark):
+    documents = spark.createDataFrame([("n" * 300, ""), ("lone", "")], "doc_id string, source_text string")
+    files = spark.createDataFrame([("n" * 301, "long"), ("lone_b", "b"), ("lone_c", "c")], "stem string, text string")
+    found = retrieval.resolve_texts(documents, files)
+    assert "sequence(1" not in executed(found)
+    assert {(r.doc_id[:4], r.text, r.found_in) for r in found.collect()} == {("nnnn", "long", "only similar file"), ("lone", None, None)}
+
+
+def test_passages_and_statistics_need_no_exchange_of_words(spark):
+    documents = spark.createDataFrame([(d, "en", f"A clown came. The end of {d}.") for d in range(3)], "doc_id long, grp string, text string")
+    best = retrieval.passages(documents.select("doc_id", F.col("text").alias("source_text")), "Which clown?")
+    assert [(r.doc_id, r.start, r.sentence) for r in best.collect()] == [(d, 0, "A clown came.") for d in range(3)]
+    assert "doc_id" not in "".join(x for x in executed(best).splitlines() if "Aggregate" in x)
+    assert "distinct" not in executed(linking.token_statistics(documents).select("grp", "token", "df")).lower()
+    twice = documents.union(documents)
+    assert {(r.token, r.df) for r in linking.token_statistics(twice).collect()} >= {("clown", 3), ("1", 1)}
