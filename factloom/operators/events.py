@@ -54,18 +54,21 @@ def classify(facts: DataFrame, contradicted: DataFrame | None = None) -> DataFra
     prepared = facts.withColumns({"lo": span["lo"], "hi": span["hi"], "grain": precision(F.col("date_parsed"), F.col("value"), F.col("duration_days"))})
     ranked = F.struct(F.col("confidence"), F.length("entity"), (-F.col("pos")).alias("p"))
     coarse = F.col("grain").isin("month", "year")
-    grouped = prepared.groupBy("cluster").agg(
-        F.min("date_parsed").alias("first_date"), F.count_distinct("date_parsed").alias("n_dates"), F.every(~F.col("temporal_content")).alias("without_time"),
-        F.count_distinct("doc_id").alias("n_docs"), F.count_distinct(F.when(F.col("verified"), F.col("doc_id"))).alias("n_verified"), F.count("*").alias("n_sources"),
-        F.every(F.col("derivation").isNotNull()).alias("all_derived"), F.max(F.col("derivation")).alias("derivation"), F.min("confidence").alias("confidence"),
-        F.max_by("entity", ranked).alias("entity"), F.max_by("role", ranked).alias("role"), F.max("lo").alias("latest_start"), F.min("hi").alias("earliest_end"),
-        F.min(F.when(coarse, F.col("lo"))).alias("coarse_date"), F.min(F.when(coarse, F.col("grain"))).alias("coarse_grain"), F.count_distinct("duration_days").alias("n_durations"),
-        F.min("pos").alias("pos"), F.bool_or(F.col("grain") == "relative").alias("relative"),
-    )
-    disputed_dates = (
-        prepared.where(F.col("date_parsed").isNotNull()).groupBy("cluster", "date_parsed").agg(F.sort_array(F.collect_set("doc_id")).alias("docs"))
-        .groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct(F.col("date_parsed").alias("date"), "docs"))).alias("dates"))
+    # Rows are shuffled once, by cluster; a cluster's dates and then the cluster are made of them where they are, and no row is multiplied.
+    dated = prepared.repartition("cluster").groupBy("cluster", "date_parsed").agg(
+        F.sort_array(F.collect_set("doc_id")).alias("docs"), F.collect_set(F.when(F.col("verified"), F.col("doc_id"))).alias("ok_docs"), F.count("*").alias("n_sources"),
+        F.every(~F.col("temporal_content")).alias("without_time"), F.every(F.col("derivation").isNotNull()).alias("all_derived"), F.bool_or(F.col("grain") == "relative").alias("relative"),
+        F.max("derivation").alias("derivation"), F.min("confidence").alias("confidence"), F.max(F.struct(ranked.alias("by"), "entity", "role")).alias("best"), F.max("lo").alias("latest_start"), F.min("hi").alias("earliest_end"),
+        F.min(F.when(coarse, F.col("lo"))).alias("coarse_date"), F.min(F.when(coarse, F.col("grain"))).alias("coarse_grain"), F.min("duration_days").alias("least"), F.max("duration_days").alias("most"), F.min("pos").alias("pos"),
     )
+    values = F.when(F.col("date_parsed").isNotNull(), F.struct(F.col("date_parsed").alias("date"), "docs"))
+    distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    grouped = dated.groupBy("cluster").agg(
+        F.min("date_parsed").alias("first_date"), F.count("date_parsed").alias("n_dates"), distinct("docs").cast("long").alias("n_docs"), distinct("ok_docs").alias("n_verified"), F.sum("n_sources").alias("n_sources"),
+        F.every("without_time").alias("without_time"), F.every("all_derived").alias("all_derived"), F.bool_or("relative").alias("relative"), F.max("derivation").alias("derivation"), F.min("confidence").alias("confidence"),
+        F.max("best").alias("best"), F.max("latest_start").alias("latest_start"), F.min("earliest_end").alias("earliest_end"), F.min("coarse_date").alias("coarse_date"), F.min("coarse_grain").alias("coarse_grain"),
+        F.when(F.min("least") < F.max("most"), 2).otherwise(1).alias("n_durations"), F.min("pos").alias("pos"), F.sort_array(F.collect_list(values)).alias("dates"),
+    ).withColumns({"entity": F.col("best.entity"), "role": F.col("best.role"), "dates": F.when(F.col("n_dates") > 0, F.col("dates"))})
     if contradicted is not None:
         grouped = grouped.join(contradicted.select("cluster", F.lit(True).alias("_c")).distinct(), "cluster", "left")
     else:
@@ -80,7 +83,7 @@ def classify(facts: DataFrame, contradicted: DataFrame | None = None) -> DataFra
     reason = F.when(status != "unplaced", None).when(F.col("without_time"), "no temporal content").when(F.col("relative"), "relative expression not yet resolved").otherwise("no date found")
     grain = F.when(F.col("n_dates") > 0, "day").otherwise(F.coalesce("coarse_grain", F.when(F.col("relative"), "relative").otherwise("none")))
     label = F.concat("entity", F.when(F.col("role").isin("START", "END"), F.concat(F.lit(" ("), F.lower("role"), F.lit(")"))).otherwise(""))
-    return grouped.join(disputed_dates, "cluster", "left").select(
+    return grouped.select(
         "cluster", F.coalesce("first_date", "coarse_date").alias("date"), grain.alias("precision"), label.alias("label"), status.alias("status"), reason.alias("reason"), "confidence",
         F.when(status == "derived", F.col("derivation")).alias("derivation"), "n_docs", "n_sources", F.when(status == "disputed", F.col("dates")).alias("disputed_values"), "pos",
     )
