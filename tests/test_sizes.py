@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import calendar
-from factloom.operators import events, linking, provenance, retrieval, rules
+from factloom.operators import events, graph, linking, provenance, retrieval, rules
 
 
 @pytest.mark.parametrize("words, block", [(10, 2000), (10, 7), (90, 2000), (90, 7), (1500, 7)])
@@ -41,7 +41,7 @@ def test_periods_and_connectors_are_read_once(spark):
     row = spark.createDataFrame([("Within 21 days beginning with the notice",)], "s string")
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert plan(row.select(rules.inclusivity_evidence(F.col("s")))).count("regexp_extract(") <= 2
-    assert plan(row.select(calendar.offset_from_text(F.col("s"))["days"])).count("lower(") == 1
+    assert plan(row.select(calendar.offset_from_text(F.col("s"))["days"].alias("o"))).count("lower(s#") == 1
     docs = spark.createDataFrame([(1, "Payment falls due 21 days after the notice.")], "doc_id long, source_text string")
     facts = spark.createDataFrame([(1, "n", "Notice")], "doc_id long, fact_id string, entity string")
     deps = spark.createDataFrame([(1, "n", "a", "additive", "21 days", None), (1, "n", "b", "ordering", "", 3)], "doc_id long, from_id string, to_id string, constraint_type string, constraint_expr string, delta_days int")
@@ -74,6 +74,22 @@ def test_passages_and_statistics_need_no_exchange_of_words(spark):
     best = retrieval.passages(documents.select("doc_id", F.col("text").alias("source_text")), "Which clown?")
     assert [(r.doc_id, r.start, r.sentence) for r in best.collect()] == [(d, 0, "A clown came.") for d in range(3)]
     assert "doc_id" not in "".join(x for x in executed(best).splitlines() if "Aggregate" in x)
-    assert "distinct" not in executed(linking.token_statistics(documents).select("grp", "token", "df")).lower()
+    assert "count(distinct" not in executed(linking.token_statistics(documents).select("grp", "token", "df"))
     twice = documents.union(documents)
     assert {(r.token, r.df) for r in linking.token_statistics(twice).collect()} >= {("clown", 3), ("1", 1)}
+
+
+@pytest.mark.parametrize("small", [0, 64])
+def test_reach_inside_a_document_and_by_rounds(spark, monkeypatch, small):
+    """Both ways find the same: first arrival, ties to the parent found first, then to the edge's place; cycles end."""
+    monkeypatch.setattr(graph, "SMALL", small)
+    rounds = []
+    monkeypatch.setattr(graph, "_first", lambda df, *keys, _f=graph._first: rounds.append(1) or _f(df, *keys))
+    edges = [("a", "b", 3, 1), ("a", "c", 1, 2), ("b", "d", 0, 10), ("c", "d", 5, 20), ("d", "a", 6, 1), ("d", "e", 7, None), ("z", "a", 8, 1)]
+    deps = spark.createDataFrame([(k, *e, "") for k in (1, 2) for e in edges], "doc_id long, from_id string, to_id string, dep_pos int, delta_days int, constraint_expr string")
+    start = spark.sql("SELECT 1L AS doc_id, 'a' AS fact_id, DATE '2024-01-01' AS date UNION ALL SELECT 3L, 'q', DATE '2024-01-01'")
+    days = {"a": (0, 1, None), "b": (1, 2, "a"), "c": (1, 3, "a"), "d": (2, 23, "c"), "e": (3, None, "d")}
+    for most in (None, 2):
+        found = {(r.doc_id, r.fact_id): (r.hop, r.date and r.date.day, r.via) for r in graph.reach(start, deps, most).collect()}
+        assert found == {(1, k): v for k, v in days.items() if most is None or v[0] <= most} | {(3, "q"): (0, 1, None)}
+    assert bool(rounds) == (small == 0)
