@@ -1,5 +1,9 @@
 """Operators whose work must not outgrow their input."""
 
+import random
+from collections import Counter
+from datetime import date
+
 import pytest
 
 from pyspark.sql import functions as F
@@ -93,3 +97,52 @@ def test_reach_inside_a_document_and_by_rounds(spark, monkeypatch, small):
         found = {(r.doc_id, r.fact_id): (r.hop, r.date and r.date.day, r.via) for r in graph.reach(start, deps, most).collect()}
         assert found == {(1, k): v for k, v in days.items() if most is None or v[0] <= most} | {(3, "q"): (0, 1, None)}
     assert bool(rounds) == (small == 0)
+
+
+def linked(spark, rng):
+    """Facts of three groups: 24 with common words, 24 with rare ones, and 4."""
+    words = "the notice of payment delivery crane hull permit survey deck".split()
+    said = lambda n: " ".join(rng.choices(words, weights=[9, 5, 5, 3, 3, 1, 1, 1, 1, 1], k=n))
+    rare = lambda many, n: " ".join(f"w{rng.randrange(many)}" for _ in range(n))
+    texts = {"g": lambda: (said(rng.randint(0, 3)) or None, said(rng.randint(2, 9))), "h": lambda: (said(2), said(3)), "k": lambda: (rare(12, 1), rare(40, 3))}
+    rows = [(g, f"{g}{d:02}", f"f{i}", 2 * d + i, *texts[g](), rng.choice(["START", "END", "CONTAINS"]), date(2025, 1, 1 + rng.randrange(28)), None, None, 30) for g, n in (("g", 12), ("h", 2), ("k", 12)) for d in range(n) for i in range(2)]
+    return spark.createDataFrame(rows, "grp string, doc_id string, fact_id string, pos int, entity string, sentence string, role string, date_parsed date, duration_days int, is_duplicate_of string, span_days int")
+
+
+def test_pairs_of_facts_are_not_shuffled(spark, monkeypatch):
+    """A pair is made once, where its facts lie whole: no aggregate and no join takes pairs."""
+    facts = linked(spark, random.Random(3))
+    for whole in (1000, 5):
+        monkeypatch.setattr(linking, "_WHOLE", whole, raising=False)
+        plan = executed(linking.candidate_pairs(facts)).splitlines()
+        assert not [x for x in plan if "Aggregate" in x and "a_doc_id" in x]
+        depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+        first = min((depth(x), x) for x in plan if "Join" in x)[1]
+        assert "a_doc_id" in first and not [x for x in plan if "Join" in x and "a_doc_id" in x and "b_doc_id" not in x]
+        assert sum("a_doc_id" in x for x in plan if "Join" in x) == (1 if whole == 1000 else 2)
+
+
+@pytest.mark.parametrize("whole, vocabulary, floor, weighed", [(5, 5000, 0.12, False), (1, 5000, 0.7, True), (23, 5000, 0.3, True), (1000, 9, 0.12, True)])
+def test_large_groups_meet_in_blocks(spark, monkeypatch, whole, vocabulary, floor, weighed):
+    """Large groups, by words or as all pairs, give the pairs and scores of groups met whole, each once."""
+    facts, met, found = linked(spark, random.Random(4)), {"g": Counter(), "h": Counter(), "k": Counter()}, []
+    for r in facts.collect():
+        met[r.grp].update({f"e {w}" for w in (r.entity or "").split()} | {f"q {w}" for w in r.sentence.split()})
+    assert sum(n * n for n in met["k"].values()) < 24 * 24 < sum(n * n for n in met["g"].values())
+    statistics = linking.token_statistics(facts.select("grp", "doc_id", F.concat_ws(" ", "entity", "sentence").alias("text"))) if weighed else None
+    for limits in ((1000, 5000), (whole, vocabulary)):
+        monkeypatch.setattr(linking, "_WHOLE", limits[0])
+        monkeypatch.setattr(linking, "_VOCABULARY", limits[1])
+        ids = ("grp", "a_doc_id", "a_fact_id", "b_doc_id", "b_fact_id")
+        found.append(sorted((*[r[c] for c in ids], *[round(r[c], 9) for c in ("entity_score", "sentence_score", "temporal_score", "role_score", "score")]) for r in linking.candidate_pairs(facts, statistics, 0.3, floor).collect()))
+    assert found[0] == found[1]
+    assert len({r[:5] for r in found[0]}) == len(found[0]) > 20 and {r[0] for r in found[0]} >= {"g", "k"}
+
+
+def test_heavy_words(spark):
+    """The heaviest words, down to where the rest weighs less than the floor of all; none of an empty map."""
+    heavy = lambda m, floor: spark.sql(f"SELECT {m} AS m").select(linking._heavy(F.col("m"), floor).alias("h")).first()["h"]
+    assert heavy("map('a', 5.0D, 'b', 1.0D, 'c', 4.0D)", 0.12) == ["c", "a"]
+    assert heavy("map('a', 5.0D, 'b', 1.0D, 'c', 4.0D)", 0.1) == ["b", "c", "a"]
+    assert heavy("map('a', 5.0D, 'b', 1.0D, 'c', 4.0D)", 1.0) == ["a"]
+    assert heavy("CAST(map() AS map<string, double>)", 0.12) == []
